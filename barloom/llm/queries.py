@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .substring import op2_substring_dedup
+from .suffix import op7_suffix_dedup
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {}
