@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .neardup import op8_near_duplicates
 from .substring import op2_substring_dedup
 from .suffix import op7_suffix_dedup
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates}
 ORACLE_SQL: dict[str, str] = {}
