@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .fingerprint import op10_fingerprints
+from .langid import op9_language_id
+from .lm import op5_suffix_tree_score
 from .neardup import op8_near_duplicates
 from .substring import op2_substring_dedup
 from .suffix import op7_suffix_dedup
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op5_suffix_tree_score": op5_suffix_tree_score,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_language_id": op9_language_id,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLE_SQL: dict[str, str] = {}
