@@ -30,8 +30,8 @@ TASK_BYTES = 4 << 20
 TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
-def normal(buf: np.ndarray) -> np.ndarray:
-    out = TABLE[buf]
+def normal(buf: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
+    out = table[buf]
     after = np.flatnonzero(buf[:-1] == 0xC3) + 1
     after = after[(buf[after] >= 0x80) & (buf[after] <= 0x9E) & (buf[after] != 0x97)]
     out[after] += 0x20

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_contamination
 from .fingerprint import op10_fingerprints
 from .langid import op9_language_id
 from .lm import op5_suffix_tree_score
+from .mixing import OP6_SQL, op6_source_mix
 from .neardup import op8_near_duplicates
 from .substring import op2_substring_dedup
 from .suffix import op7_suffix_dedup
 
 QUERIES = {
+    "op1_contamination": op1_contamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_suffix_tree_score": op5_suffix_tree_score,
+    "op6_source_mix": op6_source_mix,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_source_mix": OP6_SQL}

@@ -6,7 +6,7 @@ over words. Words are runs of bytes other than space and 0x09-0x0D, as in every
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +64,17 @@ def windows(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
 class Words:
     """The words of a batch of texts: byte spans, hashes, and which text each word is in."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False, table: np.ndarray | None = None, space: np.ndarray = SPACE):
+    def __init__(self, texts: list[bytes], lower: bool = False, change: Callable[[np.ndarray], np.ndarray] | None = None):
         self.n_texts = len(texts)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        if table is not None:
-            buf = table[buf]
+        if change is not None:
+            buf = change(buf)
         elif lower:
             buf = LOWER[buf]
         self.buf = buf
-        blank = space[buf]
-        if not space[10]:
-            blank[self.offsets[1:] - 1] = True
+        blank = SPACE[buf]
         before = np.concatenate([[True], blank[:-1]])
         self.starts = np.flatnonzero(~blank & before)
         self.ends = np.flatnonzero(blank & ~before)
