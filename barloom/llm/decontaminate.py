@@ -187,7 +187,7 @@ def scored(items: Items, ids: pa.Array, base: int, words: vec.Words, h: np.ndarr
 FOUND = "doc_id long, item_id long, score double, n_seeds long, item_words long, from_word long, to_word long"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4) -> DataFrame:
     """doc_id, item_id, score, n_seeds (of the best place), item_words, and the words [from_word, to_word) that were aligned or looked at, of each pair with a score of `least` or more.
 
     docs: doc_id, text. benchmark: item_id, text.

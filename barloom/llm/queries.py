@@ -8,12 +8,16 @@ from .langid import op9_language_id
 from .lm import op5_suffix_tree_score
 from .mixing import OP6_SQL, op6_source_mix
 from .neardup import op8_near_duplicates
+from .pii import op4_pii
 from .substring import op2_substring_dedup
 from .suffix import op7_suffix_dedup
+from .urls import op3_url_filter
 
 QUERIES = {
     "op1_contamination": op1_contamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
     "op5_suffix_tree_score": op5_suffix_tree_score,
     "op6_source_mix": op6_source_mix,
     "op7_suffix_dedup": op7_suffix_dedup,
