@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .frames import saved
+from .frames import id_and_text, saved
 from .substring import run_starts
 
 TASK_BYTES = 2 << 20
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     """doc_id, n_shingles, component_id, kept of each row: links are pairs with 100 * intersection >= percent * union."""
     if trees * depth > len(_COEFFICIENTS):
         raise ValueError(f"trees * depth must be {len(_COEFFICIENTS)} at most")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = id_and_text(docs, doc_id, text)
     k = trees * depth
     seen = saved(docs.mapInArrow(sketches(shingle, k), "doc_id long, n_shingles long, s0 long, s1 long, sketch array<int>"))
     some = seen.where("doc_id IS NOT NULL AND n_shingles > 0")
