@@ -10,7 +10,8 @@ the input, and a hash that is common is only as many entries as windows it has,
 
 Defined results: a null or empty text has no words and loses none. Texts shorter than a window stay whole. Of equal
 texts the one with the smallest doc_id stays whole; rows that repeat a doc_id are one document's rows, and never dedupe
-each other. Other columns of the input are ignored.
+each other. A row without doc_id stays whole and is not
+compared. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .frames import buckets_for
+from .frames import buckets_for, id_and_text
 
 TASK_BYTES = 2 << 20  # bytes of text hashed at once in a task
 BLOCK_BYTES = 16 << 20  # bytes of text behind one packed block, and behind one bucket of all blocks
@@ -71,15 +72,11 @@ def gathered(group: pa.Table, kinds: list) -> tuple[list[np.ndarray], np.ndarray
     return [np.concatenate([p[0][i] for p in parts]) for i in range(len(kinds))], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
-def by_document(ids: np.ndarray, places: np.ndarray) -> pa.Table:
-    """One row for each document, with its places."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "places": vec.lists(places[order], np.append(first, len(ids)), pa.int32())})
+def flat(ids: np.ndarray, places: np.ndarray) -> pa.Table:
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32())})
 
 
-PLACES = "doc_id long, places array<int>"
+PLACE, SPAN = "doc_id long, place int", "doc_id long, first int, last int"
 
 
 def run_starts(*keys: np.ndarray) -> np.ndarray:
@@ -122,24 +119,17 @@ def hits(half: int):
         key, ids, places = key[order], ids[order], places[order]
         first = run_starts(key)
         if not len(first):
-            return by_document(ids, places)
+            return flat(ids, places)
         good = np.logical_or.reduceat(places % half == 0, first) & (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first))
         keep = np.repeat(good, np.diff(np.append(first, len(key))))
-        return by_document(ids[keep], places[keep])
+        return flat(ids[keep], places[keep])
 
     return run
 
 
-def marked(places: np.ndarray, before: int, n: int) -> np.ndarray:
-    """True from `before` places ahead of each place up to the place itself."""
-    edge = np.zeros(n + 2, np.int32)
-    np.add.at(edge, np.maximum(places - before, 0), 1)
-    np.add.at(edge, np.minimum(places, n) + 1, -1)
-    return np.cumsum(edge[: n + 1])[:n] > 0
-
-
 def extended(width: int, buckets: int):
-    """All windows of the whole width that hold a hit."""
+    """All windows of the whole width that hold a hit, dealt by the least hit they hold: equal windows hold the same hits."""
+    half = width // 2
 
     def run(batches):
         out = Packer(buckets)
@@ -148,15 +138,15 @@ def extended(width: int, buckets: int):
             for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
                 words = vec.Words(texts[i:j])
                 part = found.slice(i, j - i)
-                sizes = np.diff(part.offsets.to_numpy())
-                at = part.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], sizes)
-                inside = np.zeros(len(words) + 1, bool)
-                inside[words.inside(width)] = True
-                # a window may start up to half a width before the hit; windows that leave the text are not inside
-                near = np.flatnonzero(marked(at, width - width // 2, len(words)) & inside[:-1])
+                at = part.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], np.diff(part.offsets.to_numpy()))
                 hashes = words.hashes()
+                inside = words.inside(width)
+                hit = np.full(len(words), vec.NEVER)
+                hit[at] = vec.mix(vec.windows(hashes, half)[at])
+                least = vec.sliding_min(hit, width - half + 1)[inside]
+                near, least = inside[least < vec.NEVER], least[least < vec.NEVER]
                 h, g = vec.windows(hashes, width)[near], vec.windows(hashes, width, 1)[near]
-                out.add(h, [h, (g >> vec.U64(32)).astype(np.uint32)], near, ids[i:j], words.counts, len(words.buf))
+                out.add(vec.mix(least), [h, (g >> vec.U64(32)).astype(np.uint32)], near, ids[i:j], words.counts, len(words.buf))
                 if out.size >= BLOCK_BYTES:
                     yield from out.flush()
         yield from out.flush()
@@ -165,16 +155,19 @@ def extended(width: int, buckets: int):
 
 
 def repeats(group: pa.Table) -> pa.Table:
-    """Windows whose words also start in a document with a smaller id."""
+    """Runs of windows whose words also start in a document with a smaller id."""
     (h, g), ids, places = gathered(group, [np.uint64, np.uint32])
     order = np.lexsort((g, h))
-    h, g, ids, places = h[order], g[order], ids[order], places[order]
-    first = run_starts(h, g)
-    if not len(first):
-        return by_document(ids, places)
-    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(h))))
-    keep = ids > least
-    return by_document(ids[keep], places[keep])
+    first = run_starts(h[order], g[order])
+    if len(first):
+        least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
+        order = order[ids[order] > least]
+        ids, places = ids[order], places[order]
+        order = np.lexsort((places, ids))
+        ids, places = ids[order], places[order]
+    first = run_starts(ids, places - np.arange(len(places)))  # of rising places
+    last = np.append(first[1:], len(ids)) - 1 if len(first) else first
+    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "first": pa.array(places[first], pa.int32()), "last": pa.array(places[last], pa.int32())})
 
 
 def kept(width: int):
@@ -187,11 +180,10 @@ def kept(width: int):
                 words = text.split()
                 spans: list[list[int]] = []
                 gone = 0
-                if starts.is_valid and len(starts):
+                if starts.is_valid:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
+                    np.add.at(edge, starts.values.field(0).to_numpy(), 1)
+                    np.add.at(edge, starts.values.field(1).to_numpy() + width, -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(stay.sum())
                     edges = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]]).astype(np.int8)))
@@ -209,25 +201,31 @@ def kept(width: int):
     return run
 
 
-def collected(df: DataFrame) -> DataFrame:
-    """One row for each document with all its places; as many as it has words at most."""
-    return df.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+def collected(df: DataFrame, *columns: str) -> DataFrame:
+    """One row for each document with all its places or spans; as many as it has words or bytes at most."""
+    return df.groupBy("doc_id").agg(F.collect_list(F.struct(*columns) if columns[1:] else columns[0]).alias("places"))
+
+
+def known_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id, and the others with no places. Both joins then read one shuffle of the texts, which Spark reuses."""
+    return docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").withColumn("places", F.lit(None).cast("array<struct<first:int,last:int>>"))
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str | Column = "doc_id", text: str | Column = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256, spans ([first, end) word numbers removed) of each document.
 
     A word goes if a window of `width` words over it also starts in a document with a smaller id.
     """
     if width < 2:
         raise ValueError("width must be 2 words at least")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id") if isinstance(doc_id, str) else doc_id.alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
+    docs = id_and_text(docs, doc_id, text)
     buckets = buckets_for(docs, "text", BLOCK_BYTES)
-    index = docs.where("doc_id IS NOT NULL").mapInArrow(probes(width, buckets), PACKED)
-    found = collected(index.groupBy("bucket").applyInArrow(hits(width // 2), PLACES))
+    docs, unknown = known_ids(docs)
+    index = docs.mapInArrow(probes(width, buckets), PACKED)
+    found = collected(index.groupBy("bucket").applyInArrow(hits(width // 2), PLACE), "place")
     windows = docs.join(found, "doc_id").mapInArrow(extended(width, buckets), PACKED)
-    starts = collected(windows.groupBy("bucket").applyInArrow(repeats, PLACES))
-    return docs.join(starts, "doc_id", "left").mapInArrow(kept(width), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
+    starts = collected(windows.groupBy("bucket").applyInArrow(repeats, SPAN), "first", "last")
+    return docs.join(starts, "doc_id", "left").union(unknown).mapInArrow(kept(width), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

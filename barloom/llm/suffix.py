@@ -12,7 +12,7 @@ the task's temporary files whenever they hold more than QUEUE_BYTES, so a shard
 
 Defined results: a null or empty text has no bytes and loses none. Texts shorter than `width` stay whole. Repeats
 within one document count, overlapping ones too; every occurrence goes, the first as well. Rows that repeat a text are
-repeats of each other. Other columns of the input are ignored.
+repeats of each other. A row without doc_id stays whole and is not compared. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .frames import buckets_for
-from .substring import BLOCK_BYTES, PACKED, PLACES, TASK_BYTES, Packer, by_document, collected, gathered, run_starts
+from .frames import buckets_for, id_and_text
+from .substring import BLOCK_BYTES, PACKED, PLACE, SPAN, TASK_BYTES, Packer, collected, flat, gathered, known_ids, run_starts
 
 GRAM = 32
 QUEUE_BYTES = 128 << 20
@@ -202,12 +202,7 @@ def anchors_of(texts: list[bytes], width: int):
     if n <= 0:
         return buf, offsets, np.zeros(0, np.int64), np.zeros(0, np.int64), h
     v = (h >> vec.U64(32) << vec.U64(32)) | np.arange(len(h), dtype=np.uint64)
-    full = np.full(-(-len(v) // w) * w, np.uint64(2**64 - 1))
-    full[: len(v)] = v
-    rows = full.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+    least = vec.sliding_min(v, w)
     at = np.arange(n)
     good = at + width <= np.repeat(offsets[1:] - 1, sizes + 1)[:n]
     return buf, offsets, at[good], (least[good] & vec.U64(0xFFFFFFFF)).astype(np.int64), h
@@ -238,7 +233,7 @@ def twice(group: pa.Table) -> pa.Table:
     first = run_starts(key[order])
     sizes = np.diff(np.append(first, len(key)))
     keep = order[np.repeat(sizes > 1, sizes)]
-    return by_document(ids[keep], places[keep])
+    return flat(ids[keep], places[keep])
 
 
 AROUND = "bucket int, key long, doc_id long, start int, body binary"
@@ -305,7 +300,7 @@ def shard(width: int):
         inner = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
         got = flat[at[code][row] + inner] + group.column("start").to_numpy()[row][:, None]
         ids = group.column("doc_id").to_numpy()[row]
-        return by_document(np.repeat(ids, 2), got.reshape(-1))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(got[:, 0], pa.int32()), "last": pa.array(got[:, 1], pa.int32())})
 
     return run
 
@@ -316,11 +311,10 @@ def remaining(width: int):
             rows = []
             for text, spans in zip(vec.texts_of(batch.column(1)), batch.column(2), strict=True):
                 runs, left = np.zeros((0, 2), np.int64), text
-                if spans.is_valid and len(spans):
-                    pairs = spans.values.to_numpy().reshape(-1, 2)
+                if spans.is_valid:
                     edge = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(edge, pairs[:, 0], 1)
-                    np.add.at(edge, pairs[:, 1] + width, -1)
+                    np.add.at(edge, spans.values.field(0).to_numpy(), 1)
+                    np.add.at(edge, spans.values.field(1).to_numpy() + width, -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     runs = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]]).astype(np.int8))).reshape(-1, 2)
                     left = np.frombuffer(text, np.uint8)[stay].tobytes()
@@ -341,12 +335,13 @@ def suffix_dedup(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", text
     """
     if width < 8:
         raise ValueError("width must be 8 bytes at least")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = id_and_text(docs, doc_id, text)
     buckets = buckets_for(docs, "text", BLOCK_BYTES)
-    found = collected(docs.mapInArrow(anchor_blocks(width, buckets), PACKED).groupBy("bucket").applyInArrow(twice, PLACES))
+    docs, unknown = known_ids(docs)
+    found = collected(docs.mapInArrow(anchor_blocks(width, buckets), PACKED).groupBy("bucket").applyInArrow(twice, PLACE), "place")
     around = docs.join(found, "doc_id").mapInArrow(surroundings(width, buckets), AROUND)
-    spans = collected(around.groupBy("bucket").applyInArrow(shard(width), PLACES))
-    return docs.join(spans, "doc_id", "left").mapInArrow(remaining(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<array<int>>")
+    spans = collected(around.groupBy("bucket").applyInArrow(shard(width), SPAN), "first", "last")
+    return docs.join(spans, "doc_id", "left").union(unknown).mapInArrow(remaining(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<array<int>>")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+NEVER = np.uint64(2**64 - 1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -169,3 +170,16 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
     for b in range(buckets):
         if bounds[b] < bounds[b + 1]:
             yield b, order[bounds[b] : bounds[b + 1]]
+
+
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Least of each w consecutive values: the lower of a running least from the left and one from the right, by pieces of w."""
+    n = len(v) - w + 1
+    if n <= 0:
+        return v[:0]
+    full = np.full(-(-len(v) // w) * w, np.iinfo(v.dtype).max, v.dtype)
+    full[: len(v)] = v
+    rows = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
