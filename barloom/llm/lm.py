@@ -10,9 +10,9 @@ longest suffix of what it has read; texts are scored by it, in blocks that begin
 
 There are `order / p_min` retained contexts at most whatever the corpus, which bounds what is collected and broadcast.
 
-The baseline needs the corpus count of every word of every text. Tasks turn about 16 MB of text into one row of hashed
+The baseline needs the corpus count of every word of every text. Tasks turn about 8 MB of text into one row of hashed
 words and (word, text, times) entries; the distinct words of each row are counted and looked up by joins, so a common
-word is one row for each 16 MB of text, and texts are never shuffled.
+word is one row for each 8 MB of text, and texts are never shuffled.
 
 Defined results: a null or empty text is the end token alone. Every row is scored, also one without doc_id (its fold is
 null; it is not learned from and held_out is null).
@@ -31,12 +31,12 @@ from . import vec
 from .frames import saved
 from .substring import run_starts
 
-TASK_BYTES = 2 << 20
-ROW_BYTES = 16 << 20
+TASK_BYTES = 1 << 20
+ROW_BYTES = 8 << 20
 END = 10
 SCORE_BLOCK = 4096
 END_WORD = vec.U64(0x7E3D5A1F9C2B4866)
-COUNTED = 4 << 20  # distinct substrings a task holds before it passes them on
+COUNTED = 3 << 19  # distinct substrings a task holds before it passes them on
 
 
 def stream_of(words: vec.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +83,8 @@ def gram_counts(order: int):
             return all_codes[rows][first], np.add.reduceat(all_counts[rows], first) if len(first) else all_counts
 
         for batch in batches:
-            texts = vec.texts_of(batch.column(0))
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                code, n = np.unique(grams(stream_of(vec.Words(texts[i:j], lower=True))[0], order), return_counts=True)
+            for _, _, texts in vec.parts(batch.column(0), TASK_BYTES):
+                code, n = np.unique(grams(stream_of(vec.Words(texts, lower=True))[0], order), return_counts=True)
                 codes.append(code)
                 counts.append(n)
                 held += len(code)
@@ -207,7 +206,7 @@ ROWS = "row long, ids binary, train binary, sizes binary, scores binary, words a
 
 
 def scored_rows(shared):
-    """About 16 MB of text a row: scores of the texts, distinct hashed words, and (word, text, times) entries."""
+    """About 8 MB of text a row: scores of the texts, distinct hashed words, and (word, text, times) entries."""
     from pyspark import TaskContext
 
     def run(batches):
@@ -230,11 +229,10 @@ def scored_rows(shared):
             )
 
         for batch in batches:
-            texts = vec.texts_of(batch.column(1))
             ids = batch.column(0).fill_null(-(2**63)).to_numpy()
             fold = np.array([-1 if x is None else int(x) for x in batch.column(2).to_pylist()], np.int8)
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                words = vec.Words(texts[i:j], lower=True)
+            for i, j, texts in vec.parts(batch.column(1), TASK_BYTES):
+                words = vec.Words(texts, lower=True)
                 h = np.concatenate([words.hashes(), np.full(j - i, END_WORD)])
                 text = np.concatenate([words.text_of(), np.arange(j - i, dtype=np.int32)])
                 order = np.lexsort((h, text))

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 NEVER = np.uint64(2**64 - 1)
@@ -120,6 +121,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of about `most` bytes with their texts, made one range at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for i, j in chunks(sizes, most):
+        yield i, j, texts_of(column.slice(i, j - i))
+
+
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     """List array of values parted at bounds (one more than there are lists)."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
