@@ -10,9 +10,9 @@ longest suffix of what it has read; texts are scored by it, in blocks that begin
 
 There are `order / p_min` retained contexts at most whatever the corpus, which bounds what is collected and broadcast.
 
-The baseline needs the corpus count of every word of every text. Tasks turn about 8 MB of text into one row of hashed
+The baseline needs the corpus count of every word of every text. Tasks turn about 3 MB of text into one row of hashed
 words and (word, text, times) entries; the distinct words of each row are counted and looked up by joins, so a common
-word is one row for each 8 MB of text, and texts are never shuffled.
+word is one row for each 3 MB of text, and texts are never shuffled.
 
 Defined results: a null or empty text is the end token alone. Every row is scored, also one without doc_id (its fold is
 null; it is not learned from and held_out is null).
@@ -32,7 +32,7 @@ from .frames import saved
 from .substring import run_starts
 
 TASK_BYTES = 1 << 20
-ROW_BYTES = 8 << 20
+ROW_BYTES = 3 << 20
 END = 10
 SCORE_BLOCK = 4096
 END_WORD = vec.U64(0x7E3D5A1F9C2B4866)
@@ -206,7 +206,7 @@ ROWS = "row long, ids binary, train binary, sizes binary, scores binary, words a
 
 
 def scored_rows(shared):
-    """About 8 MB of text a row: scores of the texts, distinct hashed words, and (word, text, times) entries."""
+    """About 3 MB of text a row: scores of the texts, distinct hashed words, and (word, text, times) entries."""
     from pyspark import TaskContext
 
     def run(batches):
@@ -258,14 +258,14 @@ def base_sums(n_train: int, n_words: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, train, sizes, scores, entries = (batch.column(c)[i].as_py() for c in range(1, 6))
+                ids, _, sizes, scores, entries = (batch.column(c)[i].as_buffer() for c in range(1, 6))
                 ids, sizes, scores = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(scores)
                 planes = np.frombuffer(entries, np.uint8).reshape(3, 4, -1)
-                gap, text, times = (np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in planes)
+                gap, text, times = (np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes)
                 found = batch.column(6)[i].values
                 count = np.zeros(len(found), np.int64)
                 count[found.field(0).to_numpy()] = found.field(1).to_numpy()
-                c = count[np.cumsum(gap)]
+                c = count[np.cumsum(gap, dtype=np.int64)]
                 top = np.bincount(text, times * np.log10(c + 0.1), len(ids))
                 known = np.bincount(text, times * (c > 0), len(ids)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
