@@ -3,13 +3,15 @@
 Every document is the set of its distinct `shingle`-word shingles. Documents with equal sets are folded into the one
 with the smallest id. The others go down `trees` independent trees: a node sends each document to the child named by
 the least hash of its set under the node's own hash function, so similar documents go the same way with a probability
-equal to their similarity. A node of at most `leaf` documents is a leaf, in which all pairs are compared; larger nodes
-branch further, up to `depth` times. A node that is still larger holds documents that agree on `depth` tokens; each of
-them is compared with `pivots` members, drawn anew in every tree, which connects such a group by a number of pairs
-that is linear in its size. Pairs whose sketches are far apart are left out, all others are confirmed on the full sets.
+equal to their similarity. A node of at most `leaf` documents is a leaf, in which all pairs are compared. In a larger one
+each document is compared with `pivots` members, drawn anew in every tree, which joins most of a group of copies by a
+number of pairs that is linear in its size. Then the larger nodes branch further, up to `depth` times, until all but
+`leaf` of a node's documents are in one component, and those few are compared with all of the node; documents of one
+component need no comparison. A node with more of them after the last branching is compared in the same way. Pairs whose
+sketches are far apart are left out, all others are confirmed on the full sets.
 
 The trees are independent, so a link of similarity s is missed in all of them with a probability of at most
-(1 - s**k)**trees, where k is the number of branchings until its node is a leaf: 2e-7 for s = 0.85, k = 1 and 8 trees,
+(1 - s**k)**trees, where k is the number of branchings until its node is compared: 2e-7 for s = 0.85, k = 1 and 8 trees,
 3e-5 for k = 2. Connected components come from rounds of hooking to the smallest neighbour and of halving paths.
 
 Defined results: a document with fewer words than a shingle is its whole word sequence, as one shingle; without words
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
@@ -29,6 +31,7 @@ from .frames import id_and_text, saved
 from .substring import run_starts
 
 TASK_BYTES = 2 << 20
+HOT = 20_000  # nodes broadcast at most; a row of theirs is a sketch and a few numbers
 _COEFFICIENTS = np.random.default_rng(8).integers(1, 2**63, (512, 2), dtype=np.uint64) | vec.U64(1)
 
 
@@ -108,30 +111,64 @@ def confirm(percent: int):
     return run
 
 
-def candidates(reps: DataFrame, trees: int, depth: int, leaf: int, pivots: int, least: float) -> DataFrame:
-    """Pairs (a < b) that share a leaf, or a large node with b or a as its pivot, and whose sketches agree on `least` at least."""
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    near = agree >= int(least * trees * depth)
+def noted(rows: DataFrame, nodes: DataFrame, n_rows: int) -> DataFrame:
+    """Rows of the nodes (saved; node, n, ...), with the columns of their node. Large nodes, of which there are HOT at most, are sent to
+    the rows, so their rows are not gathered."""
+    most = max(1024, n_rows // HOT)
+    hot = F.broadcast(nodes.where(F.col("n") > most))
+    rest = rows.join(hot.select("node"), "node", "left_anti").join(nodes.where(F.col("n") <= most), "node")
+    return rows.join(hot, "node").unionByName(rest)
+
+
+def alike(agreeing: int) -> Column:
+    return F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y) >= agreeing
+
+
+def candidates(reps: DataFrame, trees: int, depth: int, leaf: int, pivots: int, near: Column) -> tuple[DataFrame, DataFrame]:
+    """The first branching of every tree: pairs (a < b) that share a leaf, or of which one is a pivot of the node; and the rows of larger nodes."""
+    n_rows = reps.count() * trees
     rows = reps.select("doc_id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.withColumn("node", F.xxhash64("tree", F.get("sketch", F.col("tree") * depth)))
+    rows = saved(noted(rows, saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), n_rows))
+    small = rows.where(F.col("n") <= leaf).select("node", "doc_id", "sketch")
+    pairs = small.select("node", F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).join(small.select("node", F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "node").where("a < b").where(near).select("a", "b")
+    large = rows.where(F.col("n") > leaf)
+    for p in range(pivots):
+        chosen = large.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "tree", F.lit(p)).alias("o"), F.col("doc_id").alias("p"), F.col("sketch").alias("sb"))).alias("m")).select("node", "n", "m.p", "m.sb")
+        pairs = pairs.union(noted(large.select("node", "doc_id", F.col("sketch").alias("sa")), saved(chosen), n_rows).where("doc_id != p").where(near).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
+    return saved(pairs.distinct()), large.drop("n")
+
+
+def across(large: DataFrame, roots: DataFrame, depth: int, leaf: int, near: Column) -> DataFrame:
+    """Pairs (a < b) of different components that share a node of `large`: a node is compared once all but `leaf` of its rows are in one
+    component, or at the last branching. Nodes within one component are done."""
+    rows = saved(large.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+    n_rows = rows.count()
     pairs = None
     for level in range(1, depth + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = saved(rows.join(sizes, "node"))
-        small = rows.where(F.col("n") <= leaf).select("node", "doc_id", "sketch")
-        found = small.select("node", F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).join(small.select("node", F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "node").where("a < b").where(near).select("a", "b")
+        nodes = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
+        rows = saved(noted(rows, saved(nodes.select("node", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))), n_rows))
+        done = rows if level == depth else rows.where(F.col("others") <= leaf)
+        few = done.where("root != main").select("node", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sa"))
+        found = few.join(done.select("node", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sb")), "node").where("rx != ry").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = found if pairs is None else pairs.union(found)
-        rows = rows.where(F.col("n") > leaf).drop("n")
+        if level == depth:
+            break
+        rows = rows.where(F.col("others") > leaf).drop("n", "others", "main")
         if rows.isEmpty():
-            return pairs.distinct()
-        if level < depth:
-            rows = rows.withColumn("node", F.xxhash64("node", F.get("sketch", F.col("tree") * depth + level)))
-    for p in range(pivots):  # what is left agrees on `depth` tokens
-        chosen = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("doc_id", "tree", F.lit(p)).alias("o"), F.col("doc_id").alias("p"), F.col("sketch").alias("sb"))).alias("m")).select("node", "m.p", "m.sb")
-        pairs = pairs.union(rows.withColumnRenamed("sketch", "sa").join(chosen, "node").where("doc_id != p").where(near).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
+            break
+        rows = rows.withColumn("node", F.xxhash64("node", F.get("sketch", F.col("tree") * depth + level)))
     return pairs.distinct()
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs that full sets confirm."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = saved(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(full_sets(shingle), "doc_id long, members binary"))
+    of_a, of_b = (sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+    return saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a long, b long"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id reachable over links (a, b), for every id that has one. links: saved rows.
 
@@ -169,12 +206,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     reps = some.groupBy(key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     similarity = percent / 100
     slack = 5 * (similarity * (1 - similarity) / k) ** 0.5  # five standard deviations of a sketch's estimate
-    pairs = saved(candidates(reps.select(F.col("rep").alias("doc_id"), "sketch"), trees, depth, leaf, pivots, similarity - slack))
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = saved(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(full_sets(shingle), "doc_id long, members binary"))
-    of_a, of_b = (sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    links = saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a long, b long"))
+    near = alike(int((similarity - slack) * k))
+    pairs, large = candidates(saved(reps.select(F.col("rep").alias("doc_id"), "sketch")), trees, depth, leaf, pivots, near)
+    links = confirmed(docs, pairs, shingle, percent)
     roots = components(links)
+    more = saved(across(large, roots, depth, leaf, near).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        roots = components(links.union(confirmed(docs, more, shingle, percent)))
     classes = some.groupBy(key).agg(F.min("doc_id").alias("rep")).join(roots, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     linked = some.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "component_id")
     alone = seen.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
