@@ -133,13 +133,14 @@ def candidates(reps: DataFrame, trees: int, depth: int, leaf: int, pivots: int,
     small = rows.where(F.col("n") <= leaf).select("node", "doc_id", "sketch")
     pairs = small.select("node", F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).join(small.select("node", F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "node").where("a < b").where(near).select("a", "b")
     large = rows.where(F.col("n") > leaf)
-    for p in range(pivots):
-        chosen = large.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "tree", F.lit(p)).alias("o"), F.col("doc_id").alias("p"), F.col("sketch").alias("sb"))).alias("m")).select("node", "n", "m.p", "m.sb")
-        pairs = pairs.union(noted(large.select("node", "doc_id", F.col("sketch").alias("sa")), saved(chosen), n_rows).where("doc_id != p").where(near).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
-    return saved(pairs.distinct()), large.drop("n")
+    drawn = [F.min(F.struct(F.xxhash64("doc_id", "tree", F.lit(p)).alias("o"), F.col("doc_id").alias("p"), F.col("sketch").alias("sb"))) for p in range(pivots)]
+    chosen = saved(large.groupBy("node").agg(F.max("n").alias("n"), F.array(*drawn).alias("drawn")))
+    met = noted(large.select("node", "doc_id", F.col("sketch").alias("sa")), chosen, n_rows).select("doc_id", "sa", F.inline("drawn"))
+    pairs = pairs.union(met.where("doc_id != p").where(near).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
+    return saved(pairs.distinct()), large.select("node", "doc_id", F.slice("sketch", F.col("tree") * depth + 1, depth).alias("tokens"))
 
 
-def across(large: DataFrame, roots: DataFrame, depth: int, leaf: int, near: Column) -> DataFrame:
+def across(large: DataFrame, reps: DataFrame, roots: DataFrame, depth: int, leaf: int, near: Column) -> DataFrame:
     """Pairs (a < b) of different components that share a node of `large`: a node is compared once all but `leaf` of its rows are in one
     component, or at the last branching. Nodes within one component are done."""
     rows = saved(large.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
@@ -149,15 +150,15 @@ def across(large: DataFrame, roots: DataFrame, depth: int, leaf: int, near: Colu
         nodes = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
         rows = saved(noted(rows, saved(nodes.select("node", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))), n_rows))
         done = rows if level == depth else rows.where(F.col("others") <= leaf)
-        few = done.where("root != main").select("node", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sa"))
-        found = few.join(done.select("node", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sb")), "node").where("rx != ry").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        few = done.where("root != main").join(reps, "doc_id").select("node", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sa"))
+        found = few.join(done.join(reps, "doc_id").select("node", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sb")), "node").where("rx != ry").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = found if pairs is None else pairs.union(found)
         if level == depth:
             break
         rows = rows.where(F.col("others") > leaf).drop("n", "others", "main")
         if rows.isEmpty():
             break
-        rows = rows.withColumn("node", F.xxhash64("node", F.get("sketch", F.col("tree") * depth + level)))
+        rows = rows.withColumn("node", F.xxhash64("node", F.get("tokens", F.lit(level))))
     return pairs.distinct()
 
 
@@ -207,10 +208,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     similarity = percent / 100
     slack = 5 * (similarity * (1 - similarity) / k) ** 0.5  # five standard deviations of a sketch's estimate
     near = alike(int((similarity - slack) * k))
-    pairs, large = candidates(saved(reps.select(F.col("rep").alias("doc_id"), "sketch")), trees, depth, leaf, pivots, near)
+    sketched = saved(reps.select(F.col("rep").alias("doc_id"), "sketch"))
+    pairs, large = candidates(sketched, trees, depth, leaf, pivots, near)
     links = confirmed(docs, pairs, shingle, percent)
     roots = components(links)
-    more = saved(across(large, roots, depth, leaf, near).join(pairs, ["a", "b"], "left_anti"))
+    more = saved(across(large, sketched, roots, depth, leaf, near).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         roots = components(links.union(confirmed(docs, more, shingle, percent)))
     classes = some.groupBy(key).agg(F.min("doc_id").alias("rep")).join(roots, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
