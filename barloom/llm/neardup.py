@@ -5,7 +5,7 @@ with the smallest id. The others go down `trees` independent trees: a node sends
 the least hash of its set under the node's own hash function, so similar documents go the same way with a probability
 equal to their similarity. A node of at most `leaf` documents is a leaf, in which all pairs are compared. In a larger one
 each document is compared with `pivots` members, drawn anew in every tree, which joins most of a group of copies by a
-number of pairs that is linear in its size. Then the larger nodes branch further, up to `depth` times, until all but
+number of pairs that is linear in its size. Then the larger nodes branch further, `branchings` in all, until all but
 `leaf` of a node's documents are in one component, and those few are compared with all of the node; documents of one
 component need no comparison. A node with more of them after the last branching is compared in the same way. Pairs whose
 sketches are far apart are left out, all others are confirmed on the full sets.
@@ -140,26 +140,25 @@ def candidates(reps: DataFrame, trees: int, depth: int, leaf: int, pivots: int,
     return saved(pairs.distinct()), large.select("node", "doc_id", F.slice("sketch", F.col("tree") * depth + 1, depth).alias("tokens"))
 
 
-def across(large: DataFrame, reps: DataFrame, roots: DataFrame, depth: int, leaf: int, near: Column) -> DataFrame:
+def across(large: DataFrame, reps: DataFrame, roots: DataFrame, branchings: int, leaf: int, near: Column) -> DataFrame:
     """Pairs (a < b) of different components that share a node of `large`: a node is compared once all but `leaf` of its rows are in one
     component, or at the last branching. Nodes within one component are done."""
     rows = saved(large.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
     n_rows = rows.count()
-    pairs = None
-    for level in range(1, depth + 1):
+    ready = None
+    for level in range(1, branchings + 1):
         nodes = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
         rows = saved(noted(rows, saved(nodes.select("node", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))), n_rows))
-        done = rows if level == depth else rows.where(F.col("others") <= leaf)
-        few = done.where("root != main").join(reps, "doc_id").select("node", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sa"))
-        found = few.join(done.join(reps, "doc_id").select("node", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sb")), "node").where("rx != ry").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-        if level == depth:
-            break
+        done = (rows if level == branchings else rows.where(F.col("others") <= leaf)).select("node", "main", "root", "doc_id")
+        ready = done if ready is None else ready.union(done)
         rows = rows.where(F.col("others") > leaf).drop("n", "others", "main")
-        if rows.isEmpty():
+        if level == branchings or rows.isEmpty():
             break
         rows = rows.withColumn("node", F.xxhash64("node", F.get("tokens", F.lit(level))))
-    return pairs.distinct()
+    ready = ready.join(reps, "doc_id")
+    few = ready.where("root != main").select("node", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sa"))
+    met = few.join(ready.select("node", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sb")), "node").where("rx != ry").where(near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -195,10 +194,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 8, depth: int = 8, leaf: int = 8, pivots: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after more links: these join components, so only their roots are worked on."""
+    of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    ends = saved(ends.where("ra != rb"))
+    above = saved(components(saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())).select(F.col("id").alias("root"), F.col("root").alias("least")))
+    moved = roots.join(above, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
+    return moved.union(above.select(F.col("root").alias("id"), F.col("least").alias("root"))).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 8, depth: int = 8, leaf: int = 8, pivots: int = 3, branchings: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row: links are pairs with 100 * intersection >= percent * union."""
-    if trees * depth > len(_COEFFICIENTS):
-        raise ValueError(f"trees * depth must be {len(_COEFFICIENTS)} at most")
+    if trees * depth > len(_COEFFICIENTS) or branchings > depth:
+        raise ValueError(f"trees * depth must be {len(_COEFFICIENTS)} at most, and branchings depth at most")
     docs = id_and_text(docs, doc_id, text)
     k = trees * depth
     seen = saved(docs.mapInArrow(sketches(shingle, k), "doc_id long, n_shingles long, s0 long, s1 long, sketch array<int>"))
@@ -212,9 +221,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     pairs, large = candidates(sketched, trees, depth, leaf, pivots, near)
     links = confirmed(docs, pairs, shingle, percent)
     roots = components(links)
-    more = saved(across(large, sketched, roots, depth, leaf, near).join(pairs, ["a", "b"], "left_anti"))
+    more = saved(across(large, sketched, roots, branchings, leaf, near).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        roots = components(links.union(confirmed(docs, more, shingle, percent)))
+        merged = joined(roots, confirmed(docs, more, shingle, percent))
+        roots = saved(merged)
     classes = some.groupBy(key).agg(F.min("doc_id").alias("rep")).join(roots, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     linked = some.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "component_id")
     alone = seen.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
