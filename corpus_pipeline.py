@@ -5,7 +5,7 @@ Rows without doc_id pass the filters that need one. Extra columns of the input a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, langid, mixing, neardup, pii
@@ -18,8 +18,9 @@ UNREADABLE = 8.0
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go in which no letter, or no language that was learned, can be read."""
     model = langid.train(docs.select("doc_id", "text", "lang"), F.lit(True))
-    kept = langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("phrases_per_byte") < UNREADABLE))
-    return kept.select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "text")  # columns of the input may be named like those that are added
+    kept = langid.identify(whole, model).where((F.col("lang_pred") != "und") & (F.col("phrases_per_byte") < UNREADABLE))
+    return kept.select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with how often each is taken (epochs) and how many words that gives."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels")).where("taken > 0")
-    mixed = mixed.select(F.col("doc_id").alias("mixed_id"), "size", "target", "epochs", "taken")
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
+    key = ["doc_id", "source", "size"]
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size"))
+    numbered = lambda df: df.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))  # noqa: E731  tells rows with the same id apart
+    taken = numbered(mixed).where("taken > 0").select(*(F.col(c).alias(f"m_{c}") for c in (*key, "turn")), F.struct("size", "target", "epochs", "taken").alias("mix"))
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in (*key, "turn")]
+    both = numbered(sized).join(taken, same)
+    new = [c for c in ("size", "target", "epochs", "taken") if c not in docs.columns]
+    return both.select("row.*", *(F.col("mix")[c].alias(c) for c in new))
 
 
 STAGES = [
