@@ -76,7 +76,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], damping: float =
     against = edges.join(into, F.col("dst") == F.col("s")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("share"))
     trust = spread(nodes, saved(along) if rounds else along, "allowed", damping, rounds)
     distrust = spread(nodes, saved(against) if rounds else against, "blocked", damping, rounds)
-    ranks = trust.join(distrust.withColumnRenamed("rank", "distrust"), "host").withColumnRenamed("rank", "trust").withColumnRenamed("host", "h")
+    # written, so the pages' join has a plain shuffle on either side and Spark can split the pages of a hot host
+    ranks = saved(trust.join(distrust.withColumnRenamed("rank", "distrust"), "host").withColumnRenamed("rank", "trust").withColumnRenamed("host", "h"))
     judged = known.join(ranks, F.col("host") == F.col("h"), "left")
     worse = F.coalesce(F.col("distrust") > ratio * F.col("trust"), F.lit(False))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(worse, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
