@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Every item's n-grams are counted over all
-documents; an item's seeds are those in at most COMMON times as many documents as its median one, so at least half of its
-n-grams are seeds however often the item was copied, and what an edited copy keeps of it is among them. A document that holds a seed is aligned with the item around it: words that
-match score 1, others and gaps -1, and the best local alignment over the item's number of words is the score. Copies
-score 1; each replaced word costs 2 / n, each lost word 1 / n, each inserted one 1 / n.
+documents; an item's rare ones are those in at most COMMON times as many documents as the median of those that occur. A
+document that holds one is aligned with the item around it: words that match score 1, others and gaps -1, and the best
+local alignment over the item's number of words is the score. Copies score 1; each replaced word costs 2 / n, each lost
+word 1 / n, each inserted one 1 / n. A place with common n-grams alone is aligned too, unless it has too few of the item's
+words for the least score: rarity spares alignments and loses no pair. Around a seed all is looked at that an alignment
+with the least score can reach. A copy without one whole n-gram of its item is not found.
 
 The benchmark is taken in blocks of about BLOCK_BYTES, each of which is small enough to send to every task; a larger
 benchmark is more passes over the documents. Documents are never shuffled.
@@ -65,22 +67,44 @@ class Items:
         self.place = at - self.first[self.item]
 
     def seeds(self, gram: np.ndarray, frequency: np.ndarray) -> None:
-        """Keeps each item's n-grams up to COMMON times its median frequency, in the order of the grams."""
+        """Puts the n-grams in order and marks as rare each item's up to COMMON times the median frequency of those that occur."""
         order = np.argsort(gram)
         gram, frequency = gram[order], frequency[order]
         often = np.zeros(len(self.grams))
         if len(gram):
             at = np.minimum(np.searchsorted(gram, self.grams), len(gram) - 1)
             often = np.where(gram[at] == self.grams, frequency[at], 0)
-        keep = np.zeros(len(self.grams), bool)
+        rare = np.zeros(len(self.grams), bool)
         first = np.append(run_starts(self.item), len(self.item))
         for i, j in zip(first[:-1], first[1:], strict=True):
-            keep[i:j] = often[i:j] <= COMMON * np.median(often[i:j])
-        order = np.argsort(self.grams[keep], kind="stable")
-        self.grams, self.item, self.place = self.grams[keep][order], self.item[keep][order], self.place[keep][order]
+            here = often[i:j][often[i:j] > 0]
+            rare[i:j] = often[i:j] <= COMMON * np.median(here) if len(here) else True
+        order = np.argsort(self.grams, kind="stable")
+        self.grams, self.item, self.place, self.rare = self.grams[order], self.item[order], self.place[order], rare[order]
         self.sieve = Sieve(self.grams)
         self.from_ = np.searchsorted(self.grams, self.sieve.members)
         self.upto = np.searchsorted(self.grams, self.sieve.members, "right")
+        own = of_item(self.words, np.repeat(np.arange(len(self.counts)), self.counts))
+        self.vocabulary = Sieve(own)
+        self.times = np.bincount(np.searchsorted(self.vocabulary.members, own), minlength=len(self.vocabulary.members))
+
+    def most(self, h: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words the words [low, high) of h can match of their item at most, in any order."""
+        out = np.zeros(len(item), np.int64)
+        for i, j in vec.chunks(high - low, CELLS):
+            width = high[i:j] - low[i:j]
+            row = np.repeat(np.arange(j - i), width)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[i:j], width)
+            hit, word = self.vocabulary.places(of_item(h[at], item[i:j][row]))
+            words = np.unique(row[hit] * len(self.times) + word)
+            distinct = np.bincount(words // max(len(self.times), 1), weights=self.times[words % max(len(self.times), 1)], minlength=j - i)
+            out[i:j] = np.minimum(np.bincount(row[hit], minlength=j - i), distinct)
+        return out
+
+
+def of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hashes of words of an item, told apart from the same words of others."""
+    return (words ^ (item.astype(np.uint64) * vec.U64(0x9E3779B97F4A7C15))) * vec.U64(0xD6E8FEB86659FD93)
 
 
 def align(a: np.ndarray, n_a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +166,7 @@ def aligned(shared, least: float):
                 begin = hit - items.place[seed]  # where the item would begin
                 order = np.lexsort((begin, item, owner))
                 item, size, owner, begin = item[order], size[order], owner[order], begin[order]
-                pad = size // 2 + 2
+                pad = np.ceil((1 - least) * size).astype(np.int64) + 1  # more inserted or lost words leave less than the least score
                 new = np.ones(len(item), bool)  # seeds that place the item within half its length are one candidate
                 new[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] - begin[:-1] > pad[1:])
                 first = np.flatnonzero(new)
@@ -150,7 +174,11 @@ def aligned(shared, least: float):
                 low = np.maximum(begin[first] - pad[first], words.first[owner[first]])
                 high = np.minimum(begin[last] + size[last] + pad[last], words.first[owner[first] + 1])
                 n_seeds = last - first + 1
-                yield scored(items, ids, i, words, h, item[first], owner[first], low, high, n_seeds, least)
+                item, owner = item[first], owner[first]
+                good = np.logical_or.reduceat(items.rare[seed[order]], first)
+                common = np.flatnonzero(~good)
+                good[common] = items.most(h, item[common], low[common], high[common]) >= least * items.counts[item[common]] - 1e-9
+                yield scored(items, ids, i, words, h, item[good], owner[good], low[good], high[good], n_seeds[good], least)
 
     return run
 

@@ -192,6 +192,35 @@ def test_contamination_scores(spark):
     assert {k for k, v in true.items() if v >= 0.6} <= set(got)
 
 
+def test_contamination_of_edited_and_partial_copies(spark):
+    rng = random.Random(7)
+    words = [f"v{i}" for i in range(3000)]
+    split = str.split
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([15, 17, 27, 38, 48, 59] * 10)]
+    docs = []
+    for i, x in items:  # the only copy of each: replaced words, a part, or many inserted words
+        copy = split(x)
+        if i % 3 == 0:
+            for k in rng.sample(range(len(copy)), int(len(copy) * 0.3)):
+                copy[k] = "new"
+        elif i % 3 == 1:
+            copy = copy[len(copy) // 2 :][: math.ceil(len(copy) * 0.4)]
+        else:
+            for _ in range(int(len(copy) * 0.55)):
+                copy.insert(rng.randrange(len(copy) // 4 + 1), "new")
+        docs.append((i, " ".join(["a", "b", *copy, "c", "d"])))
+    docs += [(1000 + i, f"x {' '.join(split(items[0][1])[:8])} y") for i in range(300)] + [(2000, f"x {' '.join(split(items[0][1])[7:])} y")]  # one half is common, the other is not
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontaminate.contamination(spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda w: set(zip(w, w[1:], w[2:]))
+    pairs = [(d, i) for d, t in docs for i, x in items if grams(split(t)) & grams(split(x))]
+    texts, true = dict(docs), {}
+    for d, i in pairs:
+        score = plain_alignment(split(items[i][1]), split(texts[d])) / len(split(items[i][1]))
+        if score >= 0.4:
+            true[d, i] = round(score, 9)
+    assert got == true and len(true) > 330
+
+
 def test_op1_finds_whole_items(spark, medium):
     norm = lambda t: " " + " ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())) + " "
     items = {r["item_id"]: norm(r["text"]) for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()}
