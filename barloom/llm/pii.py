@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SCORE, CONTEXT_BONUS, CONTEXT_CHARS = 0.6, 0.3, 40
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def digits(m: Column) -> Column:

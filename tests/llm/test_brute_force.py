@@ -266,6 +266,14 @@ def test_pii_odd_texts(spark, tmp_path):
     check_pii(QUERIES["op4_pii"](spark, str(tmp_path)).collect(), dict(enumerate(texts)))
 
 
+def test_pii_addresses_with_zero_parts(spark, tmp_path):
+    texts = ["10.0.0.1", "0.0.0.0", "000.1.2.3 192.168.0.1", "at 0.1.2.3, 1.2.3.00", "0256.1.1.1 256.0.0.0 0.0.0.4444", "0" * 3000 + ".0.0.0"]
+    spark.createDataFrame(list(enumerate(texts)), TEXT).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op4_pii"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    check_pii(rows, dict(enumerate(texts)))
+    assert [r["n_ip"] for r in rows] == [1, 1, 2, 2, 0, 1]
+
+
 def test_pii_added_kinds_and_redaction(spark):
     texts = ["IBAN: GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33", "my ssn is 123-45-6789", "code 123-45-6789", "write a@b.co now", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), TEXT).withColumn("s", pii.pii_spans(F.col("text"))).withColumn("clean", pii.redact(F.col("text"), F.col("s"))).orderBy("doc_id").collect()
