@@ -153,12 +153,19 @@ def age_hours(spark, sf_dir: str) -> DataFrame:
 
 @query("summarize")
 def summarize(spark, sf_dir: str) -> DataFrame:
-    """The two sentences of each page's text that share most words with its others, in their order."""
+    """The two sentences of each page's text that share most words with its others, in their order.
+
+    A word shared by sentences of n and m words adds 1 / (ln(n + 1) + ln(m + 1)) to both; the sums are over counts of
+    sentences by page, word and m, so no pairs are listed.
+    """
     docs = table(spark, sf_dir, "pages").select("page_id", tx.plain_text(F.col("html")).alias("text"))
-    parts = docs.select("page_id", F.posexplode(F.slice(F.split("text", r"(?<=[.!?])\s+"), 1, 40)).alias("i", "sentence"))
-    parts = parts.withColumn("bag", F.filter(F.array_distinct(tx.words(F.col("sentence"))), lambda w: F.length(w) >= 3)).where(F.size("bag") > 1)
-    a, b = parts.alias("a"), parts.select("page_id", F.col("i").alias("j"), F.col("bag").alias("other")).alias("b")
-    alike = F.size(F.array_intersect("bag", "other")) / (F.ln(F.size("bag") + 1.0) + F.ln(F.size("other") + 1.0))
-    score = a.join(b, "page_id").where("i != j").groupBy("page_id", "i", "sentence").agg(F.sum(alike).alias("score"))
-    best = score.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "i"))).where("rn <= 2")
+    parts = docs.select("page_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("i", "sentence"))
+    bags = parts.select("page_id", "i", F.filter(F.array_distinct(tx.words(F.col("sentence"))), lambda w: F.length(w) >= 3).alias("bag")).where(F.size("bag") > 1)
+    found = bags.select("page_id", "i", F.size("bag").alias("n"), F.explode("bag").alias("word"))
+    holding = found.groupBy("page_id", "word", F.col("n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    alike = (F.col("c") - (F.col("m") == F.col("n")).cast("int")) / (F.ln(F.col("n") + 1.0) + F.ln(F.col("m") + 1.0))
+    score = found.join(holding, ["page_id", "word"]).groupBy("page_id", "i").agg(F.round(F.sum(alike), 9).alias("score"))  # rounded, so equal sentences tie
+    page = Window.partitionBy("page_id")
+    best = score.withColumn("all", F.count(F.lit(1)).over(page)).withColumn("rn", F.row_number().over(page.orderBy(F.desc("score"), "i"))).where("rn <= 2 AND all > 1")
+    best = best.select("page_id", "i").join(parts, ["page_id", "i"])
     return best.groupBy("page_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda s: s["sentence"])).alias("summary"))
