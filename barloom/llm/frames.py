@@ -34,9 +34,9 @@ def buckets_for(docs: DataFrame, text: str, bytes_each: int) -> int:
     return max(1, -(-int(total) // bytes_each))
 
 
-def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id (long) and text alone. Columns that are so already stay as they are: an alias on one side of two
+def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns doc_id (long) and text alone, and those of `carry`. Columns that are so already stay as they are: an alias on one side of two
     joins would keep Spark from reusing the shuffle of the texts."""
     kinds = dict(docs.dtypes)
     one = F.col(doc_id) if (doc_id, kinds[doc_id]) == ("doc_id", "bigint") else F.col(doc_id).cast("long").alias("doc_id")
-    return docs.select(one, F.col(text) if text == "text" else F.col(text).alias("text"))
+    return docs.select(one, F.col(text) if text == "text" else F.col(text).alias("text"), *carry)

@@ -1,26 +1,36 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Every document is the set of its distinct `shingle`-word shingles. Documents with equal sets are folded into the one
-with the smallest id. The others go down `trees` independent trees: a node sends each document to the child named by
-the least hash of its set under the node's own hash function, so similar documents go the same way with a probability
-equal to their similarity. A node of at most `leaf` documents is a leaf, in which all pairs are compared. In a larger one
-each document is compared with `pivots` members, drawn anew in every tree, which joins most of a group of copies by a
-number of pairs that is linear in its size. Then the larger nodes branch further, `branchings` in all, until all but
-`leaf` of a node's documents are in one component, and those few are compared with all of the node; documents of one
-component need no comparison. A node with more of them after the last branching is compared in the same way. Pairs whose
-sketches are far apart are left out, all others are confirmed on the full sets.
-
-The trees are independent, so a link of similarity s is missed in all of them with a probability of at most
-(1 - s**k)**trees, where k is the number of branchings until its node is compared: 2e-7 for s = 0.85, k = 1 and 8 trees,
-3e-5 for k = 2. Connected components come from rounds of hooking to the smallest neighbour and of halving paths.
+Every document is the set of its distinct `shingle`-word shingles; documents with equal sets are one node of the graph
+of links. The others go down independent trees: at each branching a document takes the path named by the least hash of
+its set under the tree's next hash function, so two documents stay together with a probability equal to their
+similarity. Sorted by their paths, the documents of every tree node are neighbours, so one range sort is all branchings
+of all trees at once and a node of any size is spread over tasks by its deeper branchings. Each document is compared
+with the `leaf` that follow it and share the first branching, which compares all pairs of all nodes of up to `leaf`
+documents exhaustively. Paths go on through the other trees' hashes until all `trees * OWN` are used.
+
+The trees repeat until a link of similarity s whose nodes are small after `deep` branchings is missed in all of them
+with a probability of 1 - recall at most: trees = log(1 - recall) / log(1 - s ** deep). Ends of the sort's partitions
+cut off at most `leaf` comparisons for each tree; they lie elsewhere in every tree.
+
+Comparisons are of sketches, whose estimate may be SLACK standard deviations below the threshold. A document's best
+estimate in each tree is confirmed first, on full sets, and gives components. Documents with more near ones are sorted
+once more with their component and the BOTTOM least hashes of their set (all of it, where it is smaller), and only pairs
+of different components go on, to be confirmed on full sets: links within a component change nothing. Groups of copies
+are so joined by few links, and large groups that are alike but not linked cost comparisons in memory but no rows.
+
+Components come from rounds of hooking to the smallest neighbour (large-star and small-star by turns).
 
 Defined results: a document with fewer words than a shingle is its whole word sequence, as one shingle; without words
 or text it is an empty set, linked with nothing. A row without doc_id is in no component: component_id is null, kept is
-true. Rows with the same doc_id and text are one document.
+true. Every row is a document: rows that share a doc_id but not their text are in the components of their texts. Equal
+rows have equal results. An empty table gives no rows. Whole texts count, whatever their length; columns other than
+doc_id and text are ignored, but for those named in `carry`.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +41,14 @@ from .frames import id_and_text, saved
 from .substring import run_starts
 
 TASK_BYTES = 2 << 20
-HOT = 20_000  # nodes broadcast at most; a row of theirs is a sketch and a few numbers
-_COEFFICIENTS = np.random.default_rng(8).integers(1, 2**63, (512, 2), dtype=np.uint64) | vec.U64(1)
+OWN = 8  # branchings by a tree's own hash functions
+SLACK = 4.5
+BOTTOM = 256
+PART_ROWS = 500_000  # rows of the sort in a task; they pass through in batches
+
+
+def coefficients(k: int) -> np.ndarray:
+    return np.random.default_rng(8).integers(1, 2**63, (k, 2), dtype=np.uint64) | vec.U64(1)
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,9 +57,12 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     hashes, text = words.hashes(), words.text_of()
     at = words.inside(shingle)
     h, owner = vec.windows(hashes, shingle)[at], text[at]
+    few_h, few_owner = [h], [owner]
     for i in np.flatnonzero((words.counts < shingle) & (words.counts > 0)).tolist():  # the whole sequence is one shingle
         few = hashes[words.first[i] : words.first[i + 1]]
-        h, owner = np.append(h, vec.windows(few, len(few))), np.append(owner, np.int32(i))
+        few_h.append(vec.windows(few, len(few)))
+        few_owner.append(np.array([i], np.int32))
+    h, owner = np.concatenate(few_h), np.concatenate(few_owner)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     first = run_starts(owner, h)
@@ -51,30 +70,38 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     return h, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def sketches(shingle: int, k: int):
-    """Size, two sums that name the set, and k minwise hashes of 32 bits; null for an empty set."""
+def names_of(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """16 bytes that name each set; none for an empty one."""
+    n = np.diff(first)
+    some = np.flatnonzero(n)
+    sums = np.zeros((len(n), 2), np.uint64)
+    if len(some):
+        at = first[:-1][some]
+        sums[some, 0] = np.add.reduceat(vec.mix(h), at)
+        sums[some, 1] = np.add.reduceat(vec.mix(h ^ vec.U64(0x5851F42D4C957F2D)), at)
+    return [s.tobytes() if k else None for s, k in zip(sums, n.tolist(), strict=True)]
+
+
+def sketches(shingle: int, k: int, carried: int):
+    """Carried columns, then size, name and k minwise hashes of 32 bits of each set; no name and hashes for an empty one."""
+    ab = coefficients(k)
 
     def run(batches):
         for batch in batches:
-            texts = vec.texts_of(batch.column(1))
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                h, first = shingle_sets(texts[i:j], shingle)
+            for i, j, texts in vec.parts(batch.column(1), TASK_BYTES):
+                h, first = shingle_sets(texts, shingle)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 least = np.zeros((len(some), k), np.uint32)
-                sums = np.zeros((2, j - i), np.uint64)
-                if len(some):
-                    at = first[:-1][some]
-                    for c in range(k):
-                        a, b = _COEFFICIENTS[c]
-                        least[:, c] = np.minimum.reduceat((h * a + b) >> vec.U64(32), at).astype(np.uint32)
-                    sums[0, some] = np.add.reduceat(vec.mix(h), at)
-                    sums[1, some] = np.add.reduceat(vec.mix(h ^ vec.U64(0x5851F42D4C957F2D)), at)
-                bounds = np.zeros(j - i + 1, np.int64)
-                bounds[1:] = np.cumsum(np.where(n > 0, k, 0))
+                for c in range(k if len(some) else 0):
+                    least[:, c] = np.minimum.reduceat((h * ab[c, 0] + ab[c, 1]) >> vec.U64(32), first[:-1][some])
+                sketch: list[bytes | None] = [None] * (j - i)
+                for row, s in zip(some.tolist(), least, strict=True):
+                    sketch[row] = s.tobytes()
+                kept = [batch.column(0), *batch.columns[2 : 2 + carried]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), vec.lists(least.view(np.int32).ravel(), bounds, pa.int32())],
-                    ["doc_id", "n_shingles", "s0", "s1", "sketch"],
+                    [*(c.slice(i, j - i) for c in kept), pa.array(n, pa.int64()), pa.array(names_of(h, first), pa.binary()), pa.array(sketch, pa.binary())],
+                    [*(batch.schema.names[x] for x in (0, *range(2, 2 + carried))), "n_shingles", "name", "sketch"],
                 )
 
     return run
@@ -83,10 +110,9 @@ def sketches(shingle: int, k: int):
 def full_sets(shingle: int):
     def run(batches):
         for batch in batches:
-            texts = vec.texts_of(batch.column(1))
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                h, first = shingle_sets(texts[i:j], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "members"])
+            for _, _, texts in vec.parts(batch.column(0), TASK_BYTES):
+                h, first = shingle_sets(texts, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(names_of(h, first), pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["name", "members"])
 
     return run
 
@@ -97,8 +123,8 @@ def confirm(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -111,62 +137,126 @@ def confirm(percent: int):
     return run
 
 
-def noted(rows: DataFrame, nodes: DataFrame, n_rows: int) -> DataFrame:
-    """Rows of the nodes (saved; node, n, ...), with the columns of their node. Large nodes, of which there are HOT at most, are sent to
-    the rows, so their rows are not gathered."""
-    most = max(1024, n_rows // HOT)
-    hot = F.broadcast(nodes.where(F.col("n") > most))
-    rest = rows.join(hot.select("node"), "node", "left_anti").join(nodes.where(F.col("n") <= most), "node")
-    return rows.join(hot, "node").unionByName(rest)
-
-
-def alike(agreeing: int) -> Column:
-    return F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y) >= agreeing
-
-
-def candidates(reps: DataFrame, trees: int, depth: int, leaf: int, pivots: int, near: Column) -> tuple[DataFrame, DataFrame]:
-    """The first branching of every tree: pairs (a < b) that share a leaf, or of which one is a pivot of the node; and the rows of larger nodes."""
-    n_rows = reps.count() * trees
-    rows = reps.select("doc_id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.withColumn("node", F.xxhash64("tree", F.get("sketch", F.col("tree") * depth)))
-    rows = saved(noted(rows, saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), n_rows))
-    small = rows.where(F.col("n") <= leaf).select("node", "doc_id", "sketch")
-    pairs = small.select("node", F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).join(small.select("node", F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "node").where("a < b").where(near).select("a", "b")
-    large = rows.where(F.col("n") > leaf)
-    drawn = [F.min(F.struct(F.xxhash64("doc_id", "tree", F.lit(p)).alias("o"), F.col("doc_id").alias("p"), F.col("sketch").alias("sb"))) for p in range(pivots)]
-    chosen = saved(large.groupBy("node").agg(F.max("n").alias("n"), F.array(*drawn).alias("drawn")))
-    met = noted(large.select("node", "doc_id", F.col("sketch").alias("sa")), chosen, n_rows).select("doc_id", "sa", F.inline("drawn"))
-    pairs = pairs.union(met.where("doc_id != p").where(near).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
-    return saved(pairs.distinct()), large.select("node", "doc_id", F.slice("sketch", F.col("tree") * depth + 1, depth).alias("tokens"))
-
-
-def across(large: DataFrame, reps: DataFrame, roots: DataFrame, branchings: int, leaf: int, near: Column) -> DataFrame:
-    """Pairs (a < b) of different components that share a node of `large`: a node is compared once all but `leaf` of its rows are in one
-    component, or at the last branching. Nodes within one component are done."""
-    rows = saved(large.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
-    n_rows = rows.count()
-    ready = None
-    for level in range(1, branchings + 1):
-        nodes = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
-        rows = saved(noted(rows, saved(nodes.select("node", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))), n_rows))
-        done = (rows if level == branchings else rows.where(F.col("others") <= leaf)).select("node", "main", "root", "doc_id")
-        ready = done if ready is None else ready.union(done)
-        rows = rows.where(F.col("others") > leaf).drop("n", "others", "main")
-        if level == branchings or rows.isEmpty():
-            break
-        rows = rows.withColumn("node", F.xxhash64("node", F.get("tokens", F.lit(level))))
-    ready = ready.join(reps, "doc_id")
-    few = ready.where("root != main").select("node", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sa"))
-    met = few.join(ready.select("node", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sb")), "node").where("rx != ry").where(near)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs that full sets confirm."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = saved(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(full_sets(shingle), "doc_id long, members binary"))
-    of_a, of_b = (sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    return saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a long, b long"))
+def paths(trees: int):
+    """A row for each tree: its own hashes first, then the low bytes of the other trees'; other columns are carried along."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = trees * OWN
+            tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(-1, k)
+            low = tokens.astype(np.uint8)
+            for t in range(trees):
+                i, j = t * OWN, (t + 1) * OWN
+                key = np.concatenate([tokens[:, i:j].copy().view(np.uint8), low[:, j:], low[:, :i]], axis=1)
+                whole, step = key.tobytes(), key.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(key), t, np.int32)), pa.array([whole[x : x + step] for x in range(0, len(whole), step)], pa.binary()), *batch.columns[1:]],
+                    ["tree", "path", *batch.schema.names[1:]],
+                )
+
+    return run
+
+
+def followed(batches, leaf: int, agreeing: int):
+    """For batches of sorted rows (tree, path, ...): the rows with `leaf` from before, and near pairs (i, j, agreeing hashes) with j in the batch."""
+    before = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if before is None else [before, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        rows = rows[0]
+        old = 0 if before is None else before.num_rows
+        m = rows.num_rows
+        tree = rows.column(0).to_numpy()
+        path = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(m, -1)
+        own = np.ascontiguousarray(path[:, : 4 * OWN]).view(np.uint32)
+        rest = np.ascontiguousarray(path[:, 4 * OWN :])
+        first = run_starts(tree, own[:, 0])
+        end = np.repeat(np.append(first[1:], m), np.diff(np.append(first, m)))
+        left, right, score = [], [], []
+        at = np.arange(m)
+        for step in range(1, leaf + 1):
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            new = at[at + step >= old]
+            for x, y in vec.chunks(np.full(len(new), rest.shape[1]), 8 << 20):
+                i = new[x:y]
+                same = (own[i] == own[i + step]).sum(axis=1) + (rest[i] == rest[i + step]).sum(axis=1)
+                near = np.flatnonzero(same >= agreeing)
+                left.append(i[near])
+                right.append(i[near] + step)
+                score.append(same[near])
+        none = [np.zeros(0, np.int64)]
+        yield rows, *(np.concatenate(none + x) for x in (left, right, score))
+        before = rows.slice(max(0, m - leaf))
+
+
+def best(leaf: int, agreeing: int):
+    """Each row's nearest of those it is compared with; and whether the ends have more that are near."""
+
+    def run(batches):
+        for rows, i, j, score in followed(batches, leaf, agreeing):
+            if not len(i):
+                continue
+            ends, others, scores = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
+            order = np.lexsort((others, -scores, ends))
+            first = order[run_starts(ends[order])]
+            more = np.bincount(ends, minlength=rows.num_rows) > 1
+            a, b = np.minimum(ends[first], others[first]), np.maximum(ends[first], others[first])
+            node = rows.column(2)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(more[a]), pa.array(more[b])], ["x", "y", "mx", "my"])
+
+    return run
+
+
+def bridges(leaf: int, agreeing: int, percent: int):
+    """Near pairs of different components whose bottom hashes allow for a link."""
+
+    def run(batches):
+        for rows, i, j, _ in followed(batches, leaf, agreeing):
+            if len(i):
+                names, root = np.unique(np.array(rows.column(3).to_pylist(), object), return_inverse=True)
+                size = rows.column(4).to_numpy()
+                far = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+                i, j = i[far], j[far]
+            if not len(i):
+                continue
+            low = [np.frombuffer(x, np.uint64) for x in rows.column(5).to_pylist()]
+            keep = np.zeros(len(i), bool)
+            for at, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                both = np.concatenate([low[x], low[y]])
+                both.sort()
+                twice = both[1:] == both[:-1]
+                if size[x] <= BOTTOM and size[y] <= BOTTOM:
+                    common = int(twice.sum())
+                    keep[at] = 100 * common >= percent * (size[x] + size[y] - common)
+                else:  # the BOTTOM least of the union
+                    upto = min(BOTTOM, len(both) - int(twice.sum()))
+                    distinct = np.cumsum(np.concatenate([[True], ~twice]))
+                    common = int((twice & (distinct[1:] <= upto)).sum())
+                    s = percent / 100
+                    keep[at] = common >= upto * (s - SLACK * math.sqrt(s * (1 - s) / upto))
+            node = rows.column(2)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(i[keep])), node.take(pa.array(j[keep]))], ["x", "y"])
+
+    return run
+
+
+def sorted_rows(df: DataFrame, trees: int, kinds: str, n_rows: int) -> DataFrame:
+    """A row of df (sketch, node, ...) for each tree, in the order of the paths."""
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(n_rows // 4096, max(wide, n_rows // PART_ROWS)))
+    order = ["tree", "path", "node"]
+    return df.mapInArrow(paths(trees), f"tree int, path binary, {kinds}").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that full sets confirm."""
+    of_a, of_b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+    return saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a binary, b binary"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -188,7 +278,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         edges = saved(star(star(edges, True), False))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
     raise RuntimeError("components did not settle")
@@ -199,35 +289,54 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     ends = saved(ends.where("ra != rb"))
-    above = saved(components(saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())).select(F.col("id").alias("root"), F.col("root").alias("least")))
+    above = components(saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())).select(F.col("id").alias("root"), F.col("root").alias("least"))
     moved = roots.join(above, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
     return moved.union(above.select(F.col("root").alias("id"), F.col("least").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 8, depth: int = 8, leaf: int = 8, pivots: int = 3, branchings: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row: links are pairs with 100 * intersection >= percent * union."""
-    if trees * depth > len(_COEFFICIENTS) or branchings > depth:
-        raise ValueError(f"trees * depth must be {len(_COEFFICIENTS)} at most, and branchings depth at most")
-    docs = id_and_text(docs, doc_id, text)
-    k = trees * depth
-    seen = saved(docs.mapInArrow(sketches(shingle, k), "doc_id long, n_shingles long, s0 long, s1 long, sketch array<int>"))
-    some = seen.where("doc_id IS NOT NULL AND n_shingles > 0")
-    key = ["n_shingles", "s0", "s1"]
-    reps = some.groupBy(key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+def node_of(doc_id: Column, name: Column) -> Column:
+    """24 bytes that sort by doc_id first."""
+    return F.concat(F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")), name)
+
+
+def id_of(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall: float = 0.9999, deep: int = 4, leaf: int = 256, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `carry`, n_shingles, component_id, kept of each row: links are pairs with 100 * intersection >= percent * union."""
+    if not 0 < percent <= 100 or not 0 < recall < 1:
+        raise ValueError("percent is 1 to 100, recall between 0 and 1")
     similarity = percent / 100
-    slack = 5 * (similarity * (1 - similarity) / k) ** 0.5  # five standard deviations of a sketch's estimate
-    near = alike(int((similarity - slack) * k))
-    sketched = saved(reps.select(F.col("rep").alias("doc_id"), "sketch"))
-    pairs, large = candidates(sketched, trees, depth, leaf, pivots, near)
-    links = confirmed(docs, pairs, shingle, percent)
-    roots = components(links)
-    more = saved(across(large, sketched, roots, branchings, leaf, near).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        merged = joined(roots, confirmed(docs, more, shingle, percent))
-        roots = saved(merged)
-    classes = some.groupBy(key).agg(F.min("doc_id").alias("rep")).join(roots, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
-    linked = some.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "component_id")
-    alone = seen.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**deep))) if percent < 100 else 1
+    k = trees * OWN
+    agreeing = math.floor(k * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / k)))
+    kinds = dict(docs.dtypes)
+    plain = id_and_text(docs, doc_id, text, carry)
+    seen = saved(plain.mapInArrow(sketches(shingle, k, len(carry)), ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_shingles long, name binary, sketch binary"])))
+    some = seen.where("doc_id IS NOT NULL AND name IS NOT NULL")
+    reps = some.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+    reps = saved(reps.select("sketch", node_of(F.col("first"), F.col("name")).alias("node")))
+    found = sorted_rows(reps, trees, "node binary", reps.count() * trees).mapInArrow(best(leaf, agreeing), "x binary, y binary, mx boolean, my boolean")
+    one_way = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("mx")).otherwise(F.col("my")).alias("ma"), F.when(F.col("x") < F.col("y"), F.col("my")).otherwise(F.col("mx")).alias("mb"))
+    pairs = saved(one_way.groupBy("a", "b").agg(F.bool_or("ma").alias("ma"), F.bool_or("mb").alias("mb")))
+    ends = pairs.select(F.col("a").alias("node"), F.col("ma").alias("more")).union(pairs.select("b", "mb")).groupBy("node").agg(F.bool_or("more").alias("more"))
+    ends = saved(ends)
+    texts = plain.join(ends.select(id_of(F.col("node")).alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.select("text").mapInArrow(full_sets(shingle), "name binary, members binary").groupBy("name").agg(F.first("members").alias("members"))
+    sets = saved(sets.join(ends.select("node", F.substring("node", 9, 16).alias("name")), "name").select("node", "members"))
+    roots = components(confirmed(pairs.select("a", "b"), sets, percent))
+    crowd = ends.where("more").select("node").join(reps, "node").join(sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n"), F.substring("members", 1, 8 * BOTTOM).alias("low")), "node")
+    crowd = saved(crowd.join(roots, F.col("node") == F.col("id"), "left").select("sketch", "node", F.coalesce("root", "node").alias("root"), "n", "low"))
+    n_crowd = crowd.count()
+    if n_crowd:
+        met = sorted_rows(crowd, trees, "node binary, root binary, n long, low binary", n_crowd * trees).mapInArrow(bridges(leaf, agreeing, percent), "x binary, y binary")
+        more = saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            roots = saved(joined(roots, confirmed(more, sets, percent)))
+    least = reps.select("node").join(roots, F.col("node") == F.col("id"), "left").select(F.substring("node", 9, 16).alias("name"), id_of(F.coalesce("root", "node")).alias("component_id"))
+    linked = some.select("doc_id", *carry, "n_shingles", "name").join(least, "name").select("doc_id", *carry, "n_shingles", "component_id")
+    alone = seen.where("doc_id IS NULL OR name IS NULL").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

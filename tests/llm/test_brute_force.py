@@ -437,3 +437,14 @@ def test_op10_whole_table(spark, medium):
             wrong += [abs(r["near_edited"] - jaccard(text, new)), abs(r["near_next"] - jaccard(text, following))]
     assert max(wrong) < 0.32 and sum(wrong) / len(wrong) < 0.05  # 64 samples: standard deviation 0.06 at most
     assert fingerprint.edited("abcdef", "xy") == "abcdxy"
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(6)
+    p, q = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "pq")
+    rows = [(1, p), (2, f"{p} x"), (5, q), (5, f"{p} y"), (9, f"{q} z"), (9, f"{q} z"), (None, p), (7, None), (8, " ")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, TEXT).withColumn("digest", F.md5("text")), carry=("digest",)).collect()
+    assert sorted((r["digest"] or "", r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == sorted(
+        (hashlib.md5(t.encode()).hexdigest() if t is not None else "", d or 0, c or 0, k)
+        for (d, t), c, k in zip(rows, [1, 1, 5, 1, 5, 5, None, 7, 8], [True, False, True, False, False, False, True, True, True])
+    )
