@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .langid import normal
-from .substring import run_starts
+from .vec import run_starts
 
 TASK_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .frames import id_and_text
-from .substring import run_starts
+from .vec import run_starts
 
 TASK_BYTES = 2 << 20
 _SEEDS = np.random.default_rng(10).integers(1, 2**63, (4096, 5), dtype=np.uint64) | vec.U64(1)

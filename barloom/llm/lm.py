@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .frames import saved
-from .substring import run_starts
+from .vec import run_starts
 
 TASK_BYTES = 1 << 20
 ROW_BYTES = 3 << 20

@@ -11,7 +11,9 @@ dimension: their table, one row each, is ordered in one task and broadcast if it
 
 Defined results: a null or empty text has size 0 and takes no words. A null source is one source, the last. A source
 without words has target 0. Quality: rows with quality 1 weigh 2, with 0 they weigh 0.5, all others 1; repeated rows of
-`labels` count once (the largest). Reruns agree, as keys come from ids (and texts, where ids repeat or are null).
+`labels` count once (the largest). Reruns agree: keys come from ids, and from texts where there is no id; equal keys go by
+id, size and digest of the text, and rows equal in these are one as good as the other. Every row is mixed, also repeated
+ones. An empty table gives no rows; texts of any length count whole; columns but those named are ignored.
 """
 
 from __future__ import annotations
@@ -47,18 +49,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), mo
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, quality_weight, epochs (complete ones, plus 1 if the fraction takes the row) and taken (words) of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, digest (md5 of the text), quality_weight, epochs (complete ones, plus 1 if the fraction takes the row) and taken (words) of docs (doc_id, text, source).
 
     Texts are read once, for their sizes, and never shuffled.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.md5("text").alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     if labels is not None:
         quality = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
         sized = sized.join(quality, F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
     else:
         sized = sized.withColumn("quality", F.lit(None).cast("int"))
     sized = sized.withColumn("quality_weight", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)).drop("quality")
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), "digest"), F.lit("none"))))
     u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
     sized = saved(sized.withColumn("key", F.pow(u, 1 / F.col("quality_weight"))))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
@@ -72,7 +74,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[float,
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     ahead = Window.partitionBy("source").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s"), F.col("slice").alias("l"), F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("offset"))
-    tie = [F.desc("key"), F.col("doc_id"), F.col("size")]
+    tie = [F.desc("key"), F.col("doc_id"), F.col("size"), F.col("digest")]
     within = Window.partitionBy("source", "slice").orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
     light = rows.join(offsets, F.expr("source <=> s AND slice = l")).drop("s", "l")
     upto = light.withColumn("upto", F.col("offset") + F.sum("size").over(within))

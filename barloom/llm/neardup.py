@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .frames import id_and_text, saved
-from .substring import run_starts
+from .vec import run_starts
 
 TASK_BYTES = 2 << 20
 OWN = 8  # branchings by a tree's own hash functions
@@ -304,7 +304,10 @@ def id_of(node: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall: float = 0.9999, deep: int = 4, leaf: int = 256, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of `carry`, n_shingles, component_id, kept of each row: links are pairs with 100 * intersection >= percent * union."""
+    """doc_id, the columns of `carry`, n_shingles, component_id, kept, component of each row: links are pairs with 100 * intersection >= percent * union.
+
+    component tells components apart, also those whose smallest doc_id is the same; it is null for a row that can have no link.
+    """
     if not 0 < percent <= 100 or not 0 < recall < 1:
         raise ValueError("percent is 1 to 100, recall between 0 and 1")
     similarity = percent / 100
@@ -334,13 +337,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall
         more = saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             roots = saved(joined(roots, confirmed(more, sets, percent)))
-    least = reps.select("node").join(roots, F.col("node") == F.col("id"), "left").select(F.substring("node", 9, 16).alias("name"), id_of(F.coalesce("root", "node")).alias("component_id"))
-    linked = some.select("doc_id", *carry, "n_shingles", "name").join(least, "name").select("doc_id", *carry, "n_shingles", "component_id")
-    alone = seen.where("doc_id IS NULL OR name IS NULL").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = reps.select("node").join(roots, F.col("node") == F.col("id"), "left").select(F.substring("node", 9, 16).alias("name"), F.coalesce("root", "node").alias("component"))
+    linked = some.select("doc_id", *carry, "n_shingles", "name").join(least, "name").select("doc_id", *carry, "n_shingles", id_of(F.col("component")).alias("component_id"), "component")
+    alone = seen.where("doc_id IS NULL OR name IS NULL").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return linked.union(alone).select("doc_id", *carry, "n_shingles", "component_id", kept, "component")
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     from .frames import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("component")

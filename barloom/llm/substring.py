@@ -6,12 +6,13 @@ each document that has it. Hits are then extended: each window of `width` words
 windows of all other documents by a 96-bit hash, and runs of repeated windows are the maximal exact repeats.
 
 Rows of the exchanges are packed blocks of many hashes, dealt by hash bucket. The number of buckets follows the size of
-the input, and a hash that is common is only as many entries as windows it has, so no pair of documents is ever listed.
+the input. A window that is in many texts of a task is decided there and sent on once or twice, so a common hash makes
+no large bucket, and no pair of documents is ever listed.
 
-Defined results: a null or empty text has no words and loses none. Texts shorter than a window stay whole. Of equal
-texts the one with the smallest doc_id stays whole; rows that repeat a doc_id are one document's rows, and never dedupe
-each other. A row without doc_id stays whole and is not
-compared. Other columns of the input are ignored.
+Defined results: a null or empty text has no words and loses none. Texts shorter than a window stay whole, texts of any
+length count whole. Of equal texts the one with the smallest doc_id stays whole; rows that repeat a doc_id, with the same
+text or another, never dedupe each other, and each is a row of the result. A row without doc_id stays whole and is not
+compared. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +28,22 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .frames import buckets_for, id_and_text
+from .vec import run_starts
 
 TASK_BYTES = 2 << 20  # bytes of text hashed at once in a task
-BLOCK_BYTES = 16 << 20  # bytes of text behind one packed block, and behind one bucket of all blocks
+BLOCK_BYTES = 16 << 20  # bytes of text behind the packed blocks that a task gives at once
+BUCKET_BYTES = 4 << 20  # bytes of text behind a bucket of all blocks
 
 
 class Packer:
-    """Collects hashes of a task's texts and gives packed blocks by bucket."""
+    """Collects hashes of a task's texts and gives packed blocks by bucket.
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    settle(columns, doc, place) may say of a bucket's entries which are decided already and which others still need; what is
+    decided goes to any bucket, so a hash that is in many texts is a few entries of each block, however many texts it is in.
+    """
+
+    def __init__(self, buckets: int, settle=None):
+        self.buckets, self.settle = buckets, settle
         self.clear()
 
     def clear(self) -> None:
@@ -46,7 +53,7 @@ class Packer:
         self.parts: dict[int, list[tuple]] = {}
 
     def add(self, h: np.ndarray, extra: list[np.ndarray], at: np.ndarray, ids: np.ndarray, counts: np.ndarray, size: int) -> None:
-        """h deals entries to buckets; at is the place of each entry, counted over the batch's texts of `counts` places."""
+        """h deals entries to buckets; at is the place of each entry, counted over the batch's texts of `counts` places; ids are two for a text."""
         for b, rows in vec.by_bucket(vec.bucket_of(h, self.buckets), self.buckets):
             self.parts.setdefault(b, []).append((at[rows] + self.base, *(x[rows] for x in extra)))
         self.ids.append(ids)
@@ -57,37 +64,100 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             ids, counts = np.concatenate(self.ids), np.concatenate(self.counts)
+            first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            out: list[tuple[int, bool, bytes]] = []
             for b, parts in self.parts.items():
                 at, *extra = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([vec.pack(extra, at, ids, counts)], pa.binary())], ["bucket", "block"])
+                if self.settle:
+                    text = np.searchsorted(first, at, side="right") - 1
+                    done, send = self.settle(extra, ids[text, 0], at - first[text])
+                    if done.any():
+                        out.append((int(vec.bucket_of(vec.mix(ids[text[done][:1], 1].view(np.uint64)), self.buckets)[0]), True, vec.pack([], at[done], first, ids)))
+                    at, extra = at[send], [x[send] for x in extra]
+                if len(at):
+                    out.append((b, False, vec.pack(extra, at, first, ids)))
+            for b, done, block in out:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([done]), pa.array([block], pa.binary())], ["bucket", "done", "block"])
         self.clear()
 
 
-PACKED = "bucket int, block binary"
+PACKED = "bucket int, done boolean, block binary"
+
+
+class Gathered:
+    """All entries of a bucket: columns, ids of the texts, and of each entry the text, its doc_id and the place; and those decided before."""
 
+    def __init__(self, group: pa.Table, kinds: list):
+        blocks = list(zip(group.column("done").to_pylist(), group.column("block"), strict=True))
+        open_, self.done = ([vec.unpack(memoryview(x.as_buffer()), k) for d, x in blocks if d is done] for done, k in ((False, kinds), (True, [])))
+        base = np.cumsum([0, *(len(p[1]) for p in open_)])
+        empty = np.zeros(0, np.int32)
+        self.columns = [np.concatenate([np.zeros(0, k), *(p[0][i] for p in open_)]) for i, k in enumerate(kinds)]
+        self.ids = np.concatenate([np.zeros((0, 2), np.int64), *(p[1] for p in open_)])
+        self.text = np.concatenate([empty, *(p[2] + np.int32(x) for p, x in zip(open_, base, strict=False))])
+        self.place = np.concatenate([empty, *(p[3] for p in open_)])
+        self.doc = self.ids[self.text, 0]
 
-def gathered(group: pa.Table, kinds: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """All entries of a bucket: columns, text ids, places."""
-    parts = [vec.unpack(x, kinds) for x in group.column("block").to_pylist()]
-    return [np.concatenate([p[0][i] for p in parts]) for i in range(len(kinds))], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    def with_done(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (two each) and places of the kept entries and of all decided ones."""
+        return np.concatenate([self.ids[self.text[keep]], *(p[1][p[2]] for p in self.done)]), np.concatenate([self.place[keep], *(p[3] for p in self.done)])
 
 
 def flat(ids: np.ndarray, places: np.ndarray) -> pa.Table:
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32())})
+    return pa.table({"doc_id": pa.array(ids[:, 0], pa.int64()), "digest": pa.array(ids[:, 1], pa.int64()), "place": pa.array(places, pa.int32())})
+
+
+PLACE, SPAN = "doc_id long, digest long, place int", "doc_id long, digest long, first int, last int"
+
+
+def spans_of(ids: np.ndarray, places: np.ndarray) -> pa.Table:
+    """Runs of consecutive places of each text."""
+    order = np.lexsort((places, ids[:, 1], ids[:, 0]))
+    ids, places = ids[order], places[order]
+    gap = np.ones(len(places), np.int64)
+    gap[1:] = np.diff(places)
+    first = np.flatnonzero((gap > 1) | np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])[: len(places)])
+    last = np.append(first[1:], len(places)) - 1 if len(first) else first
+    return pa.table({"doc_id": pa.array(ids[first, 0], pa.int64()), "digest": pa.array(ids[first, 1], pa.int64()), "first": pa.array(places[first], pa.int32()), "last": pa.array(places[last], pa.int32())})
 
 
-PLACE, SPAN = "doc_id long, place int", "doc_id long, first int, last int"
+def ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    """doc_id and digest of each row, the first and third column."""
+    return np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
-def run_starts(*keys: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal keys; the keys are sorted."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
+def known_hit(half: int):
+    """Of a block's windows: equal ones in two documents of which one is an indexed block are hits; one such block and a window of another document stand for them."""
+
+    def settle(columns, doc, place):
+        key = columns[0]
+        done, send = np.zeros(len(key), bool), np.ones(len(key), bool)
+        order = np.lexsort((doc, key))
+        first = run_starts(key[order])
+        if len(first):
+            last = np.append(first[1:], len(key)) - 1
+            low, high = order[first], order[last]
+            aligned = np.minimum.reduceat(np.where(place[order] % half == 0, np.arange(len(key)), len(key)), first)
+            good = (last - first >= 3) & (doc[low] != doc[high]) & (aligned < len(key))
+            done[order] = np.repeat(good, last - first + 1)
+            send = ~done
+            block, low, high = order[aligned[good]], low[good], high[good]
+            send[block] = True
+            send[np.where(doc[low] != doc[block], low, high)] = True
+        return done, send
+
+    return settle
+
+
+def known_repeat(columns, doc, place):
+    """Windows that a smaller document of the same block has."""
+    h, g = columns
+    order = np.lexsort((g, h))
+    first = run_starts(h[order], g[order])
+    done = np.zeros(len(h), bool)
+    if len(first):
+        done[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(h))))
+    return done, ~done
 
 
 def probes(width: int, buckets: int):
@@ -95,11 +165,11 @@ def probes(width: int, buckets: int):
     half = width // 2
 
     def run(batches):
-        out = Packer(buckets)
+        out = Packer(buckets, known_hit(half))
         for batch in batches:
-            texts, ids = vec.texts_of(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                words = vec.Words(texts[i:j])
+            ids = ids_of(batch)
+            for i, j, texts in vec.parts(batch.column(1), TASK_BYTES):
+                words = vec.Words(texts)
                 at = words.inside(half)
                 h = vec.windows(words.hashes(), half)[at]
                 out.add(h, [(h >> vec.U64(32)).astype(np.uint32)], at, ids[i:j], words.counts, len(words.buf))
@@ -114,15 +184,15 @@ def hits(half: int):
     """Windows that equal an indexed block and are found in two documents at least."""
 
     def run(group: pa.Table) -> pa.Table:
-        (key,), ids, places = gathered(group, [np.uint32])
+        found = Gathered(group, [np.uint32])
+        key = found.columns[0]
         order = np.argsort(key)
-        key, ids, places = key[order], ids[order], places[order]
-        first = run_starts(key)
+        first = run_starts(key[order])
         if not len(first):
-            return flat(ids, places)
-        good = np.logical_or.reduceat(places % half == 0, first) & (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first))
-        keep = np.repeat(good, np.diff(np.append(first, len(key))))
-        return flat(ids[keep], places[keep])
+            return flat(*found.with_done(order))
+        doc = found.doc[order]
+        good = np.logical_or.reduceat(found.place[order] % half == 0, first) & (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+        return flat(*found.with_done(order[np.repeat(good, np.diff(np.append(first, len(key))))]))
 
     return run
 
@@ -132,11 +202,11 @@ def extended(width: int, buckets: int):
     half = width // 2
 
     def run(batches):
-        out = Packer(buckets)
+        out = Packer(buckets, known_repeat)
         for batch in batches:
-            texts, ids, found = vec.texts_of(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                words = vec.Words(texts[i:j])
+            ids, found = ids_of(batch), batch.column(3)
+            for i, j, texts in vec.parts(batch.column(1), TASK_BYTES):
+                words = vec.Words(texts)
                 part = found.slice(i, j - i)
                 at = part.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], np.diff(part.offsets.to_numpy()))
                 hashes = words.hashes()
@@ -156,27 +226,23 @@ def extended(width: int, buckets: int):
 
 def repeats(group: pa.Table) -> pa.Table:
     """Runs of windows whose words also start in a document with a smaller id."""
-    (h, g), ids, places = gathered(group, [np.uint64, np.uint32])
+    found = Gathered(group, [np.uint64, np.uint32])
+    h, g = found.columns
     order = np.lexsort((g, h))
     first = run_starts(h[order], g[order])
     if len(first):
-        least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
-        order = order[ids[order] > least]
-        ids, places = ids[order], places[order]
-        order = np.lexsort((places, ids))
-        ids, places = ids[order], places[order]
-    first = run_starts(ids, places - np.arange(len(places)))  # of rising places
-    last = np.append(first[1:], len(ids)) - 1 if len(first) else first
-    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "first": pa.array(places[first], pa.int32()), "last": pa.array(places[last], pa.int32())})
+        least = np.repeat(np.minimum.reduceat(found.doc[order], first), np.diff(np.append(first, len(h))))
+        order = order[found.doc[order] > least]
+    return spans_of(*found.with_done(order))
 
 
-def kept(width: int):
+def kept(width: int, with_text: bool):
     """What is left of each text, and the spans of removed words."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text, starts in zip(vec.texts_of(batch.column(1)), batch.column(2), strict=True):
+            for text, starts in zip(vec.texts_of(batch.column(1)), batch.column(3), strict=True):
                 words = text.split()
                 spans: list[list[int]] = []
                 gone = 0
@@ -191,7 +257,7 @@ def kept(width: int):
                     left = b" ".join(compress(words, stay.tolist()))
                 else:
                     left = b" ".join(words)
-                rows.append((len(words), gone, left.decode("utf-8", "replace"), hashlib.sha256(left).hexdigest(), spans))
+                rows.append((len(words), gone, left.decode("utf-8", "replace") if with_text else None, hashlib.sha256(left).hexdigest(), spans))
             n, gone, left, digest, spans = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
@@ -202,33 +268,37 @@ def kept(width: int):
 
 
 def collected(df: DataFrame, *columns: str) -> DataFrame:
-    """One row for each document with all its places or spans; as many as it has words or bytes at most."""
-    return df.groupBy("doc_id").agg(F.collect_list(F.struct(*columns) if columns[1:] else columns[0]).alias("places"))
+    """One row for each text of a document with all its places or spans; as many as it has words or bytes at most."""
+    return df.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*columns) if columns[1:] else columns[0]).alias("places"))
 
 
 def known_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with an id, and the others with no places. Both joins then read one shuffle of the texts, which Spark reuses."""
+    """Rows (doc_id, text) with an id and a digest, which tell texts apart where an id repeats; and the others with no places. Both joins
+    then read one shuffle of the texts, which Spark reuses."""
+    docs = docs.withColumn("digest", F.xxhash64("text"))
     return docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").withColumn("places", F.lit(None).cast("array<struct<first:int,last:int>>"))
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256, spans ([first, end) word numbers removed) of each document.
+def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (null without with_text), kept_sha256, spans ([first, end) word numbers removed) of each document.
 
     A word goes if a window of `width` words over it also starts in a document with a smaller id.
     """
     if width < 2:
         raise ValueError("width must be 2 words at least")
     docs = id_and_text(docs, doc_id, text)
-    buckets = buckets_for(docs, "text", BLOCK_BYTES)
+    buckets = buckets_for(docs, "text", BUCKET_BYTES)
     docs, unknown = known_ids(docs)
+    key = ["doc_id", "digest"]
     index = docs.mapInArrow(probes(width, buckets), PACKED)
     found = collected(index.groupBy("bucket").applyInArrow(hits(width // 2), PLACE), "place")
-    windows = docs.join(found, "doc_id").mapInArrow(extended(width, buckets), PACKED)
+    windows = docs.join(found, key).select("doc_id", "text", "digest", "places").mapInArrow(extended(width, buckets), PACKED)
     starts = collected(windows.groupBy("bucket").applyInArrow(repeats, SPAN), "first", "last")
-    return docs.join(starts, "doc_id", "left").union(unknown).mapInArrow(kept(width), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
+    rows = docs.join(starts, key, "left").select("doc_id", "text", "digest", "places").union(unknown.select("doc_id", "text", "digest", "places"))
+    return rows.mapInArrow(kept(width, with_text), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from .frames import table
 
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))

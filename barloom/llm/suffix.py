@@ -2,17 +2,26 @@
 
 Documents meet in shards: in every `width`-byte string the least 32-byte substring by hash is its anchor, so equal
 strings have equal anchors. Anchors that occur twice send what surrounds them, up to `width - 1` bytes on either side,
-to the shard of their hash. A shard folds equal surroundings, orders the suffixes of the others by external induced
-sorting, and strings whose suffixes have `width` bytes in common with a neighbour's are repeats.
+to the shard of their hash. A shard folds equal surroundings, orders the suffixes of the others by induced sorting with
+queues on disk, and strings whose suffixes have `width` bytes in common with a neighbour's are repeats.
 
 Induced sorting within a shard: suffixes that are smaller than both neighbours in the text (S*) are ordered first, by
 the names of the pieces between them and then, recursively, by names of pairs of names; the order of all others follows
-from theirs, in one pass up and one pass down over queues that are prioritised by first byte. The queues are written to
-the task's temporary files whenever they hold more than QUEUE_BYTES, so a shard needs memory for its bytes alone.
-
-Defined results: a null or empty text has no bytes and loses none. Texts shorter than `width` stay whole. Repeats
-within one document count, overlapping ones too; every occurrence goes, the first as well. Rows that repeat a text are
-repeats of each other. A row without doc_id stays whole and is not compared. Other columns of the input are ignored.
+from theirs, in one pass up and one pass down over queues that are prioritised by first byte. The queues of induced
+suffixes are written to the task's temporary files whenever they hold more than QUEUE_BYTES.
+
+Where this differs from induced sorting that is external throughout: only the queues spill. A shard's bytes, its S* names
+and the order itself are arrays in memory, about 40 bytes for a byte of text, and common prefixes are compared once the
+order is known instead of being carried with the queues. What makes shards larger than memory unnecessary is that they
+are split before: they hold the surroundings of some anchors, about SHARD_BYTES of text, equal surroundings of a task are
+one entry however many there are, and anchors that stand in more than `crowd` places are dealt once more by the bytes
+around them, in ranges of STARTS windows that share `width - STARTS + 1` bytes.
+
+Defined results: a null or empty text has no bytes and loses none. Texts shorter than `width` stay whole, longer ones of
+any length count whole. Repeats within one document count, overlapping ones too; every occurrence goes, the first as
+well. Rows that repeat a text are repeats of each other, whether or not they share an id, and each is a row of the
+result. A row without doc_id stays whole and is not compared. An empty table gives no rows. Other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +31,20 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .frames import buckets_for, id_and_text
-from .substring import BLOCK_BYTES, PACKED, PLACE, SPAN, TASK_BYTES, Packer, collected, flat, gathered, known_ids, run_starts
+from .frames import id_and_text, saved
+from .substring import BLOCK_BYTES, PACKED, SPAN, TASK_BYTES, Gathered, Packer, collected, flat, ids_of, known_ids
+from .vec import run_starts
 
 GRAM = 32
 QUEUE_BYTES = 128 << 20
+SHARD_BYTES = 4 << 20  # bytes of text behind a shard
+STARTS = 24
+MANY_ANCHORS = 1_000_000  # anchors with crowds at most; 8 bytes each are sent to all tasks
 SEPARATOR, FIRST_BYTE = 1, 2
 
 
@@ -208,17 +222,32 @@ def anchors_of(texts: list[bytes], width: int):
     return buf, offsets, at[good], (least[good] & vec.U64(0xFFFFFFFF)).astype(np.int64), h
 
 
+def known_twice(columns, doc, place):
+    """Anchors that a block holds twice: all are settled, one stands for them with their number."""
+    key, times = columns
+    done, send = np.zeros(len(key), bool), np.ones(len(key), bool)
+    order = np.argsort(key, kind="stable")
+    first = run_starts(key[order])
+    if len(first):
+        sizes = np.diff(np.append(first, len(key)))
+        done[order] = np.repeat(sizes > 1, sizes)
+        send = ~done
+        send[order[first]] = True
+        times[order[first]] = sizes
+    return done, send
+
+
 def anchor_blocks(width: int, buckets: int):
     def run(batches):
-        out = Packer(buckets)
+        out = Packer(buckets, known_twice)
         for batch in batches:
-            texts, ids = vec.texts_of(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                buf, offsets, _, anchor, h = anchors_of(texts[i:j], width)
+            ids = ids_of(batch)
+            for i, j, texts in vec.parts(batch.column(1), TASK_BYTES):
+                buf, offsets, _, anchor, h = anchors_of(texts, width)
                 at = anchor[run_starts(anchor)]
                 key = vec.mix(h[at])
                 text = np.searchsorted(offsets, at, "right") - 1
-                out.add(key, [(key >> vec.U64(32)).astype(np.uint32)], at - text, ids[i:j], np.diff(offsets) - 1, len(buf))
+                out.add(key, [key, np.ones(len(key), np.uint32)], at - text, ids[i:j], np.diff(offsets) - 1, len(buf))
                 if out.size >= BLOCK_BYTES:
                     yield from out.flush()
         yield from out.flush()
@@ -226,45 +255,87 @@ def anchor_blocks(width: int, buckets: int):
     return run
 
 
-def twice(group: pa.Table) -> pa.Table:
-    """Anchors that occur twice at least."""
-    (key,), ids, places = gathered(group, [np.uint32])
-    order = np.argsort(key)
-    first = run_starts(key[order])
-    sizes = np.diff(np.append(first, len(key)))
-    keep = order[np.repeat(sizes > 1, sizes)]
-    return flat(ids[keep], places[keep])
+FOUND = "doc_id long, digest long, place int, crowd long"
+
+
+def twice(crowd: int):
+    """Places of anchors that occur twice at least; and, without a place, anchors that occur more than `crowd` times."""
+
+    def run(group: pa.Table) -> pa.Table:
+        found = Gathered(group, [np.uint64, np.uint32])
+        key, times = found.columns
+        order = np.argsort(key)
+        first = run_starts(key[order])
+        sizes = np.diff(np.append(first, len(key)))
+        places = flat(*found.with_done(order[np.repeat(sizes > 1, sizes)]))
+        many = np.zeros(0, np.uint64)
+        if len(first):
+            many = key[order][first][np.add.reduceat(times[order].astype(np.int64), first) > crowd]
+        places = places.append_column("crowd", pa.nulls(len(places), pa.int64()))
+        none = pa.nulls(len(many), pa.int64())
+        return pa.concat_tables([places, pa.table([none, none, none.cast(pa.int32()), pa.array(many.view(np.int64))], names=places.column_names)])
+
+    return run
+
 
+AROUND = "bucket int, key long, doc_id long, digest long, start int, n int, times int, body binary"
 
-AROUND = "bucket int, key long, doc_id long, start int, body binary"
 
+def surroundings(width: int, buckets: int, crowds: np.ndarray):
+    """For each repeated anchor the bytes of all windows that have it; of equal ones of a task one, and the others' spans."""
 
-def surroundings(width: int, buckets: int):
-    """For each repeated anchor the bytes of all windows that have it."""
+    def dealt(parts: list[tuple]):
+        key, ids, start = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        bodies = pa.concat_arrays([p[3] for p in parts]).dictionary_encode()
+        code, body = bodies.indices.to_numpy(), bodies.dictionary
+        size = pc.binary_length(body).to_numpy() - width + 1
+        times = np.bincount(code, minlength=len(body))
+        again = times[code] > 1
+        one = np.zeros(len(body), np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]
+        rows = np.concatenate([np.sort(one), np.flatnonzero(again)])
+        told = np.arange(len(rows)) >= len(one)
+        bucket = np.where(told, vec.bucket_of(vec.mix(ids[rows, 1].view(np.uint64)), buckets), vec.bucket_of(key[rows], buckets))
+        sent = body.take(pa.array(code[rows], mask=told))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket.astype(np.int32)), pa.array(key[rows].view(np.int64)), pa.array(ids[rows, 0]), pa.array(ids[rows, 1]), pa.array(start[rows].astype(np.int32)), pa.array(size[code[rows]].astype(np.int32)), pa.array(times[code[rows]].astype(np.int32)), sent],
+            [x.split()[0] for x in AROUND.split(", ")],
+        )
 
     def run(batches):
+        parts: list[tuple] = []
+        held = 0
         for batch in batches:
-            texts, ids, found = vec.texts_of(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, j in vec.chunks(np.fromiter(map(len, texts), np.int64, len(texts)), TASK_BYTES):
-                buf, offsets, at, anchor, h = anchors_of(texts[i:j], width)
+            ids, found = ids_of(batch), batch.column(3)
+            for i, j, texts in vec.parts(batch.column(1), TASK_BYTES):
+                buf, offsets, at, anchor, h = anchors_of(texts, width)
                 part = found.slice(i, j - i)
                 hit = np.zeros(len(buf) + 1, bool)
                 hit[part.flatten().to_numpy(zero_copy_only=False) + np.repeat(offsets[:-1], np.diff(part.offsets.to_numpy()))] = True
                 keep = hit[anchor]
                 at, anchor = at[keep], anchor[keep]
-                first = run_starts(anchor)
-                if not len(first):
+                if not len(at):
                     continue
-                last = at[np.append(first[1:], len(at)) - 1]
-                start, anchor = at[first], anchor[first]
                 key = vec.mix(h[anchor])
+                # windows of a crowd are parted by how far before the anchor they begin, in ranges
+                range_ = np.where(np.isin(key, crowds), (anchor - at) // STARTS + 1, 0) if len(crowds) else np.zeros(len(at), np.int64)
+                first = run_starts(anchor, range_)
+                start, last = at[first], at[np.append(first[1:], len(at)) - 1]
+                key, range_, anchor = key[first], range_[first], anchor[first]
+                some = np.flatnonzero(range_)
+                if len(some):  # all windows of the range hold these bytes; equal windows are in equal ranges
+                    core = vec.windows(vec._BYTES[buf], width - STARTS + 1)[anchor[some] - (range_[some] - 1) * STARTS]
+                    key[some] = vec.mix(key[some] ^ vec.mix(core + range_[some].astype(np.uint64)))
                 text = np.searchsorted(offsets, start, "right") - 1
                 whole = buf.tobytes()
-                bodies = [whole[a:e] for a, e in zip(start.tolist(), (last + width).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(vec.bucket_of(key, buckets)), pa.array(key.view(np.int64)), pa.array(ids[i:j][text], pa.int64()), pa.array((start - offsets[text]).astype(np.int32)), pa.array(bodies, pa.binary())],
-                    ["bucket", "key", "doc_id", "start", "body"],
-                )
+                bodies = pa.array([whole[a:e] for a, e in zip(start.tolist(), (last + width).tolist(), strict=True)], pa.binary())
+                parts.append((key, ids[i:j][text], start - offsets[text], bodies))
+                held += bodies.nbytes
+                if held > BLOCK_BYTES:
+                    yield dealt(parts)
+                    parts, held = [], 0
+        if parts:
+            yield dealt(parts)
 
     return run
 
@@ -273,10 +344,12 @@ def shard(width: int):
     """Spans of repeated window starts, as first and last place, by document."""
 
     def run(group: pa.Table) -> pa.Table:
+        told = group.column("body").is_null()
+        known, group = group.filter(told), group.filter(pc.invert(told))
         body = group.column("body").combine_chunks().dictionary_encode()
         code = body.indices.to_numpy()
         bodies = body.dictionary.to_pylist()
-        count = np.bincount(code, minlength=len(bodies))
+        count = np.bincount(code, group.column("times").to_numpy(), minlength=len(bodies)).astype(np.int64)
         key = np.zeros(len(bodies), np.int64)
         key[code] = group.column("key").to_numpy()
         n_windows = np.fromiter(map(len, bodies), np.int64, len(bodies)) - width + 1
@@ -299,17 +372,18 @@ def shard(width: int):
         row = np.repeat(np.arange(len(code)), each)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
         got = flat[at[code][row] + inner] + group.column("start").to_numpy()[row][:, None]
-        ids = group.column("doc_id").to_numpy()[row]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(got[:, 0], pa.int32()), "last": pa.array(got[:, 1], pa.int32())})
+        start, n = known.column("start").to_numpy(), known.column("n").to_numpy()
+        both = lambda name: np.concatenate([group.column(name).to_numpy()[row], known.column(name).to_numpy()])
+        return pa.table({"doc_id": pa.array(both("doc_id"), pa.int64()), "digest": pa.array(both("digest"), pa.int64()), "first": pa.array(np.concatenate([got[:, 0], start]), pa.int32()), "last": pa.array(np.concatenate([got[:, 1], start + n - 1]), pa.int32())})
 
     return run
 
 
-def remaining(width: int):
+def remaining(width: int, with_text: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(vec.texts_of(batch.column(1)), batch.column(2), strict=True):
+            for text, spans in zip(vec.texts_of(batch.column(1)), batch.column(3), strict=True):
                 runs, left = np.zeros((0, 2), np.int64), text
                 if spans.is_valid:
                     edge = np.zeros(len(text) + 1, np.int32)
@@ -318,7 +392,7 @@ def remaining(width: int):
                     stay = np.cumsum(edge[:-1]) == 0
                     runs = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]]).astype(np.int8))).reshape(-1, 2)
                     left = np.frombuffer(text, np.uint8)[stay].tobytes()
-                rows.append((len(text), len(text) - len(left), len(runs), left, hashlib.sha256(left).hexdigest(), runs.tolist()))
+                rows.append((len(text), len(text) - len(left), len(runs), left if with_text else None, hashlib.sha256(left).hexdigest(), runs.tolist()))
             n, gone, n_spans, left, digest, spans = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(left, pa.binary()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
@@ -328,23 +402,29 @@ def remaining(width: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes left), kept_sha256, spans ([first, end) bytes removed) of each document.
+def suffix_dedup(docs: DataFrame, width: int = 200, crowd: int = 2000, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes left; null without with_text), kept_sha256, spans ([first, end) bytes removed) of each row.
 
-    A byte goes if a string of `width` bytes over it also starts anywhere else. doc_id tells rows apart and must not repeat.
+    A byte goes if a string of `width` bytes over it also starts anywhere else.
     """
     if width < 8:
         raise ValueError("width must be 8 bytes at least")
     docs = id_and_text(docs, doc_id, text)
-    buckets = buckets_for(docs, "text", BLOCK_BYTES)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-int(total) // SHARD_BYTES))
     docs, unknown = known_ids(docs)
-    found = collected(docs.mapInArrow(anchor_blocks(width, buckets), PACKED).groupBy("bucket").applyInArrow(twice, PLACE), "place")
-    around = docs.join(found, "doc_id").mapInArrow(surroundings(width, buckets), AROUND)
+    key = ["doc_id", "digest"]
+    places = saved(docs.mapInArrow(anchor_blocks(width, buckets), PACKED).groupBy("bucket").applyInArrow(twice(max(crowd, int(total) // 80 // MANY_ANCHORS)), FOUND))
+    # a text has an anchor for each 80 bytes or more, so these are MANY_ANCHORS at most
+    crowds = places.where("crowd IS NOT NULL").select("crowd").toArrow().column(0).to_numpy().view(np.uint64) if width > GRAM + STARTS else np.zeros(0, np.uint64)
+    found = collected(places.where("crowd IS NULL"), "place")
+    around = docs.join(found, key).select("doc_id", "text", "digest", "places").mapInArrow(surroundings(width, buckets, crowds), AROUND)
     spans = collected(around.groupBy("bucket").applyInArrow(shard(width), SPAN), "first", "last")
-    return docs.join(spans, "doc_id", "left").union(unknown).mapInArrow(remaining(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<array<int>>")
+    rows = docs.join(spans, key, "left").select("doc_id", "text", "digest", "places").union(unknown.select("doc_id", "text", "digest", "places"))
+    return rows.mapInArrow(remaining(width, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<array<int>>")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     from .frames import table
 
-    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

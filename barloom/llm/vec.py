@@ -133,23 +133,40 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
-def pack(columns: Iterable[np.ndarray], at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
-    """One packed block: columns of entries, the entries' rising places, and the texts the places run over.
-
-    Places are kept as gaps, low and high bytes apart, so that the shuffle's own compression removes the zeros.
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal keys; the keys are sorted."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def pack(columns: Iterable[np.ndarray], at: np.ndarray, first: np.ndarray, ids: np.ndarray) -> bytes:
+    """One packed block: columns of entries, their rising places, and the two ids of each text that has entries.
+
+    first: where each text begins, and the end. Places are kept as gaps within their text, low and high bytes apart, so that
+    the shuffle's own compression removes the zeros.
     """
-    gap = np.diff(at, prepend=0).astype(np.uint32)
+    text = np.searchsorted(first, at, side="right") - 1
+    new = run_starts(text)
+    used = text[new]
+    gap = np.diff(at, prepend=0)
+    gap[new] = at[new] - first[used]
+    gap = gap.astype(np.uint32)
     planes = [(gap >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
-    head = np.array([len(at), len(ids)], np.int64)
-    return b"".join([head.tobytes(), ids.astype(np.int64).tobytes(), counts.astype(np.int32).tobytes(), *(p.tobytes() for p in planes), *(c.tobytes() for c in columns)])
+    head = np.array([len(at), len(used)], np.int64)
+    return b"".join([head.tobytes(), ids[used].tobytes(), np.diff(np.append(new, len(at))).astype(np.int32).tobytes(), *(p.tobytes() for p in planes), *(c.tobytes() for c in columns)])
 
 
-def unpack(block: bytes, kinds: Iterable[np.dtype]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Columns, and the text id and the place within the text of each entry."""
+def unpack(block: bytes, kinds: Iterable[np.dtype]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, the ids of the texts (two each), and the text number and the place within the text of each entry."""
     n, m = np.frombuffer(block, np.int64, 2)
     at = 16
-    ids = np.frombuffer(block, np.int64, m, at)
-    at += 8 * m
+    ids = np.frombuffer(block, np.int64, 2 * m, at).reshape(-1, 2)
+    at += 16 * m
     counts = np.frombuffer(block, np.int32, m, at)
     at += 4 * m
     gap = np.zeros(n, np.int64)
@@ -161,9 +178,9 @@ def unpack(block: bytes, kinds: Iterable[np.dtype]) -> tuple[list[np.ndarray], n
         columns.append(np.frombuffer(block, kind, n, at))
         at += n * np.dtype(kind).itemsize
     place = np.cumsum(gap)
-    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    text = np.searchsorted(first, place, side="right") - 1
-    return columns, ids[text], (place - first[text]).astype(np.int32)
+    new = np.cumsum(counts, dtype=np.int64) - counts
+    place -= np.repeat(place[new] - gap[new], counts)
+    return columns, ids, np.repeat(np.arange(m, dtype=np.int32), counts), place.astype(np.int32)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:

@@ -108,6 +108,34 @@ def test_suffix_order_with_queues_on_disk(most):
     assert suffix.suffix_order(t, len(t), most).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+REPEATED = " ".join(f"p{i}" for i in range(80))
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id and not a text, equal rows, rows without id, nothing."""
+    filler = " ".join(f"f{i}" for i in range(400))
+    rows = [(1, REPEATED), (2, f"{filler} {REPEATED}"), (2, "short text"), (2, f"x {REPEATED}"), (3, f"{REPEATED} y"), (3, f"{REPEATED} y"), (None, REPEATED), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, TEXT).repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.substring_dedup(df, 50).collect())
+    left = [REPEATED, filler, "short text", "x", "y", "y", REPEATED, "", ""]
+    assert got == sorted((d or 0, len((t or "").split()), 80 * (d in (2, 3) and "p1 " in (t or "")), sha(k)) for (d, t), k in zip(rows, left))
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.suffix_dedup(df, 200).collect())
+    known = {i: t or "" for i, (d, t) in enumerate(rows) if d is not None}
+    want = [(rows[i][0], *x) for i, x in plain_suffix(known, 200).items()] + [(0, len(REPEATED), 0, 0, sha(REPEATED))]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("crowd", [3, 2000])
+def test_suffix_crowds(spark, crowd):
+    """A passage in many documents, whole, cut and on its own; few of them may make a crowd."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("abc") * rng.randrange(1, 9)
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join([*(word() for _ in range(rng.randrange(40))), passage[rng.randrange(60) : len(passage) - rng.randrange(60)], *(word() for _ in range(rng.randrange(40)))])) for i in range(60)]
+    rows += [(60 + i, passage) for i in range(9)]
+    assert suffix_rows(suffix.suffix_dedup(spark.createDataFrame(rows, TEXT).repartition(4), 90, crowd)) == plain_suffix(dict(rows), 90)
+
+
 def shingles(text: str, n: int = 5) -> frozenset:
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     return frozenset(tuple(words[i : i + n]) for i in range(max(len(words) - n + 1, 1 if words else 0)))
