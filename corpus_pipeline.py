@@ -1,6 +1,9 @@
 """A training corpus from raw documents, in five stages; each works on what the one before it kept.
 
-Rows without doc_id pass the filters that need one. Extra columns of the input are carried through.
+Defined results: empty tables pass through as empty tables. Rows without doc_id pass the filters that need one; rows with
+a null or empty text go in the first stage, as no language can be read in them. Texts of any length count whole. Every row
+is a document: rows that share an id but not their text are judged apart, of equal rows near-dedup keeps one. Extra columns
+of the input are carried through, also where they are named like those that a stage adds (the input's are kept then).
 """
 
 from __future__ import annotations
@@ -24,9 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, once."""
-    first = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies stays: the one with the smallest id and, among those, the least digest of its text.
+
+    Of repeated rows one stays. Rows without doc_id and rows without words are in no group and all stay.
+    """
+    digest = F.md5("text")
+    found = neardup.near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), percent=80, carry=("digest",))
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.digest").alias("digest"))
+    grouped = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(mixing.WORD), F.lit(False))
+    rows = docs.where(grouped).groupBy(F.col("doc_id").alias("id"), digest.alias("digest")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(first, ["id", "digest"], "left_semi").select("row.*").union(docs.where(~grouped))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,16 +52,20 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how often each is taken (epochs) and how many words that gives."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
-    key = ["doc_id", "source", "size"]
-    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size"))
-    numbered = lambda df: df.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))  # noqa: E731  tells rows with the same id apart
-    taken = numbered(mixed).where("taken > 0").select(*(F.col(c).alias(f"m_{c}") for c in (*key, "turn")), F.struct("size", "target", "epochs", "taken").alias("mix"))
-    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in (*key, "turn")]
-    both = numbered(sized).join(taken, same)
-    new = [c for c in ("size", "target", "epochs", "taken") if c not in docs.columns]
-    return both.select("row.*", *(F.col("mix")[c].alias(c) for c in new))
+    """The documents of the mix, with how often each is taken (epochs) and how many words that gives; those not taken go.
+
+    Texts are shuffled once. Of rows that are equal in id, source and text as many are taken once more as the mix says.
+    Rows with an empty or null text have no words and are not taken.
+    """
+    name = lambda text: F.md5(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), text.alias("t"))))
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels")).select(name(F.col("digest")).alias("k"), "size", "target", "epochs")
+    alike = mixed.groupBy("k").agg(F.first("size").alias("size"), F.first("target").alias("target"), F.min("epochs").alias("least"), F.sum("epochs").alias("all"), F.count(F.lit(1)).alias("n"))
+    alike = alike.where("all > 0").select("k", F.struct("*").alias("mix"))
+    rows = docs.select(name(F.md5("text")).alias("k"), F.struct("*").alias("row")).join(alike, "k")
+    turn = F.row_number().over(Window.partitionBy("k").orderBy("k"))
+    rows = rows.select("row", "mix.*", turn.alias("turn")).withColumn("epochs", F.col("least") + (F.col("turn") <= F.col("all") - F.col("n") * F.col("least")).cast("long"))
+    rows = rows.where("epochs > 0").withColumn("taken", F.col("epochs") * F.col("size"))
+    return rows.select("row.*", *(c for c in ("size", "target", "epochs", "taken") if c not in docs.columns))
 
 
 STAGES = [
@@ -61,7 +75,7 @@ STAGES = [
     ("pii", personal_data),
     ("mixing", source_mix),
 ]
-#: Language id, alignment and similarity components are not SQL; tests compare the stages with brute force.
+#: Language id, alignment and similarity components are not SQL; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
