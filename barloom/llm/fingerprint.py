@@ -9,7 +9,9 @@ sample in hex, so equal texts have equal fingerprints and the share of equal sam
 Only the distinct (word, weight) pairs of a batch are sampled; documents look their values up.
 
 Defined results: a null or empty text, or one of white space, has the fingerprint "". Two such fingerprints are alike
-(1.0), one such and another are not (0.0).
+(1.0), one such and another are not (0.0). Samples of equal rank go to the smaller name, so ties fall alike everywhere. Texts
+of any length count whole. Repeated rows are rows of their own with equal fingerprints. An empty table gives no rows.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .frames import id_and_text
 from .vec import run_starts
 
 TASK_BYTES = 2 << 20
+RANGE_BYTES = 32 << 20
 _SEEDS = np.random.default_rng(10).integers(1, 2**63, (4096, 5), dtype=np.uint64) | vec.U64(1)
 
 
@@ -90,15 +93,16 @@ def robustness(docs: DataFrame, samples: int = 64, partitions: int | None = None
     """Fingerprint of each text and of its edited form, and how alike it is to that and to the next document's.
 
     The next document is the one with the next smaller doc_id, after the smallest the largest. Rows without doc_id count
-    as the smallest, rows with the same doc_id follow each other by text. Texts are dealt once, by ranges of doc_id; the
-    first row of every range is sent to the range before it as well.
+    as the smallest, rows with the same doc_id follow each other by text. Texts are dealt once, by ranges of doc_id that hold
+    about as many bytes each, RANGE_BYTES at most but for one document's; the first row of every range is sent to the
+    range before it as well.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, doc_id, text)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    ends = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else []
-    ends = np.unique(np.array(ends or [], np.int64))
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = partitions or max(1, min(rows // 8, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))))
+    ends = even_ends(docs.select(key.alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), n)
 
     def part_of(ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(ends, ids, side="left")
@@ -137,10 +141,32 @@ def robustness(docs: DataFrame, samples: int = 64, partitions: int | None = None
                     yield compared(pairs, samples)
                 last = whole[-1]
 
-    parts = docs.mapInArrow(dealt, "part int, copy int, k long, doc_id long, text string").repartition(n, "part").sortWithinPartitions("part", "copy", F.desc("k"), "text")
+    parts = docs.mapInArrow(dealt, "part int, copy int, k long, doc_id long, text string").repartitionById(max(n, 1), F.col("part")).sortWithinPartitions("part", "copy", F.desc("k"), "text")
     return parts.mapInArrow(follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def even_ends(sizes: DataFrame, n: int) -> np.ndarray:
+    """Up to n - 1 last keys of ranges (k, size) that hold about as many bytes each: fine ranges of equally many rows, put together by their bytes."""
+    if n < 2:
+        return np.zeros(0, np.int64)
+    fine = 8 * n
+    cuts = np.unique(np.array(sizes.agg(F.percentile_approx("k", [i / fine for i in range(1, fine)], 10 * fine).alias("b")).first()["b"] or [], np.int64))
+
+    def summed(batches):
+        for batch in batches:
+            part = np.searchsorted(cuts, batch.column(0).to_numpy(), side="left")
+            total = np.bincount(part, batch.column(1).to_numpy(), len(cuts) + 1)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["part", "size"])
+
+    total = np.zeros(len(cuts) + 1)
+    for r in sizes.mapInArrow(summed, "part long, size double").groupBy("part").agg(F.sum("size").alias("size")).collect():  # 8 rows for each range
+        total[r["part"]] = r["size"]
+    upto = np.cumsum(total)[:-1]
+    goal = np.floor(upto / max(total.sum(), 1) * n)
+    return cuts[np.flatnonzero(np.diff(goal, prepend=0) > 0)]
+
+
 def largest(batches, part_of):
     for batch in batches:
         ids = batch.column(0).to_numpy()

@@ -5,12 +5,16 @@ is parsed against each automaton: the longest match from here is a phrase, the n
 mean that the language's own text has long pieces of this one; the language with the fewest phrases, normalised by the
 logarithm of its sample's length, wins. Texts are parsed in blocks of BLOCK bytes, all blocks of a batch at once.
 
-The sample is `sample_docs` documents of each language with the smallest hashed ids, `doc_chars` characters of each and
-`reference_bytes` bytes in all; that bounds what the driver holds and what is broadcast (about 70 bytes of table for a
-byte of sample and language). Prediction reads whole texts and nothing but texts.
+The sample is `sample_docs` documents of each language with the smallest hashed ids, and of each `passages` passages of
+`passage_chars` characters that begin at even distances from the first to the last part of the whole text; shorter texts
+count whole. That bounds what the driver holds and what is broadcast (about 70 bytes of table for a byte of sample and
+language; labels are taken to be a dimension, and more than `most_langs` of them are an error). Prediction reads whole
+texts and nothing but texts.
 
 Defined results: a null text, one without letters, or any text when no language was learned is `und` with score 0.
-Equal counts go to the language that sorts first. Score: 1 - fewest / second fewest phrases, 1 if one language is known.
+Equal costs go to the language that sorts first; rows that repeat a text have the same result, and repeated labelled rows
+count once each. Texts of any length count whole, in blocks. An empty table learns nothing and gives no rows. Columns of
+the input other than text pass through; lang_pred, score and phrases_per_byte must not be among them. Score: 1 - fewest / second fewest phrases, 1 if one language is known.
 """
 
 from __future__ import annotations
@@ -127,14 +131,24 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def sample(docs: DataFrame, learn: Column, sample_docs: int, doc_chars: int, reference_bytes: int) -> dict[str, bytes]:
+def passages_of(text: Column, passages: int, chars: int) -> Column:
+    """Passages from all over a text, a line each; the whole text where it is no longer than they are."""
+    n = F.length(text)
+    begins = [F.floor((n - chars) * (i / max(passages - 1, 1))).cast("int") + 1 for i in range(passages)]
+    return F.when(n <= passages * chars, text).otherwise(F.concat_ws("\n", *(F.substring(text, b, F.lit(chars)) for b in begins)))
+
+
+def sample(docs: DataFrame, learn: Column, sample_docs: int, passages: int, passage_chars: int, most_langs: int) -> dict[str, bytes]:
     """The bounded sample: text of each language, documents by hashed id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, doc_chars).alias("text")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+    learned = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = learned.select("doc_id", "lang", F.xxhash64("text").alias("digest"), passages_of(F.col("text"), passages, passage_chars).alias("text")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
     found: dict[str, list] = {}
-    for r in rows.collect():  # sample_docs rows a language at most
+    for r in rows.limit(sample_docs * most_langs + 1).collect():  # sample_docs rows a language at most
         found.setdefault(r["lang"], []).append((r["rank"], r["text"]))
-    return {lang: "\n".join(t for _, t in sorted(x)).encode()[:reference_bytes] for lang, x in found.items()}
+    if len(found) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    return {lang: "\n".join(t for _, t in sorted(x)).encode() for lang, x in found.items()}
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,9 +181,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrases_per_byte double")
 
 
-def train(docs: DataFrame, learn: Column, sample_docs: int = 150, doc_chars: int = 400, reference_bytes: int = 24_000) -> Model:
+def train(docs: DataFrame, learn: Column, sample_docs: int = 120, passages: int = 4, passage_chars: int = 50, most_langs: int = 500) -> Model:
     """docs: doc_id, text, lang. learn: which rows may be learned from."""
-    return Model(sample(docs, learn, sample_docs, doc_chars, reference_bytes))
+    return Model(sample(docs, learn, sample_docs, passages, passage_chars, most_langs))
 
 
 def fold(folds: int) -> Column:

@@ -5,8 +5,9 @@ at `most` times its size and what it cannot take is shared by the others. Every
 the rest of its target by a fraction of its documents: each has the key u ** (1 / w), u a uniform number from a hash of
 its id and w its quality weight; keys are taken from the largest down until the sizes add up to the rest.
 
-The sums run in two levels: keys are cut into slices of about SLICE documents, the slices' sums are added up, and rows
-are only ordered within their slice, so a source of any size is spread over many tasks. All of it is DataFrame work. Sources are taken to be a
+The sums run in two levels: keys are cut into slices of about SLICE documents (by the distribution that keys of the source's
+quality weights have, so all slices are alike), the slices' sums are added up, and rows are only ordered within their
+slice, so a source of any size is spread over many tasks. All of it is DataFrame work. Sources are taken to be a
 dimension: their table, one row each, is ordered in one task and broadcast if it has MANY_SOURCES rows at most.
 
 Defined results: a null or empty text has size 0 and takes no words. A null source is one source, the last. A source
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .frames import saved
 
-SLICE = 50_000
+SLICE = 5_000
+QUALITY = (2.0, 1.0, 0.5)
 MANY_SOURCES = 100_000
 #: Java's \v is a class of its own, so the bytes are named.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,13 +65,16 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[float,
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), "digest"), F.lit("none"))))
     u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
     sized = saved(sized.withColumn("key", F.pow(u, 1 / F.col("quality_weight"))))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    goal = targets(sources.select("source", "source_size"), weights, most).join(sources.select(F.col("source").alias("s"), "rows"), F.expr("source <=> s")).drop("s")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col("quality_weight") == w).alias(f"rows_{i}") for i, w in enumerate(QUALITY)))
+    counted = [f"rows_{i}" for i in range(len(QUALITY))]
+    goal = targets(sources.select("source", "source_size"), weights, most).join(sources.select(F.col("source").alias("s"), "rows", *counted), F.expr("source <=> s")).drop("s")
     whole = F.floor(F.col("target") / F.col("source_size") + 1e-12)
-    goal = goal.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, whole).otherwise(0).alias("whole"), F.greatest(F.ceil(F.col("rows") / SLICE), F.lit(1)).alias("slices"))
+    goal = goal.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, whole).otherwise(0).alias("whole"), F.greatest(F.ceil(F.col("rows") / SLICE), F.lit(1)).alias("slices"), "rows", *counted)
     goal = saved(goal)
     few = F.broadcast(goal) if goal.count() <= MANY_SOURCES else goal
-    rows = sized.join(few, F.expr("source <=> s")).drop("s").withColumn("slice", F.floor(F.col("key") * F.col("slices")))
+    rows = sized.join(few, F.expr("source <=> s")).drop("s")
+    below = sum(F.col(c) * F.pow("key", F.lit(w)) for c, w in zip(counted, QUALITY, strict=True)) / F.col("rows")  # share of keys up to this one, to be expected
+    rows = rows.withColumn("slice", F.floor(below * F.col("slices"))).drop("rows", *counted)
     rows = rows.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     ahead = Window.partitionBy("source").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,8 @@ times its trust is blocked, any other allowed. All of it is DataFrame work, one
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and links nothing; the empty
 host is no node, and its pages are allowed. A null html has no links. Links to the own host do not count. Repeated
-rows count as pages of their own.
+rows count as pages of their own. Trust and distrust that are equal allow. An empty table gives no rows; urls and pages
+of any length count whole; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -42,21 +43,25 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> C
     return picked
 
 
-def spread(nodes: DataFrame, edges: DataFrame, seed: str, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank: host, rank. nodes: host and seed shares that add up to 1; edges: src, dst, share of src's links.
+def spread(nodes: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """Personalised PageRank of each kind: kind, host, rank. nodes: kind, host and seed shares that add up to 1 for each kind; edges: kind, src, dst, share of src's links.
 
-    What a host without links holds goes back to the seeds, as does the rest of every step.
+    What a host without links holds goes back to the seeds, as does the rest of every step. Steps go on until they change
+    the ranks of all hosts by less than `tolerance` together; each step takes the change down by `damping` at least.
     """
-    rank = nodes.select("host", F.col(seed).alias("seed"), F.col(seed).alias("rank"))
-    for _ in range(rounds):
-        moved = rank.where("rank > 0").join(edges, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        kept = rank.join(moved, F.col("host") == F.col("to"), "left").select("host", "seed", F.coalesce("got", F.lit(0.0)).alias("got"))
-        arrived = kept.agg(F.sum("got").alias("all"))  # one row
-        rank = saved(kept.crossJoin(F.broadcast(arrived)).select("host", "seed", (damping * F.col("got") + (1 - damping * F.coalesce("all", F.lit(0.0))) * F.col("seed")).alias("rank")))
-    return rank.select("host", "rank")
-
-
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], damping: float = 0.85, rounds: int = 10, ratio: float = 1.0) -> DataFrame:
+    rank = saved(nodes.select("kind", "host", "seed", F.col("seed").alias("rank")))
+    change = 0.0 if edges.isEmpty() else 1.0  # without links all that is held goes back to the seeds in every step
+    while change > tolerance:
+        moved = rank.where("rank > 0").join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        kept = rank.join(moved, ["kind", "host"], "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+        arrived = kept.groupBy("kind").agg(F.sum("got").alias("all"))  # a row for each kind
+        new = damping * F.col("got") + (1 - damping * F.col("all")) * F.col("seed")
+        rank = saved(kept.join(F.broadcast(arrived), "kind").select("kind", "host", "seed", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        change = rank.agg(F.sum("change")).first()[0] or 0.0
+    return rank.select("kind", "host", "rank")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], damping: float = 0.85, tolerance: float = 1e-9, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each page (page_id, url, html)."""
     known = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = known.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
@@ -68,16 +73,16 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], damping: float =
     total = hosts.agg(F.sum("allowed").alias("all_allowed"), F.sum("blocked").alias("all_blocked"))
     share = lambda n: F.coalesce(F.try_divide(F.col(n), F.col(f"all_{n}")), F.lit(0.0)).alias(n)
     nodes = hosts.crossJoin(F.broadcast(total)).select("host", share("allowed"), share("blocked"))
-    if edges.isEmpty():
-        rounds = 0  # all that is held goes back to the seeds in every step
     out = edges.groupBy("src").agg(F.sum("n").alias("all")).withColumnRenamed("src", "s")
     into = edges.groupBy("dst").agg(F.sum("n").alias("all")).withColumnRenamed("dst", "s")
-    along = edges.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
-    against = edges.join(into, F.col("dst") == F.col("s")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("share"))
-    trust = spread(nodes, saved(along) if rounds else along, "allowed", damping, rounds)
-    distrust = spread(nodes, saved(against) if rounds else against, "blocked", damping, rounds)
+    share_of = (F.col("n") / F.col("all")).alias("share")
+    along = edges.join(out, F.col("src") == F.col("s")).select(F.lit("trust").alias("kind"), "src", "dst", share_of)
+    against = edges.join(into, F.col("dst") == F.col("s")).select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), share_of)
+    seeds = nodes.select(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("seed")).union(nodes.select(F.lit("distrust"), "host", "blocked"))
+    both = spread(seeds, saved(along.union(against)), damping, tolerance)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank"))).alias(kind)  # noqa: E731  a row for each host and kind
     # written, so the pages' join has a plain shuffle on either side and Spark can split the pages of a hot host
-    ranks = saved(trust.join(distrust.withColumnRenamed("rank", "distrust"), "host").withColumnRenamed("rank", "trust").withColumnRenamed("host", "h"))
+    ranks = saved(both.groupBy(F.col("host").alias("h")).agg(of("trust"), of("distrust")))
     judged = known.join(ranks, F.col("host") == F.col("h"), "left")
     worse = F.coalesce(F.col("distrust") > ratio * F.col("trust"), F.lit(False))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(worse, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

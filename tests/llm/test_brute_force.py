@@ -476,3 +476,17 @@ def test_near_duplicates_with_repeated_ids(spark):
         (hashlib.md5(t.encode()).hexdigest() if t is not None else "", d or 0, c or 0, k)
         for (d, t), c, k in zip(rows, [1, 1, 5, 1, 5, 5, None, 7, 8], [True, False, True, False, False, False, True, True, True])
     )
+
+
+def test_ranks_reach_the_end_of_long_chains(spark):
+    """A chain of hosts that leads to a blocked one: all of it is distrusted, whatever its length."""
+    chain = [f"h{i}.org" for i in range(24)] + ["bad.net"]
+    rows = [(i, f"http://{h}/" if h != "bad.net" else "http://bad.net/es/x", f'<a href="http://{chain[i + 1]}/">x</a>' if i + 1 < len(chain) else "") for i, h in enumerate(chain)]
+    rows += [(100, "http://good.com/", ""), (101, "http://other.org/", ""), (102, None, None), (103, "http://good.com/", '<a href="http://other.org/">y</a>')]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), urls.RULES).collect()}
+    assert [got[i]["verdict"] for i in range(25)] == ["block"] * 25 and [got[i]["verdict"] for i in (100, 101, 102, 103)] == ["allow"] * 4
+    seed, mass = {25 - 1: 1.0}, [0.0] * 25
+    for _ in range(500):  # against the links: from the blocked end to the beginning, where it goes back to the seed
+        moved = [0.85 * mass[i + 1] if i < 24 else 0.0 for i in range(25)]
+        mass = [m + (1 - sum(moved)) * seed.get(i, 0.0) for i, m in enumerate(moved)]
+    assert all(math.isclose(got[i]["distrust"], mass[i], abs_tol=1e-7) for i in range(25))
