@@ -1,74 +1,88 @@
-"""Indicators in which each value needs the one before: EMA and what is built on it.
+"""Indicators in which each value needs the one before: exponential means, and what columns make of them.
 
-One pass over each symbol's rows in order, for all indicators asked for, in a task of its own per symbol.
+Only the means themselves leave the JVM: one pass over each symbol's rows in order makes all that are asked for, and a
+second one those that smooth what the first one gave.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.series import Series
 
-def smoothed(x: pd.Series, alpha: float, warm_up: int = 0) -> pd.Series:
-    """Exponential mean that starts with the first value; NULL until `warm_up` values are in."""
-    return x.ewm(alpha=alpha, adjust=False, min_periods=warm_up).mean()
+#: A mean: its name, the column it is of, the weight of a new value, and how many values it takes before there is one.
+Mean = tuple[str, str, float, int]
 
 
-def ema(x: pd.Series, span: int) -> pd.Series:
-    return smoothed(x, 2 / (span + 1), span)
-
-
-def rsi(close: pd.Series, n: int = 14) -> pd.Series:
-    change = close.diff()
-    gain, loss = (smoothed(change.clip(lower=0), 1 / n, n), smoothed(-change.clip(upper=0), 1 / n, n))
-    ratio = 100 - 100 / (1 + gain / loss.where(loss != 0))
-    return ratio.mask((loss == 0) & gain.notna(), 100.0)
+def smooth(rows: DataFrame, means: list[Mean], key: str = "symbol", order: str = "dt") -> DataFrame:
+    """Adds exponential means that begin with the first value; missing values are passed over, and make no mean before the first one."""
+    means = list(dict.fromkeys(means))
+    if not means:
+        return rows
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        return group.assign(**{name: group[source].astype(float).ewm(alpha=alpha, adjust=False, min_periods=warm_up).mean() for name, source, alpha, warm_up in means})
 
-def macd(close: pd.Series, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[pd.Series, pd.Series]:
-    line = ema(close, fast) - ema(close, slow)
-    return line, smoothed(line, 2 / (signal + 1))
+    kinds = [f"`{c}` {t}" for c, t in rows.dtypes] + [f"`{name}` double" for name, *_ in means]
+    return rows.groupBy(key).applyInPandas(run, ", ".join(kinds))
 
 
-def true_range(bars: pd.DataFrame) -> pd.Series:
-    before = bars["close"].shift(1)
-    return pd.concat([bars["high"] - bars["low"], (bars["high"] - before).abs(), (bars["low"] - before).abs()], axis=1).max(axis=1)
+def ema(n: int) -> Mean:
+    return f"_ema_{n}", "close", 2 / (n + 1), n
 
 
-def atr(bars: pd.DataFrame, n: int = 14) -> pd.Series:
-    return smoothed(true_range(bars), 1 / n, n)
+def wilder(source: str, n: int) -> Mean:
+    return f"{source}_{n}", source, 1 / n, n
 
 
-def adx(bars: pd.DataFrame, n: int = 14) -> pd.Series:
-    up, down = bars["high"].diff(), -bars["low"].diff()
-    plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-    tr = smoothed(true_range(bars), 1 / n, n)
-    tr = tr.where(tr != 0)
-    plus, minus = (100 * smoothed(x, 1 / n, n) / tr for x in (plus, minus))
-    total = plus + minus
-    return smoothed(100 * (plus - minus).abs() / total.where(total != 0), 1 / n, n)
+#: First means of each kind, those of a second pass (with the column that they smooth), and the value.
+FIRST = {
+    "ema": lambda n: [ema(n)],
+    "rsi": lambda n: [wilder("_up", n), wilder("_down", n)],
+    "macd": lambda n: [ema(12), ema(n)],
+    "macd_signal": lambda n: [ema(12), ema(26)],
+    "atr": lambda n: [wilder("_range", n)],
+    "adx": lambda n: [wilder("_plus", n), wilder("_minus", n), wilder("_range", n)],
+}
+LINE = {
+    "macd_signal": lambda n: F.col("_ema_12") - F.col("_ema_26"),
+    "adx": lambda n: 100 * F.try_divide(F.abs(F.col(f"_plus_{n}") - F.col(f"_minus_{n}")), F.col(f"_plus_{n}") + F.col(f"_minus_{n}")),
+}
+SECOND = {"macd_signal": lambda n: ("_signal_line", 2 / (n + 1), 0), "adx": lambda n: (f"_adx_line_{n}", 1 / n, n)}
+VALUE = {
+    "ema": lambda n: F.col(f"_ema_{n}"),
+    "rsi": lambda n: F.when(F.col(f"_up_{n}").isNull(), None).when(F.col(f"_down_{n}") == 0, 100.0).otherwise(100 - 100 / (1 + F.col(f"_up_{n}") / F.col(f"_down_{n}"))),
+    "macd": lambda n: F.col("_ema_12") - F.col(f"_ema_{n}"),
+    "macd_signal": lambda n: F.col(f"_mean_macd_signal_{n}"),
+    "atr": lambda n: F.col(f"_range_{n}"),
+    "adx": lambda n: F.col(f"_mean_adx_{n}"),
+}
 
 
-INDICATORS = {
-    "ema": lambda b, n: ema(b["close"], n),
-    "rsi": lambda b, n: rsi(b["close"], n),
-    "macd": lambda b, n: macd(b["close"])[0],
-    "macd_signal": lambda b, n: macd(b["close"])[1],
-    "atr": atr,
-    "adx": adx,
-}
+def moves(s: Series) -> dict[str, Column]:
+    """Changes that are smoothed: up and down closes, the true range, and the larger of up and down moves of highs and lows."""
+    change = F.col("close") - s.lag("close")
+    high, low = F.col("high") - s.lag("high"), s.lag("low") - F.col("low")
+    return {
+        "_up": F.greatest(change, F.lit(0.0)) + 0 * change,
+        "_down": F.greatest(-change, F.lit(0.0)) + 0 * change,
+        "_range": s.true_range(),
+        "_plus": F.when((high > low) & (high > 0), high).otherwise(0.0),
+        "_minus": F.when((low > high) & (low > 0), low).otherwise(0.0),
+    }
 
 
-def with_recursive(bars: DataFrame, asked: list[tuple[str, int]]) -> DataFrame:
+def with_recursive(bars: DataFrame, asked: list[tuple[str, int]], key: str = "symbol") -> DataFrame:
     """Adds a column kind_n for each indicator asked for. A series is one task's work: years of bars of one symbol."""
     asked = list(dict.fromkeys(asked))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("dt")
-        for kind, n in asked:
-            rows[f"{kind}_{n}"] = INDICATORS[kind](rows, n).astype(float).replace({np.nan: None}).astype(object)
-        return rows
-
-    names = ", ".join(f"{c} {t}" for c, t in bars.dtypes)
-    return bars.groupBy("symbol").applyInPandas(run, names + "".join(f", {k}_{n} double" for k, n in asked))
+    first = [m for kind, n in asked for m in FIRST[kind](n)]
+    made = moves(Series(key))
+    rows = smooth(bars.withColumns({c: x for c, x in made.items() if any(c == m[1] for m in first)}), first, key)
+    later = [(kind, n) for kind, n in asked if kind in SECOND]
+    if later:
+        rows = rows.withColumns({SECOND[kind](n)[0]: LINE[kind](n) for kind, n in later})
+        rows = smooth(rows, [(f"_mean_{kind}_{n}", *SECOND[kind](n)) for kind, n in later], key)
+    return rows.select(*bars.columns, *(VALUE[kind](n).alias(f"{kind}_{n}") for kind, n in asked))

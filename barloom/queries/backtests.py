@@ -92,8 +92,3 @@ def grid_search(spark, sf_dir: str) -> DataFrame:
 def trials_of(spark, sf_dir: str) -> DataFrame:
     """How many runs a search made and how far their Sharpe ratios spread."""
     return rounded(bt.grid(bars(spark, sf_dir), GRID).agg(F.count(F.lit(1)).alias("n_trials"), F.stddev_samp("sharpe").alias("sharpe_sd")))
-
-
-@query("exit_breakdown", f"WITH {TRADES}\nSELECT CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS reason, CAST(count(*) AS BIGINT) AS n FROM trades GROUP BY 1")
-def exit_breakdown(spark, sf_dir: str) -> DataFrame:
-    return bt.trades(done(spark, sf_dir), KEY).groupBy(F.when(F.col("direction") > 0, "long").otherwise("short").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
