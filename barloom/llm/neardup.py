@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
@@ -41,7 +41,9 @@ from .frames import id_and_text, saved
 from .vec import run_starts
 
 TASK_BYTES = 2 << 20
-OWN = 8  # branchings by a tree's own hash functions
+OWN = 10  # branchings by a tree's own hash functions
+WIDE = 2  # of which the first ones count with 32 bits, all others with 8
+LINK_ROWS = 50_000  # links in a task
 SLACK = 4.5
 BOTTOM = 256
 PART_ROWS = 500_000  # rows of the sort in a task; they pass through in batches
@@ -138,22 +140,25 @@ def confirm(percent: int):
 
 
 def paths(trees: int):
-    """A row for each tree: its own hashes first, then the low bytes of the other trees'; other columns are carried along."""
+    """A row for each tree: its own hashes first, then the other trees'; other columns are carried along, `low` by its upper 32 bits."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = trees * OWN
-            tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(-1, k)
+            tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(-1, trees * OWN)
             low = tokens.astype(np.uint8)
+            names, rest = batch.schema.names[1:], list(batch.columns[1:])
+            if "low" in names:
+                at = names.index("low")
+                rest[at] = pa.array([(np.frombuffer(x.as_buffer(), np.uint64) >> vec.U64(32)).astype(np.uint32).tobytes() for x in rest[at]], pa.binary())
             for t in range(trees):
                 i, j = t * OWN, (t + 1) * OWN
-                key = np.concatenate([tokens[:, i:j].copy().view(np.uint8), low[:, j:], low[:, :i]], axis=1)
+                key = np.concatenate([tokens[:, i : i + WIDE].copy().view(np.uint8), low[:, i + WIDE : j], low[:, j:], low[:, :i]], axis=1)
                 whole, step = key.tobytes(), key.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), t, np.int32)), pa.array([whole[x : x + step] for x in range(0, len(whole), step)], pa.binary()), *batch.columns[1:]],
-                    ["tree", "path", *batch.schema.names[1:]],
+                    [pa.array(np.full(len(key), t, np.int32)), pa.array([whole[x : x + step] for x in range(0, len(whole), step)], pa.binary()), *rest],
+                    ["tree", "path", *names],
                 )
 
     return run
@@ -171,8 +176,8 @@ def followed(batches, leaf: int, agreeing: int):
         m = rows.num_rows
         tree = rows.column(0).to_numpy()
         path = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(m, -1)
-        own = np.ascontiguousarray(path[:, : 4 * OWN]).view(np.uint32)
-        rest = np.ascontiguousarray(path[:, 4 * OWN :])
+        own = np.ascontiguousarray(path[:, : 4 * WIDE]).view(np.uint32)
+        rest = np.ascontiguousarray(path[:, 4 * WIDE :])
         first = run_starts(tree, own[:, 0])
         end = np.repeat(np.append(first[1:], m), np.diff(np.append(first, m)))
         left, right, score = [], [], []
@@ -218,13 +223,12 @@ def bridges(leaf: int, agreeing: int, percent: int):
     def run(batches):
         for rows, i, j, _ in followed(batches, leaf, agreeing):
             if len(i):
-                names, root = np.unique(np.array(rows.column(3).to_pylist(), object), return_inverse=True)
-                size = rows.column(4).to_numpy()
+                root, size = rows.column(3).to_numpy(), rows.column(4).to_numpy()
                 far = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
                 i, j = i[far], j[far]
             if not len(i):
                 continue
-            low = [np.frombuffer(x, np.uint64) for x in rows.column(5).to_pylist()]
+            low = [np.frombuffer(x, np.uint32) for x in rows.column(5).to_pylist()]
             keep = np.zeros(len(i), bool)
             for at, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
                 both = np.concatenate([low[x], low[y]])
@@ -256,7 +260,7 @@ def sorted_rows(df: DataFrame, trees: int, kinds: str, n_rows: int) -> DataFrame
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm."""
     of_a, of_b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    return saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a binary, b binary"))
+    return saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a long, b long"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -274,9 +278,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         out = hooked.where("v > u" if large else "v < u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 
-    edges, before = links.select("a", "b"), None
+    parts = max(4, links.count() // LINK_ROWS)  # few links need few tasks, and each task's exchange files
+    edges, before = links.select("a", "b").coalesce(parts), None
     for _ in range(rounds):
-        edges = saved(star(star(edges, True), False))
+        edges = saved(star(star(edges, True).coalesce(parts), False).coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -294,16 +299,7 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return moved.union(above.select(F.col("root").alias("id"), F.col("least").alias("root"))).distinct()
 
 
-def node_of(doc_id: Column, name: Column) -> Column:
-    """24 bytes that sort by doc_id first."""
-    return F.concat(F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")), name)
-
-
-def id_of(node: Column) -> Column:
-    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall: float = 0.9999, deep: int = 4, leaf: int = 256, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall: float = 0.9999, deep: int = 3, leaf: int = 256, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `carry`, n_shingles, component_id, kept, component of each row: links are pairs with 100 * intersection >= percent * union.
 
     component tells components apart, also those whose smallest doc_id is the same; it is null for a row that can have no link.
@@ -319,27 +315,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall
     seen = saved(plain.mapInArrow(sketches(shingle, k, len(carry)), ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_shingles long, name binary, sketch binary"])))
     some = seen.where("doc_id IS NOT NULL AND name IS NOT NULL")
     reps = some.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
-    reps = saved(reps.select("sketch", node_of(F.col("first"), F.col("name")).alias("node")))
-    found = sorted_rows(reps, trees, "node binary", reps.count() * trees).mapInArrow(best(leaf, agreeing), "x binary, y binary, mx boolean, my boolean")
-    one_way = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("mx")).otherwise(F.col("my")).alias("ma"), F.when(F.col("x") < F.col("y"), F.col("my")).otherwise(F.col("mx")).alias("mb"))
+    reps = saved(reps.select("sketch", F.monotonically_increasing_id().alias("node"), "name", "first"))
+    found = sorted_rows(reps.select("sketch", "node"), trees, "node long", reps.count() * trees).mapInArrow(best(leaf, agreeing), "x long, y long, mx boolean, my boolean")
+    forth = F.col("x") < F.col("y")
+    one_way = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(forth, F.col("mx")).otherwise(F.col("my")).alias("ma"), F.when(forth, F.col("my")).otherwise(F.col("mx")).alias("mb"))
     pairs = saved(one_way.groupBy("a", "b").agg(F.bool_or("ma").alias("ma"), F.bool_or("mb").alias("mb")))
     ends = pairs.select(F.col("a").alias("node"), F.col("ma").alias("more")).union(pairs.select("b", "mb")).groupBy("node").agg(F.bool_or("more").alias("more"))
-    ends = saved(ends)
-    texts = plain.join(ends.select(id_of(F.col("node")).alias("doc_id")), "doc_id", "left_semi")
+    ends = saved(ends.join(reps, "node"))
+    texts = plain.join(ends.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(full_sets(shingle), "name binary, members binary").groupBy("name").agg(F.first("members").alias("members"))
-    sets = saved(sets.join(ends.select("node", F.substring("node", 9, 16).alias("name")), "name").select("node", "members"))
+    sets = saved(sets.join(ends.select("node", "name"), "name").select("node", "members"))
     roots = components(confirmed(pairs.select("a", "b"), sets, percent))
-    crowd = ends.where("more").select("node").join(reps, "node").join(sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n"), F.substring("members", 1, 8 * BOTTOM).alias("low")), "node")
+    crowd = ends.where("more").select("sketch", "node").join(sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n"), F.substring("members", 1, 8 * BOTTOM).alias("low")), "node")
     crowd = saved(crowd.join(roots, F.col("node") == F.col("id"), "left").select("sketch", "node", F.coalesce("root", "node").alias("root"), "n", "low"))
     n_crowd = crowd.count()
     if n_crowd:
-        met = sorted_rows(crowd, trees, "node binary, root binary, n long, low binary", n_crowd * trees).mapInArrow(bridges(leaf, agreeing, percent), "x binary, y binary")
+        met = sorted_rows(crowd, trees, "node long, root long, n long, low binary", n_crowd * trees).mapInArrow(bridges(leaf, agreeing, percent), "x long, y long")
         more = saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             roots = saved(joined(roots, confirmed(more, sets, percent)))
-    least = reps.select("node").join(roots, F.col("node") == F.col("id"), "left").select(F.substring("node", 9, 16).alias("name"), F.coalesce("root", "node").alias("component"))
-    linked = some.select("doc_id", *carry, "n_shingles", "name").join(least, "name").select("doc_id", *carry, "n_shingles", id_of(F.col("component")).alias("component_id"), "component")
-    alone = seen.where("doc_id IS NULL OR name IS NULL").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    rooted = reps.select("node", "name", "first").join(roots, F.col("node") == F.col("id"), "left").select("name", "first", F.coalesce("root", "node").alias("component"))
+    classes = rooted.join(rooted.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("name", "component_id", "component")
+    linked = some.select("doc_id", *carry, "n_shingles", "name").join(classes, "name").select("doc_id", *carry, "n_shingles", "component_id", "component")
+    alone = seen.where("doc_id IS NULL OR name IS NULL").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     return linked.union(alone).select("doc_id", *carry, "n_shingles", "component_id", kept, "component")
 
