@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .frames import id_and_text, saved
-from .substring import BLOCK_BYTES, PACKED, SPAN, TASK_BYTES, Gathered, Packer, collected, flat, ids_of, known_ids
+from .substring import BLOCK_BYTES, PACKED, SPAN, Gathered, Packer, collected, flat, ids_of, known_ids
 from .vec import run_starts
 
 GRAM = 32
+TASK_BYTES = 1 << 20  # bytes of text worked on at once in a task
+BODY_BYTES = 8 << 20  # bytes of surroundings that a task folds at once
 QUEUE_BYTES = 128 << 20
 SHARD_BYTES = 4 << 20  # bytes of text behind a shard
 STARTS = 24
@@ -331,7 +333,7 @@ def surroundings(width: int, buckets: int, crowds: np.ndarray):
                 bodies = pa.array([whole[a:e] for a, e in zip(start.tolist(), (last + width).tolist(), strict=True)], pa.binary())
                 parts.append((key, ids[i:j][text], start - offsets[text], bodies))
                 held += bodies.nbytes
-                if held > BLOCK_BYTES:
+                if held > BODY_BYTES:
                     yield dealt(parts)
                     parts, held = [], 0
         if parts:
