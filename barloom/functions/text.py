@@ -51,21 +51,29 @@ def words(text: Column) -> Column:
 
 
 def sentiment(text: Column) -> Column:
-    """struct(score, hits) of a text: list words count 1 or -1, turned to -0.8 by a negator and raised by half by an intensifier in the three words before."""
-    tokens = words(text)
-    rates = F.lower(text).rlike(RATES)
+    """struct(score, hits) of a text: list words count 1 or -1, turned to -0.8 by a negator and raised by half by an intensifier in the three words before.
+
+    Each step is bound by a one-element array, so a text is split, and its words are weighed, once however often they are used.
+    """
     one = lambda names: F.array(*map(F.lit, names))
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def weights(x: Column) -> Column:
+        def weigh(t: Column, i: Column) -> Column:
+            own = F.when(t.isin("cut", "cuts") & ~x["rates"], -1.0).when(t.isin(*POSITIVE), 1.0).otherwise(-1.0)
+            before = F.slice(x["tokens"], F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
+            turned = F.when(F.arrays_overlap(before, one(NEGATORS)), -0.8 * own).otherwise(own)
+            return F.when(F.arrays_overlap(before, one(INTENSIFIERS)), 1.5 * turned).otherwise(turned)
+
+        listed = lambda t, i: F.when(t.isin(*POSITIVE, *NEGATIVE), weigh(t, i)).otherwise(0.0)
+        return F.filter(F.transform(x["tokens"], listed), lambda w: w != 0)
 
-    def weigh(t: Column, i: Column) -> Column:
-        own = F.when(t.isin("cut", "cuts") & ~rates, -1.0).when(t.isin(*POSITIVE), 1.0).when(t.isin(*NEGATIVE), -1.0).otherwise(0.0)
-        before = F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-        turned = F.when(F.arrays_overlap(before, one(NEGATORS)), -0.8 * own).otherwise(own)
-        return F.when(F.arrays_overlap(before, one(INTENSIFIERS)), 1.5 * turned).otherwise(turned)
+    def scored(w: Column) -> Column:
+        total, hits = F.aggregate(w, F.lit(0.0), lambda a, v: a + v), F.size(w)
+        score = F.when(hits == 0, 0.0).otherwise(F.greatest(F.least(0.6 * total / F.pow(F.greatest(hits, F.lit(1)).cast("double"), F.lit(0.7)), F.lit(1.0)), F.lit(-1.0)))
+        return F.struct(score.alias("score"), hits.cast("long").alias("hits"))
 
-    weights = F.filter(F.transform(tokens, weigh), lambda w: w != 0)
-    total, hits = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), F.size(weights)
-    score = F.when(hits == 0, 0.0).otherwise(F.greatest(F.least(0.6 * total / F.pow(F.greatest(hits, F.lit(1)).cast("double"), F.lit(0.7)), F.lit(1.0)), F.lit(-1.0)))
-    return F.struct(score.alias("score"), hits.cast("long").alias("hits"))
+    return bind(F.struct(words(text).alias("tokens"), F.lower(text).rlike(RATES).alias("rates")), lambda x: bind(weights(x), scored))
 
 
 def sentiment_label(score: Column) -> Column:
@@ -91,14 +99,18 @@ def session_phase(ts: Column) -> Column:
     return F.when(F.weekday(local) >= 5, "overnight").otherwise(out)
 
 
-def impact(text: Column, ts: Column) -> dict[str, Column]:
-    """category, phase, direction and confidence of a headline."""
+def impact(text: Column, ts: Column) -> Column:
+    """struct(category, phase, direction, confidence) of a headline."""
     found, phase = category(text), session_phase(ts)
-    effective = sentiment(text)["score"] * found["flip"]
     timing = F.create_map(*(F.lit(x) for pair in TIMING.items() for x in pair))[phase]
-    direction = F.when(effective > 0.08, "bullish").when(effective < -0.08, "bearish").otherwise("neutral")
-    confidence = F.least(0.5 + 0.45 * F.abs(effective) * found["weight"] * timing, F.lit(0.85))
-    return {"category": found["name"], "phase": phase, "direction": direction, "confidence": F.when(direction == "neutral", F.least(confidence, F.lit(0.5))).otherwise(confidence)}
+    facts = F.struct((sentiment(text)["score"] * found["flip"]).alias("effective"), found["name"].alias("category"), found["weight"].alias("weight"), phase.alias("phase"), timing.alias("timing"))
+
+    def call(x: Column) -> Column:
+        direction = F.when(x["effective"] > 0.08, "bullish").when(x["effective"] < -0.08, "bearish").otherwise("neutral")
+        confidence = F.least(0.5 + 0.45 * F.abs(x["effective"]) * x["weight"] * x["timing"], F.lit(0.85))
+        return F.struct(x["category"].alias("category"), x["phase"].alias("phase"), direction.alias("direction"), F.when(direction == "neutral", F.least(confidence, F.lit(0.5))).otherwise(confidence).alias("confidence"))
+
+    return F.get(F.transform(F.array(facts), call), F.lit(0))
 
 
 def plain_text(html: Column) -> Column:
@@ -107,3 +119,23 @@ def plain_text(html: Column) -> Column:
     for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(mark))
     return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+
+
+#: Fixed words that say nothing of a sentence.
+STOP = (
+    "the and for are but not you all any can her was one our out day get has him his how man new now old see two way who boy did its let put say she too use "
+    "that this with from they will have been were said each which their time would there what about into more other could than then them these some only over "
+    "after also just most such where through before between during under while"
+).split()
+LEAST_SENTENCE = 20
+
+
+def tokenize(sentence: Column) -> Column:
+    """Words of three letters or more, lower-cased, without those that say nothing; a word that repeats counts each time."""
+    return F.filter(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z']{3,}"), 0), lambda w: ~w.isin(*STOP))
+
+
+def sentences(text: Column) -> Column:
+    """Pieces of a text that end in . ! or ? before a space and a capital or digit, longer than LEAST_SENTENCE characters."""
+    pieces = F.transform(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.trim(s))
+    return F.filter(pieces, lambda s: F.length(s) > LEAST_SENTENCE)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,24 +40,17 @@ def running(fills: DataFrame) -> DataFrame:
 
 
 def fifo(fills: DataFrame) -> DataFrame:
-    """instrument, net_qty, avg_cost, realised: lots are closed in the order in which they were opened, and a fill may turn the side."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lots: list[list[float]] = []  # signed quantity and price of open lots, oldest first
-        realised, at = 0.0, 0
-        for side, qty, price in rows.sort_values("seq")[["side", "qty", "price"]].itertuples(index=False):
-            left = float(qty) if side == "BUY" else -float(qty)
-            while left and at < len(lots) and lots[at][0] * left < 0:
-                used = min(abs(left), abs(lots[at][0]))
-                way = 1 if lots[at][0] > 0 else -1
-                realised += way * used * (price - lots[at][1])
-                lots[at][0] -= way * used
-                left += way * used
-                at += abs(lots[at][0]) < 1e-9
-            if abs(left) > 1e-9:
-                lots.append([left, float(price)])
-        open_ = lots[at:]
-        net = sum(q for q, _ in open_)
-        return pd.DataFrame({"instrument": [rows["instrument"].iloc[0]], "net_qty": [net], "avg_cost": [sum(q * p for q, p in open_) / net if net else None], "realised": [realised]})
-
-    return fills.groupBy("instrument").applyInPandas(run, "instrument string, net_qty double, avg_cost double, realised double")
+    """instrument, net_qty, avg_cost, realised: lots are closed in the order in which they were opened, and a fill may turn the side.
+
+    First in first out pairs the n-th unit ever bought with the n-th unit ever sold. So with running quantities of each side, what
+    both sides have in common is closed, and the units beyond it are the open lots; no fill is compared with any other, and a book
+    of any size is one running sum. avg_cost is that of the open lots, NULL when flat.
+    """
+    side = Window.partitionBy("instrument", "side").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = fills.withColumn("side", F.when(F.upper("side") == "BUY", "BUY").otherwise("SELL")).withColumn("upto", F.sum("qty").over(side).cast("double"))
+    total = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("upto"))), F.lit(0.0))
+    closed = rows.groupBy("instrument").agg(F.least(total("BUY"), total("SELL")).alias("closed"), (total("BUY") - total("SELL")).alias("net_qty"))
+    rows = rows.join(closed, "instrument").withColumn("open", F.least(F.greatest(F.col("upto") - F.col("closed"), F.lit(0.0)), F.col("qty").cast("double")))
+    way = F.when(F.col("side") == "BUY", -1.0).otherwise(1.0)
+    out = rows.groupBy("instrument", "net_qty").agg(F.sum(F.col("open") * F.col("price")).alias("held"), F.sum(way * (F.col("qty") - F.col("open")) * F.col("price")).alias("realised"))
+    return out.select("instrument", "net_qty", F.when(F.col("net_qty") != 0, F.col("held") / F.abs("net_qty")).alias("avg_cost"), "realised")

@@ -62,27 +62,36 @@ def buy_sufficient(spark, sf_dir: str) -> DataFrame:
     return f.where("side = 'BUY'").select("instrument", "seq", (F.col("had") >= F.col("qty") * F.col("price")).alias("enough"))
 
 
-LASTPX = f"{FILLS}, v AS (SELECT instrument, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS net, max_by(price, seq) AS px, sum(CASE side WHEN 'BUY' THEN qty * price END) / sum(CASE side WHEN 'BUY' THEN qty END) AS avg_cost FROM fills GROUP BY 1)"
+LASTPX = f"{FILLS}, v AS (SELECT instrument, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS net, max_by(price, seq) AS px FROM fills GROUP BY 1)"
+#: FIFO with lots kept one by one: a step for each fill, which closes the oldest lots first. Lots are (quantity, price), oldest first.
+FIFO = f"""{FILLS}, lo AS (SELECT instrument, CASE side WHEN 'BUY' THEN 1 ELSE -1 END AS way, qty, price, seq, sum(qty) OVER (PARTITION BY instrument, side ORDER BY seq) AS upto FROM fills),
+ pr AS (SELECT b.instrument, b.seq AS bs, s.seq AS ss, least(b.upto, s.upto) - greatest(b.upto - b.qty, s.upto - s.qty) AS q, b.price AS bp, s.price AS sp FROM lo b JOIN lo s ON b.instrument = s.instrument AND b.way = 1 AND s.way = -1 AND b.upto - b.qty < s.upto AND s.upto - s.qty < b.upto),
+ cl AS (SELECT instrument, seq, sum(q) AS q FROM (SELECT instrument, bs AS seq, q FROM pr UNION ALL SELECT instrument, ss, q FROM pr) u GROUP BY 1, 2),
+ op AS (SELECT lo.instrument, sum(way * (qty - coalesce(q, 0))) AS net_qty, sum((qty - coalesce(q, 0)) * price) AS held FROM lo LEFT JOIN cl ON cl.instrument = lo.instrument AND cl.seq = lo.seq GROUP BY 1),
+ re AS (SELECT instrument, sum(q * (sp - bp)) AS realised FROM pr GROUP BY 1),
+ ff AS (SELECT op.instrument, CAST(net_qty AS DOUBLE) AS net_qty, CASE WHEN net_qty <> 0 THEN held / abs(net_qty) END AS avg_cost, coalesce(realised, 0) AS realised FROM op LEFT JOIN re USING (instrument))"""
 
 
 def valued(spark, sf_dir: str) -> DataFrame:
-    buy = F.when(F.col("side") == "BUY", F.col("qty"))
-    return fills(spark, sf_dir).groupBy("instrument").agg(F.sum(book.signed()).alias("net"), F.max_by("price", "seq").alias("px"), (F.sum(buy * F.col("price")) / F.sum(buy)).alias("avg_cost"))
+    return fills(spark, sf_dir).groupBy("instrument").agg(F.sum(book.signed()).alias("net"), F.max_by("price", "seq").alias("px"))
 
 
-@query("avg_cost", rounded_sql(f"WITH {LASTPX}\nSELECT instrument, avg_cost FROM v", "avg_cost"))
+@query("avg_cost", rounded_sql(f"WITH {FIFO}\nSELECT instrument, avg_cost FROM ff", "avg_cost"))
 def avg_cost(spark, sf_dir: str) -> DataFrame:
-    return rounded(valued(spark, sf_dir).select("instrument", "avg_cost"))
+    """Of the open lots of the open side."""
+    return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "avg_cost"))
 
 
 @query("market_value", rounded_sql(f"WITH {LASTPX}\nSELECT sum(net * px) AS value FROM v", "value", digits=3))
 def market_value(spark, sf_dir: str) -> DataFrame:
-    return rounded(valued(spark, sf_dir).agg(F.sum(F.col("net") * F.coalesce("px", "avg_cost")).alias("value")), 3)
+    return rounded(valued(spark, sf_dir).agg(F.sum(F.col("net") * F.col("px")).alias("value")), 3)
 
 
-@query("unrealized_pnl", rounded_sql(f"WITH {LASTPX}\nSELECT instrument, (px - avg_cost) * net AS pnl FROM v", "pnl", digits=4))
+@query("unrealized_pnl", rounded_sql(f"WITH {FIFO}, px AS (SELECT instrument, max_by(price, seq) AS px FROM fills GROUP BY 1)\nSELECT instrument, (px - avg_cost) * net_qty AS pnl FROM ff JOIN px USING (instrument)", "pnl", digits=3))
 def unrealized_pnl(spark, sf_dir: str) -> DataFrame:
-    return rounded(valued(spark, sf_dir).select("instrument", ((F.col("px") - F.col("avg_cost")) * F.col("net")).alias("pnl")), 4)
+    f = fills(spark, sf_dir)
+    last = f.groupBy("instrument").agg(F.max_by("price", "seq").alias("px"))
+    return rounded(book.fifo(f).join(last, "instrument").select("instrument", ((F.col("px") - F.col("avg_cost")) * F.col("net_qty")).alias("pnl")), 3)
 
 
 @query("total_equity", rounded_sql(f"WITH {LASTPX}, k AS (SELECT sum(CASE side WHEN 'BUY' THEN -qty * price ELSE qty * price END) AS cash FROM fills)\nSELECT 1e6 + (SELECT cash FROM k) + sum(net * px) AS equity FROM v", "equity", digits=3))
@@ -92,15 +101,14 @@ def total_equity(spark, sf_dir: str) -> DataFrame:
     return rounded(valued(spark, sf_dir).agg(F.sum(F.col("net") * F.col("px")).alias("v")).crossJoin(cash).select((1e6 + F.col("cash") + F.col("v")).alias("equity")), 3)
 
 
-@query("book_trade_fifo", rounded_sql(f"""WITH {FILLS}, r AS (SELECT instrument, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS net_qty FROM fills GROUP BY 1)
-SELECT instrument, CAST(net_qty AS DOUBLE) AS net_qty FROM r""", "net_qty"))
+@query("book_trade_fifo", rounded_sql(f"WITH {FIFO}\nSELECT instrument, net_qty, avg_cost FROM ff", "net_qty", "avg_cost"))
 def book_trade_fifo(spark, sf_dir: str) -> DataFrame:
-    return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "net_qty"))
+    return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "net_qty", "avg_cost"))
 
 
-@query("book_fifo_realised")
+@query("book_fifo_realised", rounded_sql(f"WITH {FIFO}\nSELECT instrument, realised FROM ff", "realised", digits=1))
 def book_fifo_realised(spark, sf_dir: str) -> DataFrame:
-    return rounded(book.fifo(fills(spark, sf_dir)), 4)
+    return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "realised"), 1)
 
 
 @query("book_greeks_rollup", rounded_sql(f"WITH {FILLS}\nSELECT coalesce(instrument, 'TOTAL') AS underlying, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END * price) AS exposure FROM fills GROUP BY ROLLUP (instrument)", "exposure", digits=3))

@@ -176,13 +176,22 @@ def drop_overlapping(spark, sf_dir: str) -> DataFrame:
     return events.spaced(events.shocks(bars(spark, sf_dir)).select("symbol", "k"), 10)
 
 
-FWD = " UNION ALL ".join(f"SELECT symbol, k, z, CAST({h} AS BIGINT) AS horizon, ln(lead(close, {h}) OVER {W})) - ln(close) AS fwd FROM z" for h in events.HORIZONS)
+def spaced_sql(source: str, gap: int) -> str:
+    """Named subqueries up to kp: the events of a source (z below -2) that come more than `gap` bars after the last one kept."""
+    return f"""e AS (SELECT symbol, k, row_number() OVER (PARTITION BY symbol ORDER BY k) AS i FROM {source} WHERE z <= -2.0),
+ g AS (SELECT symbol, k, i, k AS kept, TRUE AS take FROM e WHERE i = 1 UNION ALL SELECT e.symbol, e.k, e.i, CASE WHEN e.k - g.kept > {gap} THEN e.k ELSE g.kept END, e.k - g.kept > {gap} FROM g JOIN e ON e.symbol = g.symbol AND e.i = g.i + 1),
+ kp AS (SELECT symbol, k, take FROM g WHERE take)"""
 
 
-@query("event_study", rounded_sql(f"""WITH {Z}, f AS (SELECT *, CASE WHEN z <= -2.0 THEN fwd END AS own FROM ({FWD}) t WHERE fwd IS NOT NULL)
-SELECT symbol, horizon, CAST(count(own) AS BIGINT) AS n, 100 * avg(own) AS mean_pct, 100 * quantile_cont(own, 0.5) AS median_pct, avg(CASE WHEN own > 0 THEN 1.0 WHEN own <= 0 THEN 0.0 END) AS hit_rate,
+FIGURES = """CAST(count(own) AS BIGINT) AS n, 100 * avg(own) AS mean_pct, 100 * quantile_cont(own, 0.5) AS median_pct, avg(CASE WHEN own > 0 THEN 1.0 WHEN own <= 0 THEN 0.0 END) AS hit_rate,
  CASE WHEN count(own) > 2 AND stddev_samp(own) > 1e-12 THEN avg(own) / (stddev_samp(own) / sqrt(count(own))) END AS t,
- CAST(count(CASE WHEN k > 63 THEN 1 END) AS BIGINT) AS base_n, 100 * avg(CASE WHEN k > 63 THEN fwd END) AS base_mean_pct FROM f GROUP BY symbol, horizon""", "mean_pct", "median_pct", "hit_rate", "t", "base_mean_pct"))
+ CAST(count(CASE WHEN k > 63 THEN 1 END) AS BIGINT) AS base_n, 100 * avg(CASE WHEN k > 63 THEN fwd END) AS base_mean_pct"""
+COUNTED = ("mean_pct", "median_pct", "hit_rate", "t", "base_mean_pct")
+FWD = " UNION ALL ".join(f"SELECT symbol, k, z, CAST({h} AS BIGINT) AS horizon, ln(lead(close, {h}) OVER {W})) - ln(close) AS fwd FROM z" for h in events.HORIZONS)
+
+
+@query("event_study", rounded_sql(f"""WITH RECURSIVE {Z}, {spaced_sql('z', 21)}, f AS (SELECT t.*, CASE WHEN kp.take THEN fwd END AS own FROM ({FWD}) t LEFT JOIN kp ON kp.symbol = t.symbol AND kp.k = t.k WHERE fwd IS NOT NULL)
+SELECT symbol, horizon, {FIGURES} FROM f GROUP BY symbol, horizon""", *COUNTED))
 def event_study(spark, sf_dir: str) -> DataFrame:
     return rounded(events.study(bars(spark, sf_dir)))
 
@@ -193,16 +202,17 @@ def classify_today(spark, sf_dir: str) -> DataFrame:
     return rounded(last.withColumn("label", F.when(F.col("z") <= -2, "shock down").when(F.col("z") >= 2, "shock up").otherwise("normal")))
 
 
-@query("excess_event_study", rounded_sql(f"""WITH {Z}, m AS (SELECT dt, avg(r) AS mr FROM r WHERE r IS NOT NULL GROUP BY dt), x AS (SELECT z.symbol, z.dt, z.z, z.r - m.mr AS ex FROM z JOIN m USING (dt)),
- f AS (SELECT symbol, z, sum(ex) OVER {W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS fwd, lead(ex, 5) OVER {W}) AS there FROM x)
-SELECT symbol, CAST(count(*) AS BIGINT) AS n, 100 * avg(fwd) AS mean_pct FROM f WHERE z <= -2.0 AND there IS NOT NULL GROUP BY symbol""", "mean_pct"))
+XFWD = " UNION ALL ".join(f"SELECT symbol, k, z, CAST({h} AS BIGINT) AS horizon, lead(total, {h}) OVER {W}) - total AS fwd FROM xt" for h in events.HORIZONS)
+
+
+@query("excess_event_study", rounded_sql(f"""WITH RECURSIVE {Z}, mk AS (SELECT dt, ln(close / lag(close) OVER (ORDER BY dt)) AS market FROM bars WHERE symbol = 'ECONOMY'),
+ xz AS (SELECT z.symbol, z.dt, z.z, z.r - mk.market AS ex, row_number() OVER (PARTITION BY z.symbol ORDER BY z.dt) - 1 AS k FROM z JOIN mk USING (dt) WHERE z.r IS NOT NULL AND market IS NOT NULL), xt AS (SELECT *, sum(ex) OVER {W} ROWS UNBOUNDED PRECEDING) AS total FROM xz),
+ {spaced_sql('xz', 21)}, f AS (SELECT t.*, CASE WHEN kp.take THEN fwd END AS own FROM ({XFWD}) t LEFT JOIN kp ON kp.symbol = t.symbol AND kp.k = t.k WHERE fwd IS NOT NULL)
+SELECT symbol, horizon, {FIGURES} FROM f GROUP BY symbol, horizon""", *COUNTED))
 def excess_event_study(spark, sf_dir: str) -> DataFrame:
-    """Five-bar returns in excess of the mean of all symbols, after shocks."""
-    z = events.standardised(bars(spark, sf_dir))
-    market = z.where("r IS NOT NULL").groupBy("dt").agg(F.avg("r").alias("mr"))
-    x = z.join(market, "dt").withColumn("ex", F.col("r") - F.col("mr"))
-    x = x.withColumn("fwd", F.sum("ex").over(S.w.rowsBetween(1, 5))).withColumn("there", S.lead("ex", 5))
-    return rounded(x.where("z <= -2.0 AND there IS NOT NULL").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg("fwd")).alias("mean_pct")))
+    """What follows shocks beyond what one symbol, the benchmark, does on the same days."""
+    b = bars(spark, sf_dir)
+    return rounded(events.excess_study(b, b.where("symbol = 'ECONOMY'").select("dt", "close")))
 
 
 PROFILE = f"""{BARS}, sp AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY symbol),
@@ -247,12 +257,21 @@ def obv_divergence(spark, sf_dir: str) -> DataFrame:
     return volume.divergence(bars(spark, sf_dir))
 
 
-@query("analyze_volume", rounded_sql(f"""WITH {DAYS}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM dd)
-SELECT symbol, ratio, z, CASE WHEN ratio > 2.0 THEN 'surge' ELSE 'none' END AS note FROM l WHERE rn = 1""", "ratio", "z"))
+DIVERGED = f"""s AS (SELECT symbol, dt, close, CASE WHEN close > {LAG} THEN volume WHEN close < {LAG} THEN -volume ELSE 0 END AS v, {LAST} AS back FROM bars),
+ o AS (SELECT *, sum(v) OVER {W} ROWS UNBOUNDED PRECEDING) AS obv FROM s),
+ t AS (SELECT symbol, count(*) AS n, avg(CASE WHEN back <= 20 THEN close END) - avg(CASE WHEN back BETWEEN 21 AND 40 THEN close END) AS p, avg(CASE WHEN back <= 20 THEN obv END) - avg(CASE WHEN back BETWEEN 21 AND 40 THEN obv END) AS f FROM o GROUP BY symbol),
+ dg AS (SELECT symbol, CASE WHEN n < 42 THEN 'none' WHEN p > 0 AND f < 0 THEN 'bearish' WHEN p < 0 AND f > 0 THEN 'bullish' ELSE 'none' END AS divergence FROM t)"""
+
+
+@query("analyze_volume", rounded_sql(f"""WITH {DAYS}, {PROFILE.replace(BARS + ', ', '', 1)}, {DIVERGED}, pc AS (SELECT symbol, min_by((low_edge + high_edge) / 2, (-volume, bin)) AS poc FROM prof GROUP BY symbol), l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM dd)
+SELECT symbol, ratio, z, CASE WHEN ratio > 1.5 AND clv > 0.3 THEN 'accumulation' WHEN ratio > 1.5 AND clv < -0.3 THEN 'distribution' WHEN ratio > 1.5 THEN 'churn' WHEN ratio < 0.6 THEN 'quiet' ELSE 'normal' END AS day_type, divergence, poc, CASE WHEN ratio > 2.0 THEN 'surge' ELSE 'none' END AS note FROM l JOIN dg USING (symbol) JOIN pc USING (symbol) WHERE rn = 1""", "ratio", "z", "poc"))
 def analyze_volume(spark, sf_dir: str) -> DataFrame:
+    """The newest day's volume, what kind of day it is, whether price and volume diverge, and where most was traded."""
+    b = bars(spark, sf_dir)
     newest = Window.partitionBy("symbol").orderBy(F.desc("dt"))
-    last = volume.day_types(bars(spark, sf_dir)).withColumn("rn", F.row_number().over(newest)).where("rn = 1")
-    return rounded(last.select("symbol", "ratio", "z", F.when(F.col("ratio") > 2, "surge").otherwise("none").alias("note")))
+    last = volume.day_types(b).withColumn("rn", F.row_number().over(newest)).where("rn = 1")
+    both = last.select("symbol", "ratio", "z", "day_type").join(volume.divergence(b), "symbol").join(volume.value_area(volume.profile(b)).select("symbol", "poc"), "symbol")
+    return rounded(both.withColumn("note", F.when(F.col("ratio") > 2, "surge").otherwise("none")))
 
 
 @query("correlation_matrix", rounded_sql(f"""WITH {BARS}, r AS (SELECT symbol, dt, close / {LAG} - 1 AS r FROM bars)

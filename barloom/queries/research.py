@@ -157,13 +157,13 @@ D1 = "((ln(spot / strike) + (0.065 + 0.5 * iv0 * iv0) * t) / (iv0 * sqrt(t)))"
 FROZEN = f"{ARCHIVE}, fz AS (SELECT *, first_value(iv) OVER (PARTITION BY symbol, expiry ORDER BY dt) AS iv0, greatest(dte, 1) / 365.0 AS t FROM atm), fd AS (SELECT *, {D1} AS d1, {D1} - iv0 * sqrt(t) AS d2, exp(-0.065 * t) AS b FROM fz)"
 
 
-@query("decay_at_frozen_iv", rounded_sql(f"WITH {FROZEN}\nSELECT symbol, dt, expiry, straddle, spot * {cdf('d1')} - strike * b * {cdf('d2')} + strike * b * {cdf('-d2')} - spot * {cdf('-d1')} AS model, straddle / sqrt(greatest(dte, 1)) AS per_root_day FROM fd", "straddle", "model", "per_root_day", digits=2))
+@query("decay_at_frozen_iv", rounded_sql(f"WITH {FROZEN}\nSELECT symbol, dt, expiry, straddle, spot * {cdf('d1')} - strike * b * {cdf('d2')} + strike * b * {cdf('-d2')} - spot * {cdf('-d1')} AS model, straddle / sqrt(greatest(dte, 1)) AS per_root_day FROM fd", "straddle", "model", "per_root_day", digits=1))
 def decay_at_frozen_iv(spark, sf_dir: str) -> DataFrame:
     """A straddle against its price at the volatility of its first day."""
     first = F.first("iv").over(Window.partitionBy("symbol", "expiry").orderBy("dt"))
     p = atm_panel(spark, sf_dir).withColumns({"iv0": first, "t": F.greatest("dte", F.lit(1)) / 365.0})
     model = op.price("spot", "strike", "t", "iv0", F.lit(True)) + op.price("spot", "strike", "t", "iv0", F.lit(False))
-    return rounded(p.select("symbol", "dt", "expiry", "straddle", model.alias("model"), (F.col("straddle") / F.sqrt(F.greatest("dte", F.lit(1)))).alias("per_root_day")), 2)
+    return rounded(p.select("symbol", "dt", "expiry", "straddle", model.alias("model"), (F.col("straddle") / F.sqrt(F.greatest("dte", F.lit(1)))).alias("per_root_day")), 1)
 
 
 LOT = 65

@@ -22,7 +22,7 @@ def listed(names) -> str:
 SPICE = ("Markets surge strongly as RBI cuts repo rate", "Company cuts guidance, shares not fall", "Crude oil prices jump sharply", "Bank profit growth despite inflation fears", "Election risk hits rupee", "")
 SPICED = f"h AS (SELECT doc_id, {listed(SPICE)}[CAST(doc_id % 6 AS INTEGER) + 1] || ' ' || title AS title, title AS raw FROM headlines)"
 SENT = f"""{HEADLINES}, {SPICED}, tk AS (SELECT doc_id, title, regexp_extract_all(lower(title), '[a-z'']+') AS t, regexp_matches(lower(title), '\\brates?\\b|\\brepo\\b|\\brbi\\b|\\bfed\\b') AS rates FROM h),
- ex AS (SELECT doc_id, rates, t, i, t[i] AS w FROM tk, range(1, 400) r(i) WHERE i <= len(t)),
+ ex AS (SELECT doc_id, rates, t, i, t[i] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM tk) u),
  ow AS (SELECT *, CASE WHEN w IN ('cut', 'cuts') AND NOT rates THEN -1.0 WHEN w IN {quoted(tx.POSITIVE)} THEN 1.0 WHEN w IN {quoted(tx.NEGATIVE)} THEN -1.0 ELSE 0.0 END AS own, t[greatest(i - 3, 1):i - 1] AS b FROM ex),
  wt AS (SELECT doc_id, own * CASE WHEN list_has_any(b, {listed(tx.NEGATORS)}) THEN -0.8 ELSE 1 END * CASE WHEN list_has_any(b, {listed(tx.INTENSIFIERS)}) THEN 1.5 ELSE 1 END AS v FROM ow WHERE own <> 0),
  ag AS (SELECT doc_id, CAST(sum(v) AS DOUBLE) AS total, count(*) AS hits FROM wt GROUP BY doc_id),
@@ -60,16 +60,14 @@ IMPACT = f"""{SENT}, c AS (SELECT *, {CASES} AS category, {LOCAL} AS lt FROM sen
 
 @query("assess_impact", rounded_sql(f"WITH {IMPACT}\nSELECT * FROM impact", "confidence"))
 def assess_impact(spark, sf_dir: str) -> DataFrame:
-    found = tx.impact(F.col("title"), F.col("ts"))
-    return rounded(spiced(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in found.items())))
+    return rounded(spiced(spark, sf_dir).select("doc_id", tx.impact(F.col("title"), F.col("ts")).alias("i")).select("doc_id", "i.*"))
 
 
 @query("aggregate_bias", rounded_sql(f"""WITH {IMPACT}, a AS (SELECT CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * confidence * pow(0.5, (doc_id % 48) / 6.0) AS part, confidence * pow(0.5, (doc_id % 48) / 6.0) AS w FROM impact)
 SELECT sum(part) / sum(w) AS score, CAST(count(*) AS BIGINT) AS n FROM a""", "score"))
 def aggregate_bias(spark, sf_dir: str) -> DataFrame:
     """Confidence-weighted direction of all headlines; weights halve every six hours."""
-    found = tx.impact(F.col("title"), F.col("ts"))
-    d = spiced(spark, sf_dir).select((F.col("doc_id") % 48).alias("age"), *(c.alias(n) for n, c in found.items()))
+    d = spiced(spark, sf_dir).select((F.col("doc_id") % 48).alias("age"), tx.impact(F.col("title"), F.col("ts")).alias("i")).select("age", "i.*")
     weight = F.col("confidence") * F.pow(F.lit(0.5), F.col("age") / 6.0)
     sign = F.when(F.col("direction") == "bullish", 1).when(F.col("direction") == "bearish", -1).otherwise(0)
     return rounded(d.agg((F.sum(sign * weight) / F.sum(weight)).alias("score"), F.count(F.lit(1)).alias("n")))
@@ -117,9 +115,10 @@ def alias_table(spark, sf_dir: str) -> DataFrame:
     return a.where("n >= 3").orderBy(F.desc("n"), "alias")
 
 
-@query("news_coverage", f"WITH {HEADLINES}\nSELECT lang, CAST(count(CASE WHEN source = 'src0' THEN 1 END) AS BIGINT) AS src0, CAST(count(CASE WHEN source = 'src1' THEN 1 END) AS BIGINT) AS src1 FROM headlines GROUP BY lang")
+@query("news_coverage", f"WITH {HEADLINES}\nSELECT lang, source, CAST(count(*) AS BIGINT) AS n FROM headlines GROUP BY 1, 2")
 def news_coverage(spark, sf_dir: str) -> DataFrame:
-    return headlines(spark, sf_dir).groupBy("lang").pivot("source", ["src0", "src1"]).count().na.fill(0)
+    """Headlines by language and source: rows, since the sources are as many as there are."""
+    return headlines(spark, sf_dir).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("news_for", f"WITH {HEADLINES}\nSELECT doc_id, title FROM headlines WHERE list_contains(string_split(title, ' '), 'the')")
@@ -151,21 +150,65 @@ def age_hours(spark, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "events").select("event_id", F.coalesce(age, F.lit(999.0)).alias("age")), 9)
 
 
-@query("summarize")
+MARK = "chr(1)"
+PLAIN = f"pl AS (SELECT page_id, trim(regexp_replace({ENTITIES}, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS x FROM pages) p)"
+SUMMED = f"""{PLAIN}, se AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9])', '\\1' || {MARK} || '\\2', 'g'), {MARK}), lambda s: trim(s)), lambda s: len(s) > {tx.LEAST_SENTENCE}) AS s FROM pl),
+ si AS (SELECT page_id, len(s) AS n, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS i FROM se),
+ to_ AS (SELECT page_id, i, list_filter(regexp_extract_all(lower(sentence), '[a-z'']{{3,}}'), lambda w: NOT list_contains({listed(tx.STOP)}, w)) AS t FROM si WHERE n > 2),
+ wc AS (SELECT page_id, i, len(t) AS m, w, count(*) AS c FROM (SELECT page_id, i, t, unnest(t) AS w FROM to_) u GROUP BY ALL),
+ pr AS (SELECT a.page_id, a.i, sum(least(a.c, b.c)) / (ln(1 + a.m) + ln(1 + b.m)) AS v FROM wc a JOIN wc b ON a.page_id = b.page_id AND a.w = b.w AND a.i <> b.i GROUP BY a.page_id, a.i, b.i, a.m, b.m),
+ sr AS (SELECT si.page_id, si.i, round(coalesce(sum(v), 0), 6) AS score FROM si LEFT JOIN pr ON pr.page_id = si.page_id AND pr.i = si.i WHERE n > 2 GROUP BY 1, 2),
+ tp AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i) AS rn FROM sr),
+ su AS (SELECT page_id, string_agg(sentence, ' ' ORDER BY i) AS summary FROM (SELECT si.page_id, si.i, sentence FROM si LEFT JOIN tp ON tp.page_id = si.page_id AND tp.i = si.i WHERE (n = 2) OR rn <= 2) q GROUP BY 1)"""
+
+
+@query("summarize", f"WITH {SUMMED}\nSELECT pl.page_id, md5(coalesce(summary, text, '')) AS summary_md5 FROM pl LEFT JOIN su USING (page_id)")
 def summarize(spark, sf_dir: str) -> DataFrame:
-    """The two sentences of each page's text that share most words with its others, in their order.
+    return summaries(table(spark, sf_dir, "pages")).select("page_id", F.md5("summary").alias("summary_md5"))
+
+
+def summaries(pages: DataFrame, most: int = 2) -> DataFrame:
+    """page_id, summary: the `most` sentences of each page's text that are most alike to its others, in their order.
 
-    A word shared by sentences of n and m words adds 1 / (ln(n + 1) + ln(m + 1)) to both; the sums are over counts of
-    sentences by page, word and m, so no pairs are listed.
+    Two sentences of n and m words that share c of them, counted as often as both have them, are alike by c / (ln(1 + n) + ln(1 + m)).
+    A word's first, second and further occurrences are words of their own, so counts of sentences by page, word and m give the sums
+    and no pairs are listed. Pages with fewer sentences than two keep their text, those with no more than `most` all of them.
     """
-    docs = table(spark, sf_dir, "pages").select("page_id", tx.plain_text(F.col("html")).alias("text"))
-    parts = docs.select("page_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("i", "sentence"))
-    bags = parts.select("page_id", "i", F.filter(F.array_distinct(tx.words(F.col("sentence"))), lambda w: F.length(w) >= 3).alias("bag")).where(F.size("bag") > 1)
-    found = bags.select("page_id", "i", F.size("bag").alias("n"), F.explode("bag").alias("word"))
-    holding = found.groupBy("page_id", "word", F.col("n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    alike = (F.col("c") - (F.col("m") == F.col("n")).cast("int")) / (F.ln(F.col("n") + 1.0) + F.ln(F.col("m") + 1.0))
-    score = found.join(holding, ["page_id", "word"]).groupBy("page_id", "i").agg(F.round(F.sum(alike), 9).alias("score"))  # rounded, so equal sentences tie
-    page = Window.partitionBy("page_id")
-    best = score.withColumn("all", F.count(F.lit(1)).over(page)).withColumn("rn", F.row_number().over(page.orderBy(F.desc("score"), "i"))).where("rn <= 2 AND all > 1")
-    best = best.select("page_id", "i").join(parts, ["page_id", "i"])
-    return best.groupBy("page_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda s: s["sentence"])).alias("summary"))
+    docs = pages.select("page_id", F.coalesce(tx.plain_text(F.col("html")), F.lit("")).alias("text"))
+    rows = pieces(docs)
+    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "i")
+    ranked = rows.join(similarity(pages, most), ["page_id", "i"], "left").withColumn("rn", F.row_number().over(order)).where((F.col("n") <= most) | (F.col("rn") <= most))
+    best = ranked.groupBy("page_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda s: s["sentence"])).alias("best"))
+    return docs.join(best, "page_id", "left").select("page_id", F.coalesce("best", "text").alias("summary"))
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """page_id, n (sentences of the page, two at least), i, sentence."""
+    parts = docs.select("page_id", tx.sentences(F.col("text")).alias("s")).withColumn("n", F.size("s"))
+    return parts.where(F.col("n") > 1).select("page_id", "n", F.posexplode("s").alias("i", "sentence"))
+
+
+def similarity(pages: DataFrame, most: int = 2) -> DataFrame:
+    """page_id, i, score of the sentences of pages that have more than `most`; scores are rounded, so equal sentences tie."""
+    docs = pages.select("page_id", F.coalesce(tx.plain_text(F.col("html")), F.lit("")).alias("text"))
+    rows = pieces(docs)
+    bags = rows.where(F.col("n") > most).select("page_id", "i", tx.tokenize(F.col("sentence")).alias("bag")).select("page_id", "i", F.size("bag").alias("m"), F.explode("bag").alias("word"))
+    again = F.row_number().over(Window.partitionBy("page_id", "i", "word").orderBy("m"))
+    words = bags.withColumn("occurrence", again)
+    holding = words.groupBy("page_id", "word", "occurrence", F.col("m").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    alike = (F.col("c") - (F.col("k") == F.col("m")).cast("int")) / (F.log1p("m") + F.log1p("k"))
+    score = words.join(holding, ["page_id", "word", "occurrence"]).groupBy("page_id", "i").agg(F.sum(alike).alias("score"))
+    kept = rows.where(F.col("n") > most).select("page_id", "i").join(score, ["page_id", "i"], "left")
+    return kept.select("page_id", "i", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+
+
+@query("tokenize", f"WITH {PLAIN}\nSELECT page_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT page_id, list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda w: NOT list_contains({listed(tx.STOP)}, w)) AS t FROM pl) q")
+def tokenize(spark, sf_dir: str) -> DataFrame:
+    t = tx.tokenize(tx.plain_text(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@query("sentence_similarity", rounded_sql(f"WITH {SUMMED}\nSELECT page_id, i - 1 AS i, score FROM sr", "score").replace("i - 1 AS i", "CAST(i - 1 AS INTEGER) AS i"))
+def sentence_similarity(spark, sf_dir: str) -> DataFrame:
+    """How alike each sentence is to the others of its page, summed; pages of more than two sentences."""
+    return rounded(similarity(table(spark, sf_dir, "pages")))

@@ -171,7 +171,7 @@ def leg_from_chain(spark, sf_dir: str) -> DataFrame:
 
 @query("leg_payoff", rounded_sql(f"WITH {LEGGED}, pp AS (SELECT *, spot * 1.05 AS px FROM lg)\nSELECT ts, name, CAST(leg AS INTEGER) AS leg, side * (greatest(CASE WHEN kind = 'CE' THEN px - strike ELSE strike - px END, 0) - premium) AS payoff FROM pp", "payoff", digits=4))
 def leg_payoff(spark, sf_dir: str) -> DataFrame:
-    return rounded(vo.strategy_legs(quoted(spark, sf_dir)).select("ts", "name", "leg", vo.leg_payoff(F.col("spot") * 1.05).alias("payoff")), 4))
+    return rounded(vo.strategy_legs(quoted(spark, sf_dir)).select("ts", "name", "leg", vo.leg_payoff(F.col("spot") * 1.05).alias("payoff")), 4)
 
 
 SOME = {k: v for k, v in vo.STRATEGIES.items() if k in ("short_straddle", "iron_condor", "bull_call_spread")}
