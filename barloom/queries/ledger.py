@@ -106,9 +106,9 @@ def book_trade_fifo(spark, sf_dir: str) -> DataFrame:
     return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "net_qty", "avg_cost"))
 
 
-@query("book_fifo_realised", rounded_sql(f"WITH {FIFO}\nSELECT instrument, realised FROM ff", "realised", digits=1))
+@query("book_fifo_realised", rounded_sql(f"WITH {FIFO}\nSELECT instrument, realised FROM ff", "realised", digits=0))
 def book_fifo_realised(spark, sf_dir: str) -> DataFrame:
-    return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "realised"), 1)
+    return rounded(book.fifo(fills(spark, sf_dir)).select("instrument", "realised"), 0)
 
 
 @query("book_greeks_rollup", rounded_sql(f"WITH {FILLS}\nSELECT coalesce(instrument, 'TOTAL') AS underlying, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END * price) AS exposure FROM fills GROUP BY ROLLUP (instrument)", "exposure", digits=3))
