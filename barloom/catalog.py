@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, backtests, chains, feeds, indicators, ledger, market, research, strategies, texts, validation, vols  # noqa: F401  importing a module registers its queries
+from .queries import ORACLE_SQL, QUERIES, backtests, chains, feeds, indicators, ledger, market, models, research, strategies, texts, validation, vols  # noqa: F401  importing a module registers its queries
