@@ -7,9 +7,9 @@ from .fingerprint import op10_fingerprints
 from .langid import op9_language_id
 from .lm import op5_suffix_tree_score
 from .mixing import OP6_SQL, op6_source_mix
-from .neardup import op8_near_duplicates
+from .neardup import OP8_SQL, op8_near_duplicates
 from .pii import op4_pii
-from .substring import op2_substring_dedup
+from .substring import OP2_SQL, op2_substring_dedup
 from .suffix import op7_suffix_dedup
 from .urls import op3_url_filter
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op6_source_mix": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_source_mix": OP6_SQL, "op8_near_duplicates": OP8_SQL}

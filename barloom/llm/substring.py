@@ -302,3 +302,17 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from .frames import table
 
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50) t),
+early AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+bad AS (SELECT doc_id, i FROM win JOIN early USING (h) WHERE doc_id > first),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+m AS (SELECT t.doc_id, t.i, word, count(bad.i) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone FROM t LEFT JOIN bad ON bad.doc_id = t.doc_id AND bad.i = t.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM m),
+g AS (SELECT doc_id, count(*) AS n_words, count(CASE WHEN gone THEN 1 END) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept, count(CASE WHEN begins THEN 1 END) AS n_spans FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
