@@ -60,7 +60,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = lambda text: F.md5(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), text.alias("t"))))
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels")).select(name(F.col("digest")).alias("k"), "size", "target", "epochs")
     alike = mixed.groupBy("k").agg(F.first("size").alias("size"), F.first("target").alias("target"), F.min("epochs").alias("least"), F.sum("epochs").alias("all"), F.count(F.lit(1)).alias("n"))
-    alike = alike.where("all > 0").select("k", F.struct("*").alias("mix"))
+    alike = alike.where("all > 0 AND size > 0").select("k", F.struct("*").alias("mix"))
     rows = docs.select(name(F.md5("text")).alias("k"), F.struct("*").alias("row")).join(alike, "k")
     turn = F.row_number().over(Window.partitionBy("k").orderBy("k"))
     rows = rows.select("row", "mix.*", turn.alias("turn")).withColumn("epochs", F.col("least") + (F.col("turn") <= F.col("all") - F.col("n") * F.col("least")).cast("long"))
