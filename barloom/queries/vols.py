@@ -97,11 +97,11 @@ def vol_cone(spark, sf_dir: str) -> DataFrame:
     return rounded(vo.cone(at).select("ts", "days", "down_2", "down_1", "up_1", "up_2"))
 
 
-@query("quote_price", rounded_sql(f"WITH {CHAIN}, m AS (SELECT ts, strike, call_ltp, CASE CAST(call_oi AS BIGINT) % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.0 ELSE call_ltp * 1.01 END AS mid FROM chain)\nSELECT ts, strike, CASE WHEN mid > 0 THEN mid ELSE call_ltp END AS price FROM m", "price", digits=7))
+@query("quote_price", rounded_sql(f"WITH {CHAIN}, m AS (SELECT ts, strike, call_ltp, CASE CAST(call_oi AS BIGINT) % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.0 ELSE call_ltp * 1.01 END AS mid FROM chain)\nSELECT ts, strike, CASE WHEN mid > 0 THEN mid ELSE call_ltp END AS price FROM m", "price", digits=9))
 def quote_price(spark, sf_dir: str) -> DataFrame:
     left = F.col("call_oi").cast("long") % 3
     mid = F.when(left == 0, None).when(left == 1, 0.0).otherwise(F.col("call_ltp") * 1.01)
-    return rounded(chain(spark, sf_dir).select("ts", "strike", vo.quote_price(mid, F.col("call_ltp")).alias("price")), 7)
+    return rounded(chain(spark, sf_dir).select("ts", "strike", vo.quote_price(mid, F.col("call_ltp")).alias("price")), 9)
 
 
 SIDED = {side: {n: x.replace("sigma", f"sg_{side}").replace("d1", f"d1_{side}").replace("d2", f"d2_{side}").replace("pdf", f"pdf_{side}") for n, x in GREEKS.items()} for side in ("c", "p")}
@@ -145,9 +145,9 @@ LEGGED = f"""{NUM}, tp AS (SELECT * FROM (VALUES {TEMPLATES}) v(name, leg, side,
    FROM na CROSS JOIN tp JOIN ni ON ni.ts = na.ts AND ni.expiry = na.expiry AND ni.i = least(greatest(na.atm + off, 1), na.n))"""
 
 
-@query("build_strategy", rounded_sql(f"WITH {LEGGED}\nSELECT ts, name, CAST(leg AS INTEGER) AS leg, CAST(side AS INTEGER) AS side, kind, strike, premium, iv FROM lg", "premium", "iv", digits=7))
+@query("build_strategy", rounded_sql(f"WITH {LEGGED}\nSELECT ts, name, CAST(leg AS INTEGER) AS leg, CAST(side AS INTEGER) AS side, kind, strike, premium, round(iv, 6) AS iv FROM lg", "premium", digits=9))
 def build_strategy(spark, sf_dir: str) -> DataFrame:
-    return rounded(vo.strategy_legs(quoted(spark, sf_dir)).drop("expiry", "spot"), 7)
+    return rounded(vo.strategy_legs(quoted(spark, sf_dir)).drop("expiry", "spot").withColumn("iv", F.round("iv", 6)), 9)
 
 
 @query("offset_index", f"WITH {NUM}, o AS (SELECT ts, CAST(v.off AS INTEGER) AS off, CAST(least(greatest(atm + v.off, 1), n) AS INTEGER) AS i FROM na CROSS JOIN (VALUES (-40), (-1), (0), (3), (40)) v(off))\nSELECT ts, off, i FROM o")
@@ -163,10 +163,10 @@ def atm_iv_or_default(spark, sf_dir: str) -> DataFrame:
     return rounded(q.select("ts").distinct().join(vo.atm_iv(q, ["ts"]), "ts", "left").select("ts", F.coalesce("iv", F.lit(vo.DEFAULT_IV)).alias("iv")), 7)
 
 
-@query("leg_from_chain", rounded_sql(f"WITH {QUOTED}\nSELECT ts, strike, 'PE' AS kind, put_ltp AS premium, coalesce(put_iv, 0.15) AS iv FROM qc WHERE strike = 950", "premium", "iv", digits=7))
+@query("leg_from_chain", rounded_sql(f"WITH {QUOTED}\nSELECT ts, strike, 'PE' AS kind, put_ltp AS premium, round(coalesce(put_iv, 0.15), 6) AS iv FROM qc WHERE strike = 950", "premium", digits=9))
 def leg_from_chain(spark, sf_dir: str) -> DataFrame:
     q = quoted(spark, sf_dir).where("strike = 950")
-    return rounded(q.select("ts", "strike", F.lit("PE").alias("kind"), F.col("put_ltp").alias("premium"), F.coalesce("put_iv", F.lit(vo.DEFAULT_IV)).alias("iv")), 7)
+    return rounded(q.select("ts", "strike", F.lit("PE").alias("kind"), F.col("put_ltp").alias("premium"), F.round(F.coalesce("put_iv", F.lit(vo.DEFAULT_IV)), 6).alias("iv")), 9)
 
 
 @query("leg_payoff", rounded_sql(f"WITH {LEGGED}, pp AS (SELECT *, spot * 1.05 AS px FROM lg)\nSELECT ts, name, CAST(leg AS INTEGER) AS leg, side * (greatest(CASE WHEN kind = 'CE' THEN px - strike ELSE strike - px END, 0) - premium) AS payoff FROM pp", "payoff", digits=4))
@@ -198,9 +198,9 @@ def risk_reward(spark, sf_dir: str) -> DataFrame:
     return rounded(summarised(spark, sf_dir).select("ts", "name", "risk_reward"), 5)
 
 
-@query("parse_custom_legs", rounded_sql(f"WITH {QUOTED}, cl AS (SELECT * FROM (VALUES (1, 1, 'CE', 950.0), (2, -1, 'CE', 970.0), (3, 1, 'PE', 930.0)) v(leg, side, kind, strike))\nSELECT ts, CAST(leg AS INTEGER) AS leg, CAST(side AS INTEGER) AS side, kind, CAST(cl.strike AS DOUBLE) AS strike, CASE WHEN kind = 'CE' THEN call_ltp ELSE put_ltp END AS premium FROM cl JOIN qc ON qc.strike = cl.strike", "premium", digits=7))
+@query("parse_custom_legs", rounded_sql(f"WITH {QUOTED}, cl AS (SELECT * FROM (VALUES (1, 1, 'CE', 950.0), (2, -1, 'CE', 970.0), (3, 1, 'PE', 930.0)) v(leg, side, kind, strike))\nSELECT ts, CAST(leg AS INTEGER) AS leg, CAST(side AS INTEGER) AS side, kind, CAST(cl.strike AS DOUBLE) AS strike, CASE WHEN kind = 'CE' THEN call_ltp ELSE put_ltp END AS premium FROM cl JOIN qc ON qc.strike = cl.strike", "premium", digits=9))
 def parse_custom_legs(spark, sf_dir: str) -> DataFrame:
-    return rounded(vo.custom_legs(quoted(spark, sf_dir), ["+950CE", "-970ce", " +930PE"]).drop("expiry"), 7)
+    return rounded(vo.custom_legs(quoted(spark, sf_dir), ["+950CE", "-970ce", " +930PE"]).drop("expiry"), 9)
 
 
 LAST_SNAP = f"{QUOTED}, lc AS (SELECT * FROM qc QUALIFY ts = max(ts) OVER ())"
