@@ -32,7 +32,7 @@ from .vec import run_starts
 
 TASK_BYTES = 2 << 20  # bytes of text hashed at once in a task
 BLOCK_BYTES = 16 << 20  # bytes of text behind the packed blocks that a task gives at once
-BUCKET_BYTES = 4 << 20  # bytes of text behind a bucket of all blocks
+BUCKET_BYTES = 8 << 20  # bytes of text behind a bucket of all blocks
 
 
 class Packer:
@@ -72,7 +72,7 @@ class Packer:
                     text = np.searchsorted(first, at, side="right") - 1
                     done, send = self.settle(extra, ids[text, 0], at - first[text])
                     if done.any():
-                        out.append((int(vec.bucket_of(vec.mix(ids[text[done][:1], 1].view(np.uint64)), self.buckets)[0]), True, vec.pack([], at[done], first, ids)))
+                        out.append((int(vec.bucket_of(vec.mix(ids[text[done][:1]].sum(axis=1).view(np.uint64)) + vec.U64(b), self.buckets)[0]), True, vec.pack([], at[done], first, ids)))
                     at, extra = at[send], [x[send] for x in extra]
                 if len(at):
                     out.append((b, False, vec.pack(extra, at, first, ids)))
@@ -273,9 +273,10 @@ def collected(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def known_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text) with an id and a digest, which tell texts apart where an id repeats; and the others with no places. Both joins
-    then read one shuffle of the texts, which Spark reuses."""
-    docs = docs.withColumn("digest", F.xxhash64("text"))
+    """Rows (doc_id, text) with an id and a digest, which tells texts apart where an id repeats; and the others with no places. Both joins
+    then read one shuffle of the texts, which Spark reuses. Where no id repeats the digest is 0, so that the exchanges need not carry it."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    docs = docs.withColumn("digest", F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text"))
     return docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").withColumn("places", F.lit(None).cast("array<struct<first:int,last:int>>"))
 
 

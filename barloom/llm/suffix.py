@@ -297,7 +297,7 @@ def surroundings(width: int, buckets: int, crowds: np.ndarray):
         one[code[::-1]] = np.arange(len(code))[::-1]
         rows = np.concatenate([np.sort(one), np.flatnonzero(again)])
         told = np.arange(len(rows)) >= len(one)
-        bucket = np.where(told, vec.bucket_of(vec.mix(ids[rows, 1].view(np.uint64)), buckets), vec.bucket_of(key[rows], buckets))
+        bucket = np.where(told, vec.bucket_of(vec.mix(vec.mix(ids[rows, 0].view(np.uint64)) ^ ids[rows, 1].view(np.uint64)), buckets), vec.bucket_of(key[rows], buckets))
         sent = body.take(pa.array(code[rows], mask=told))
         return pa.RecordBatch.from_arrays(
             [pa.array(bucket.astype(np.int32)), pa.array(key[rows].view(np.int64)), pa.array(ids[rows, 0]), pa.array(ids[rows, 1]), pa.array(start[rows].astype(np.int32)), pa.array(size[code[rows]].astype(np.int32)), pa.array(times[code[rows]].astype(np.int32)), sent],

@@ -147,8 +147,8 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
 def pack(columns: Iterable[np.ndarray], at: np.ndarray, first: np.ndarray, ids: np.ndarray) -> bytes:
     """One packed block: columns of entries, their rising places, and the two ids of each text that has entries.
 
-    first: where each text begins, and the end. Places are kept as gaps within their text, low and high bytes apart, so that
-    the shuffle's own compression removes the zeros.
+    first: where each text begins, and the end. Places are kept as gaps within their text and ids as steps, low and high
+    bytes apart, so that the shuffle's own compression removes the zeros.
     """
     text = np.searchsorted(first, at, side="right") - 1
     new = run_starts(text)
@@ -158,16 +158,20 @@ def pack(columns: Iterable[np.ndarray], at: np.ndarray, first: np.ndarray, ids:
     gap = gap.astype(np.uint32)
     planes = [(gap >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
     head = np.array([len(at), len(used)], np.int64)
-    return b"".join([head.tobytes(), ids[used].tobytes(), np.diff(np.append(new, len(at))).astype(np.int32).tobytes(), *(p.tobytes() for p in planes), *(c.tobytes() for c in columns)])
+    step = np.diff(ids[used], axis=0, prepend=np.zeros((1, 2), np.int64))  # ids mostly rise by little
+    counts = np.diff(np.append(new, len(at))).astype(np.int32)
+    bytes_of = lambda x, size: np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T.tobytes()  # noqa: E731  like bytes together
+    return b"".join([head.tobytes(), bytes_of(step, 16), bytes_of(counts, 4), *(p.tobytes() for p in planes), *(c.tobytes() for c in columns)])
 
 
 def unpack(block: bytes, kinds: Iterable[np.dtype]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Columns, the ids of the texts (two each), and the text number and the place within the text of each entry."""
     n, m = np.frombuffer(block, np.int64, 2)
     at = 16
-    ids = np.frombuffer(block, np.int64, 2 * m, at).reshape(-1, 2)
+    whole = lambda size, kind: np.ascontiguousarray(np.frombuffer(block, np.uint8, size * m, at).reshape(size, m).T).view(kind)
+    ids = np.cumsum(whole(16, np.int64), axis=0)
     at += 16 * m
-    counts = np.frombuffer(block, np.int32, m, at)
+    counts = whole(4, np.int32).ravel()
     at += 4 * m
     gap = np.zeros(n, np.int64)
     for i in range(4):
