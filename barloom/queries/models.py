@@ -226,3 +226,36 @@ def brief_votes(spark, sf_dir: str) -> DataFrame:
     v = d.select("symbol", F.explode(votes).alias("vote")).groupBy("symbol").agg(F.sum("vote").alias("net"), F.max("vote").alias("hi"), F.min("vote").alias("lo"))
     label = F.when((F.col("hi") == 1) & (F.col("lo") == -1), "sections disagree").when(F.col("net") > 0, "bullish").when(F.col("net") < 0, "bearish").otherwise("neutral")
     return v.select("symbol", "net", label.alias("label"))
+
+
+MADE_UP = ("AAA", "BBB", "CCC")
+DAYS = 250
+U_MADE = "(CAST(CAST('0x' || substr(md5('made:' || symbol || ':' || day), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0"
+SYNTH = f"""sy AS (SELECT s.symbol, d.i + 1 AS day FROM (VALUES ('AAA'), ('BBB'), ('CCC')) s(symbol) CROSS JOIN range({DAYS}) d(i)), su AS (SELECT *, {U_MADE} AS u FROM sy), sr AS (SELECT symbol, day, 0.0003 + CASE WHEN (day // 50) % 2 = 0 THEN 0.01 ELSE 0.02 END * {ppf_sql('u')} AS r FROM su)"""
+
+
+@query("synthetic_history", rounded_sql(f"WITH {SYNTH}\nSELECT symbol, day, 100 * exp(sum(r) OVER (PARTITION BY symbol ORDER BY day)) AS close FROM sr", "close", digits=4))
+def synthetic_history(spark, sf_dir: str) -> DataFrame:
+    """Made-up closes, the same for a name each time: a random walk that is calm and wild by turns."""
+    from ..operators.validation import norm_ppf, uniform
+
+    rows = spark.createDataFrame([(s,) for s in MADE_UP], "symbol string").withColumn("day", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(DAYS).cast("long"))))
+    u = (uniform(F.lit("made"), "symbol", "day") * 2.0**48 + 0.5) / 2.0**48
+    wild = F.when(F.floor(F.col("day") / 50) % 2 == 0, 0.01).otherwise(0.02)
+    rows = rows.withColumn("r", 0.0003 + wild * norm_ppf(u))
+    return rounded(rows.select("symbol", "day", (100 * F.exp(F.sum("r").over(Window.partitionBy("symbol").orderBy("day")))).alias("close")), 4)
+
+
+@query("registered_strategy", f"WITH {BARS}\nSELECT symbol, dt, CAST(CASE WHEN {full('avg', 'close', 50)} IS NULL THEN 0 WHEN {full('avg', 'close', 10)} > {full('avg', 'close', 50)} THEN 1 ELSE -1 END AS DOUBLE) AS signal FROM bars")
+def registered_strategy(spark, sf_dir: str) -> DataFrame:
+    """A strategy by name: its defaults, but for what is given."""
+    from ..plans.registry import STRATEGIES
+
+    return STRATEGIES["sma_cross"].signal(bars(spark, sf_dir), fast=10).select("symbol", "dt", "signal")
+
+
+@query("registered_features", rounded_sql(f"WITH {BARS}\nSELECT symbol, dt, close / {LAG} - 1 AS ret1, (high - low) / close AS range FROM bars", "ret1", "range"))
+def registered_features(spark, sf_dir: str) -> DataFrame:
+    from ..plans.registry import with_features
+
+    return rounded(with_features(bars(spark, sf_dir), ["ret1", "range"]).select("symbol", "dt", "ret1", "range"))

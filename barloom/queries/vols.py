@@ -314,3 +314,40 @@ def fit_smile(spark, sf_dir: str) -> DataFrame:
     q = quoted(spark, sf_dir).withColumn("iv", vo.both_mean(F.col("call_iv"), F.col("put_iv"))).where("iv IS NOT NULL")
     rows = q.select("ts", "expiry", (F.ln(F.col("strike") / F.col("spot")) / F.sqrt("t")).alias("x"), "iv", (F.col("call_oi") + F.col("put_oi") + 1.0).alias("w"))
     return rounded(vo.smile_fit(rows).select("ts", "n", "level", "slope"), 4)
+
+
+@query("risk_reversal_25d", rounded_sql(f"WITH {CHAINED}, dl AS (SELECT ts, strike, call_iv, put_iv, round({SIDED['c']['delta']}, 6) AS cd, round({SIDED['p']['delta']} - 1, 6) AS pd FROM g2)\nSELECT ts, min_by(put_iv, (abs(pd + 0.25), strike)) FILTER (WHERE put_iv IS NOT NULL) - min_by(call_iv, (abs(cd - 0.25), strike)) FILTER (WHERE call_iv IS NOT NULL) AS reversal FROM dl GROUP BY ts", "reversal"))
+def risk_reversal_25d(spark, sf_dir: str) -> DataFrame:
+    """IV of the put whose delta is nearest to -0.25, less that of the call nearest to 0.25, of strikes that have an IV."""
+    q = quoted(spark, sf_dir)
+    for side, way in (("call", 1), ("put", -1)):
+        delta = F.round(op.greeks("spot", "strike", "t", F.coalesce(f"{side}_iv", F.lit(vo.DEFAULT_IV)), F.lit(side == "call"))["delta"], 6)
+        q = q.withColumn(f"{side}_off", F.when(F.col(f"{side}_iv").isNotNull(), F.struct(F.abs(delta - way * 0.25).alias("d"), F.col("strike").alias("s"))))
+    return rounded(q.groupBy("ts").agg((F.min_by("put_iv", "put_off") - F.min_by("call_iv", "call_off")).alias("reversal")))
+
+
+def half_sql(k: int) -> str:
+    return f"""h{k} AS (SELECT ts, {', '.join(f'sum(w * pow(x, {i})) AS s{i}' for i in range(5))}, {', '.join(f'sum(w * pow(x, {i}) * iv) AS b{i}' for i in range(3))} FROM hx WHERE half = {k} GROUP BY ts HAVING count(*) >= 5),
+ l{k} AS (SELECT ts, (b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) AS level FROM h{k})"""
+
+
+@query("split_half_noise", rounded_sql(f"WITH {QUOTED}, hx AS (SELECT ts, ln(strike / spot) / sqrt(t) AS x, {MEAN} AS iv, call_oi + put_oi + 1.0 AS w, row_number() OVER (PARTITION BY ts ORDER BY strike) % 2 AS half FROM qc WHERE {MEAN} IS NOT NULL), {half_sql(0)}, {half_sql(1)}\nSELECT ts, l0.level - l1.level AS difference FROM l0 JOIN l1 USING (ts)", "difference", digits=4))
+def split_half_noise(spark, sf_dir: str) -> DataFrame:
+    """Smiles fitted to every other strike and to the rest: how far their levels differ."""
+    q = quoted(spark, sf_dir).withColumn("iv", vo.both_mean(F.col("call_iv"), F.col("put_iv"))).where("iv IS NOT NULL")
+    half = F.row_number().over(Window.partitionBy("ts").orderBy("strike")) % 2
+    rows = q.select("ts", "expiry", half.alias("half"), (F.ln(F.col("strike") / F.col("spot")) / F.sqrt("t")).alias("x"), "iv", (F.col("call_oi") + F.col("put_oi") + 1.0).alias("w"))
+    a, b = (vo.smile_fit(rows.where(F.col("half") == k)).select("ts", F.col("level").alias(f"l{k}")) for k in (0, 1))
+    return rounded(a.join(b, "ts").select("ts", (F.col("l0") - F.col("l1")).alias("difference")), 4)
+
+
+SYNTHETIC = "sk AS (SELECT 1000.0 + (i - 10) * 50 AS strike, 0.15 + 0.3 * pow(ln((1000.0 + (i - 10) * 50) / 1000.0), 2) AS sigma, 30 / 365.0 AS t FROM range(21) r(i)), sd AS (SELECT *, (ln(1000.0 / strike) + (0.065 + 0.5 * sigma * sigma) * t) / (sigma * sqrt(t)) AS d1, exp(-0.065 * t) AS b FROM sk), se AS (SELECT *, d1 - sigma * sqrt(t) AS d2 FROM sd)"
+
+
+@query("synthetic_chain", rounded_sql(f"WITH {SYNTHETIC}\nSELECT CAST(strike AS DOUBLE) AS strike, CAST(sigma AS DOUBLE) AS iv, 1000.0 * {cdf('d1')} - strike * b * {cdf('d2')} AS call_ltp, strike * b * {cdf('-d2')} - 1000.0 * {cdf('-d1')} AS put_ltp, TRUE AS is_model FROM se", "iv", "call_ltp", "put_ltp", digits=5))
+def synthetic_chain(spark, sf_dir: str) -> DataFrame:
+    """A made-up chain, which says so: prices of a smile around a spot."""
+    strike = 1000.0 + (F.col("id") - 10) * 50
+    k = spark.range(21).select(strike.cast("double").alias("strike")).withColumns({"iv": 0.15 + 0.3 * F.pow(F.ln(F.col("strike") / 1000.0), 2)})
+    price = lambda call: op.price(1000.0, "strike", 30 / 365.0, "iv", F.lit(call))
+    return rounded(k.select("strike", "iv", price(True).alias("call_ltp"), price(False).alias("put_ltp"), F.lit(True).alias("is_model")), 5)

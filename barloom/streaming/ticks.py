@@ -28,3 +28,15 @@ def latest(ticks: DataFrame) -> DataFrame:
 def routed(ticks: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Every tick once for each client (client, symbol) that asked for its symbol."""
     return ticks.join(subscriptions.dropDuplicates(["client", "symbol"]), "symbol").select("client", "event_id", "symbol", "ltp")
+
+
+def snapshots_once(chains: DataFrame, late: str = "1 day") -> DataFrame:
+    """Rows of chain snapshots (ts, expiry, strike), each once: what is sent again within the watermark is dropped."""
+    return chains.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ts", "expiry", "strike"])
+
+
+def alerts_met(ticks: DataFrame, alerts: DataFrame, late: str = "1 day") -> DataFrame:
+    """Ticks that meet an alert (symbol, level, above); an alert fires once within the watermark."""
+    met = F.when(F.col("above"), F.col("ltp") >= F.col("level")).otherwise(F.col("ltp") <= F.col("level"))
+    hits = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).join(F.broadcast(alerts), "symbol").where(met)  # alerts are a user's own
+    return hits.dropDuplicatesWithinWatermark(["symbol", "level"]).select("symbol", "level", "event_id", "ltp")

@@ -27,3 +27,17 @@ def test_streams_equal_batches(spark, small, tmp_path):
     assert sorted(sent.collect()) == sorted(stream.routed(table, clients).collect())
     bars = run(spark, stream.minute_bars(source(), "10000 days"), "bars", "complete")
     assert sorted(bars.collect()) == sorted(stream.minute_bars(table).collect()) != []
+
+
+def test_alerts_fire_once_and_snapshots_are_kept_once(spark, small, tmp_path):
+    ticks(spark, small).orderBy("event_id").limit(300).coalesce(1).write.parquet(str(tmp_path / "ticks"))
+    table = spark.read.parquet(str(tmp_path / "ticks"))
+    symbol = table.first()["symbol"]
+    alerts = spark.createDataFrame([(symbol, 0.0, True), (symbol, 1e9, True)], "symbol string, level double, above boolean")
+    fired = run(spark, stream.alerts_met(stream.tick_stream(spark, str(tmp_path / "ticks"), table.schema), alerts, "10000 days"), "fired", "append").collect()
+    assert len(fired) == 1 and fired[0]["level"] == 0.0
+    rows = [(f"2024-01-0{d}", "2024-02-01", float(k)) for d in (1, 2) for k in (1, 2, 2, 1)]
+    spark.createDataFrame(rows, "ts string, expiry string, strike double").selectExpr("CAST(ts AS timestamp) AS ts", "CAST(expiry AS date) AS expiry", "strike").coalesce(1).write.parquet(str(tmp_path / "chains"))
+    chains = spark.read.parquet(str(tmp_path / "chains"))
+    once = run(spark, stream.snapshots_once(stream.tick_stream(spark, str(tmp_path / "chains"), chains.schema)), "once", "append")
+    assert once.count() == 4
