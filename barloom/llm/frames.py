@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,10 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     kinds = dict(docs.dtypes)
     one = F.col(doc_id) if (doc_id, kinds[doc_id]) == ("doc_id", "bigint") else F.col(doc_id).cast("long").alias("doc_id")
     return docs.select(one, F.col(text) if text == "text" else F.col(text).alias("text"), *carry)
+
+
+def vector_sum(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of a column of packed 64-bit vectors of one size, a few a task; added up in a tree, so that the driver gets a few."""
+    if not parts.rdd.getNumPartitions():
+        return np.zeros(size, np.int64)
+    return parts.rdd.map(lambda row: np.frombuffer(row[0], np.int64)).treeReduce(np.add, depth=3)

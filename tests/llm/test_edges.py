@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 NAMES = sorted(n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op") and n[2:].split("_")[0].isdigit())
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 #: Columns that operators add on their way; here the input has them, of another type.
-CLASHING = "a b n key node part copy size taken target epochs rest word words hash hashes root rep kept keep component_id n_shingles sketch score host path rule verdict found src dst rank seed trust distrust spans s l at weight level quality held_out lang_pred n_chars_ fingerprint tree pos start end text_ k d i j".split()
-PER_ROW = {"op2": "documents", "op3": "pages", "op4": "documents", "op5": "documents", "op6": "documents", "op7": "documents", "op8": "documents", "op9": "documents", "op10": "documents"}
+CLASHING = "a b n key node part copy size taken target epochs rest word words hash hashes root rep kept keep component_id n_shingles sketch score host path rule verdict found src dst rank seed trust distrust spans s l at weight level quality held_out lang_pred n_chars_ fingerprint tree pos start end text_ k d i j may forest vector books code error counts failed base_failed judged row gain range ahead h".split()
+PER_ROW = {"op2": "documents", "op3": "pages", "op4": "documents", "op5": "documents", "op6": "documents", "op7": "documents", "op8": "documents", "op9": "documents", "op10": "documents", "op12": "documents", "op13": "documents"}
 
 
 def rows(df):
@@ -34,7 +34,7 @@ def folders(spark, small, tmp_path_factory):
         odd = spark.createDataFrame(odd.collect(), df.schema)
         df.where("false").write.parquet(f"{out['empty']}/{name}.parquet")
         odd.write.parquet(f"{out['odd']}/{name}.parquet")
-        odd.select("*", *(F.array(F.lit(c)).alias(c) for c in CLASHING if c not in odd.columns)).write.parquet(f"{out['clash']}/{name}.parquet")
+        odd.select("*", *(F.array(F.lit(c)).alias(c) for c in CLASHING if c not in odd.columns), F.create_map(F.lit("m"), F.lit(1)).alias("a_map")).write.parquet(f"{out['clash']}/{name}.parquet")
     return out
 
 

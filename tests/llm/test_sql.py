@@ -11,7 +11,7 @@ from barloom.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, medium, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{medium}/{t}.parquet'")
     df = QUERIES[name](spark, medium)
     plain = lambda r: tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r)
