@@ -212,16 +212,16 @@ def scored(items: Items, ids: pa.Array, base: int, words: vec.Words, h: np.ndarr
     )
 
 
-FOUND = "doc_id long, item_id long, score double, n_seeds long, item_words long, from_word long, to_word long"
+FOUND = "item_id long, score double, n_seeds long, item_words long, from_word long, to_word long"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4) -> DataFrame:
     """doc_id, item_id, score, n_seeds (of the best place), item_words, and the words [from_word, to_word) that were aligned or looked at, of each pair with a score of `least` or more.
 
-    docs: doc_id, text. benchmark: item_id, text.
+    docs: doc_id (of any type), text. benchmark: item_id, text.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs, kind = docs.select("doc_id", "text"), dict(docs.dtypes)["doc_id"]
     benchmark = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -232,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: floa
         sieve = spark.sparkContext.broadcast(Sieve(items.grams))
         often = docs.mapInArrow(frequencies(sieve, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         items.seeds(often.column("gram").to_numpy().view(np.uint64), often.column("n").to_numpy())
-        found = docs.mapInArrow(aligned(spark.sparkContext.broadcast(items), least), FOUND)
+        found = docs.mapInArrow(aligned(spark.sparkContext.broadcast(items), least), f"doc_id {kind}, {FOUND}")
         out = found if out is None else out.union(found)
     return out
 
