@@ -29,20 +29,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id and, among those, the least digest of its text.
 
-    Of repeated rows one stays. Rows without doc_id and rows without words are in no group and all stay.
+    Of repeated rows one stays; maps tell no rows apart. Rows without doc_id and rows without words are in no group and all stay.
     """
     digest = F.md5("text")
     found = neardup.near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), percent=80, carry=("digest",))
     first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.digest").alias("digest"))
     grouped = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(mixing.WORD), F.lit(False))
-    rows = docs.where(grouped).groupBy(F.col("doc_id").alias("id"), digest.alias("digest")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    orderable = F.struct(F.lit(0), *(F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    rows = docs.where(grouped).groupBy(F.col("doc_id").alias("id"), digest.alias("digest")).agg(F.min_by(F.struct("*"), orderable).alias("row"))
     return rows.join(first, ["id", "digest"], "left_semi").select("row.*").union(docs.where(~grouped))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, whole or edited, go."""
-    leaks = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, whole or edited, go. Each is judged by its text alone, whatever its id."""
+    digest = F.md5("text")
+    leaks = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
+    return docs.join(leaks, digest == F.col("leak"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
