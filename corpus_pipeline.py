@@ -42,9 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited, go. Each is judged by its text alone, whatever its id."""
-    digest = F.md5("text")
-    leaks = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, digest == F.col("leak"), "left_anti")
+    whole = docs.select(F.struct("*").alias("row"), "text", F.md5("text").alias("digest"))
+    leaks = decontaminate.contamination(whole.select(F.col("digest").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("digest")).distinct()
+    return whole.join(leaks, "digest", "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
