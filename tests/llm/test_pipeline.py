@@ -73,3 +73,19 @@ def test_mix_of_rows_that_are_equal_or_share_an_id(spark, small):
         by[r["source"]] = by.get(r["source"], 0) + r["taken"]
     targets = {r["source"]: r["target"] for r in mixed}
     assert all(abs(by[s] - targets[s]) <= 4 for s in by)
+
+
+def test_decontamination_is_by_row(spark, small):
+    """A copy of an item goes also without an id, and a clean row stays that shares the id of a leaking one."""
+    item = max((r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()), key=len)
+    rows = [(None, item, "en"), (None, "clean words of no item at all", "en"), (4, item, "en"), (4, "other clean words that stand alone", "en"), (5, None, "en"), (6, f"before it {item} and after", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leak string")
+    kept = corpus_pipeline.decontamination(spark, docs, small)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, (rows[1], rows[3], rows[4])))
+
+
+def test_near_dedup_with_a_map_column(spark, small):
+    docs = spark.createDataFrame([(1, "a b c d e f", {"x": 1}), (1, "a b c d e f", {"y": 2}), (2, "a b c d e f", {"z": 3}), (3, "other text here", None)], "doc_id long, text string, m map<string,int>")
+    kept = corpus_pipeline.near_dedup(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
