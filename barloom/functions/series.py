@@ -73,7 +73,10 @@ class Series:
 
     def true_range(self) -> Column:
         """The first bar's is its own range, as greatest() skips NULL."""
-        before = self.lag("close")
+        return self.range_from(self.lag("close"))
+
+    @staticmethod
+    def range_from(before: Column) -> Column:
         return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
     def vwap(self) -> Column:

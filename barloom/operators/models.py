@@ -12,34 +12,74 @@ from pyspark.sql import functions as F
 from ..functions.series import YEAR, Series
 from . import backtest as bt
 from .recursive import with_recursive
+from .scan import PIECE, Pieces, numbered, pieces, scan
 from .validation import norm_ppf, uniform
 
 
-def kalman_trend(bars: DataFrame, q: float = 1e-5, r: float = 1e-2, least: int = 30) -> DataFrame:
+def _gains(first: int, n: int, q: float, r: float) -> np.ndarray:
+    """(n, 3): gain of the level, gain of the slope and spread of the bars from `first` on; they depend on a bar's number alone and soon stay the same."""
+    a, b, c = 1.0, 0.0, 1.0  # variance of the level, covariance, variance of the slope
+    out = np.zeros((n, 3))
+    k, settled = 0, False
+    while k < first + n:
+        if settled and k < first:
+            k = first
+            continue
+        old = a, b, c
+        a, b, c = a + 2 * b + c + q / 4, b + c + q / 2, c + q
+        spread = a + r
+        gain, drift = a / spread, b / spread
+        a, b, c = a - gain * a, b - gain * b, c - drift * b
+        settled = (a, b, c) == old
+        if k >= first:
+            out[k - first] = gain, drift, spread
+        k += 1
+    return out
+
+
+def kalman_trend(bars: DataFrame, q: float = 1e-5, r: float = 1e-2, least: int = 30, cut: Pieces | None = None) -> DataFrame:
     """symbol, dt, level, slope, band (two deviations), z (how surprising the bar was): a filter of level and slope on log closes.
 
-    A symbol's bars in order are one task's work; the state is five numbers.
+    The gains do not depend on the closes, so level and slope behind a piece are linear in those before it, and pieces of a long series run at once.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("dt")
-        seen = np.log(rows["close"].to_numpy(float))
-        out = np.zeros((len(seen), 4))
-        level, slope = seen[0] if len(seen) else 0.0, 0.0
-        a, b, c = 1.0, 0.0, 1.0  # variance of the level, covariance, variance of the slope
-        for i, y in enumerate(seen):
-            level += slope
-            a, b, c = a + 2 * b + c + q / 4, b + c + q / 2, c + q
-            spread = a + r
-            off, gain, drift = y - level, a / spread, b / spread
+    def follow(piece: pd.DataFrame, level: list[float], slope: list[float]) -> tuple[np.ndarray, np.ndarray, list]:
+        """The filter from several states at once: (bars, 3, states) of level, slope and surprise; gains; the last states."""
+        seen, gains = np.log(piece["close"].to_numpy(float)), _gains(int(piece["k"].iloc[0]), len(piece), q, r)
+        level, slope = np.array(level), np.array(slope)
+        out = np.zeros((len(seen), 3, len(level)))
+        for i, (y, (gain, drift, _)) in enumerate(zip(seen, gains, strict=True)):
+            level = level + slope
+            off = y - level
             level, slope = level + gain * off, slope + drift * off
-            a, b, c = a - gain * a, b - gain * b, c - drift * b
-            out[i] = math.exp(level), slope, 2 * math.sqrt(max(a, 0.0)), off / math.sqrt(spread)
-        keep = rows[["symbol", "dt"]].assign(**dict(zip(("level", "slope", "band", "z"), out.T, strict=True)))
-        return keep if len(rows) >= least else keep.iloc[:0]
+            out[i] = level, slope, off
+        return out, gains, [level.tolist(), slope.tolist()]
+
+    first = lambda piece: float(np.log(piece["close"].iloc[0]))
+
+    def summarise(piece: pd.DataFrame) -> list:
+        """Where the piece leads from its first close at rest, from nothing, and from a level and a slope of one."""
+        return follow(piece, [first(piece), 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0])[2]
+
+    def advance(state: list | None, summary: list) -> list:
+        if state is None:
+            return [x[0] for x in summary]
+        return [x[1] + (x[2] - x[1]) * state[0] + (x[3] - x[1]) * state[1] for x in summary]
+
+    def run(piece: pd.DataFrame, state: list | None) -> pd.DataFrame:
+        level, slope = state or (first(piece), 0.0)
+        out, gains, _ = follow(piece, [level], [slope])
+        # the variance that a bar leaves is the gain's share of the noise
+        made = {"level": np.exp(out[:, 0, 0]), "slope": out[:, 1, 0], "band": 2 * np.sqrt(gains[:, 0] * r), "z": out[:, 2, 0] / np.sqrt(gains[:, 2])}
+        return piece[["symbol", "dt", "k"]].assign(**made)
 
     kinds = dict(bars.dtypes)
-    return bars.select("symbol", "dt", "close").groupBy("symbol").applyInPandas(run, f"symbol {kinds['symbol']}, dt {kinds['dt']}, level double, slope double, band double, z double")
+    bars = bars.select("symbol", "dt", "close")
+    cut = cut or pieces(bars)
+    rows = numbered(cut.cut(bars), cut).drop(PIECE)
+    done = scan(rows, cut, summarise, advance, run, f"symbol {kinds['symbol']}, dt {kinds['dt']}, k long, level double, slope double, band double, z double")
+    enough = done.groupBy("symbol").agg(F.max("k").alias("k")).where(F.col("k") >= least - 1)
+    return (done.join(enough.select("symbol"), "symbol", "left_semi") if least > 1 else done).drop("k")
 
 
 def day_features(bars: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Event-driven execution of entry and exit signals: fills at the next open, stops, targets, trailing stops and filters.
 
-Each bar's state needs the one before, so a run (a symbol, or a symbol and parameters) is one ordered pass in a task of
-its own; runs are spread over tasks. A trade is reported on the bar that closes it.
+Each bar's state needs the one before. Runs (a symbol, or a symbol and parameters) are spread over tasks, and a long run is cut into pieces
+that all start at once and hand over their position; a piece runs again if it began with another one than its
+predecessor left (`hand_over`). A trade is reported on the bar that closes it.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import Series
 from .backtest import CASH, COST
 from .recursive import with_recursive
+from .scan import PIECE, Pieces, before, hand_over, numbered, pieces, running
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,15 @@ class Position:
         self.room = far(*x.stop)
         self.stop, self.target = price - way * self.room, price + way * far(*x.target)
 
+    @classmethod
+    def taken_over(cls, held: list) -> Position:
+        self = cls.__new__(cls)
+        self.k, self.price, self.way, self.mark, self.extreme, self.room, self.stop, self.target = held
+        return self
+
+    def handed_over(self) -> list:
+        return [self.k, self.price, self.way, self.mark, self.extreme, self.room, self.stop, self.target]
+
     def trail(self, high: float, low: float) -> None:
         self.extreme = max(self.extreme, high) if self.way > 0 else min(self.extreme, low)
         level = self.extreme - self.way * self.room
@@ -97,34 +107,37 @@ class Position:
 MADE = "pos double, ret double, entry_k long, entry_price double, exit_price double, direction long, exit_reason string"
 
 
-def simulate(signals: DataFrame, x: Execution = Execution(), key: list[str] | None = None, cash: float = CASH) -> DataFrame:
+def simulate(signals: DataFrame, x: Execution = Execution(), key: list[str] | None = None, cash: float = CASH, cut: Pieces | None = None) -> DataFrame:
     """key, dt, k, close, pos, ret, equity of each bar, and of the trade that it closes entry_k, entry_price, exit_price, direction, exit_reason, return_pct, bars_held.
 
     signals: bars with long_entry, long_exit, short_entry and short_exit; a bar's signals act at the next one's open.
     A trailing stop follows a bar's own extreme before that bar is tested.
     """
     key = key or ["symbol"]
-    if x.needs_atr and f"atr_{x.atr_period}" not in signals.columns:
-        signals = with_recursive(signals, [("atr", x.atr_period)], key[0])
+    cut = cut or pieces(signals, key)
+    name = f"atr_{x.atr_period}"
+    if x.needs_atr and name not in signals.columns:
+        signals = with_recursive(signals, [("atr", x.atr_period)], key, cut)
     may = in_session(F.col("dt"), *(x.session or (None, None)))
-    atr = F.col(f"atr_{x.atr_period}") if x.needs_atr else F.lit(None).cast("double")
-    s = Series(key)
-    rows = signals.select(
-        *key, "dt", "open", "high", "low", "close", "long_exit", "short_exit", s.lag(atr).alias("atr") if x.needs_atr else atr.alias("atr"), may.alias("may"),
-        F.when(F.col("long_entry"), 1).when(F.col("short_entry") & F.lit(x.allow_short), -1).otherwise(0).alias("wish"), (F.row_number().over(s.w).cast("long") - 1).alias("k"),
+    rows = numbered(cut.cut(signals), cut)
+    rows = before(rows, cut, [name]) if x.needs_atr else rows
+    atr = F.col(f"_before_{name}") if x.needs_atr else F.lit(None).cast("double")
+    rows = rows.select(
+        *key, PIECE, "dt", "open", "high", "low", "close", "long_exit", "short_exit", atr.alias("atr"), may.alias("may"),
+        F.when(F.col("long_entry"), 1).when(F.col("short_entry") & F.lit(x.allow_short), -1).otherwise(0).alias("wish"), "k",
     )
     if x.atr_min is not None or x.atr_max is not None:
         fits = F.col("atr").between(x.atr_min if x.atr_min is not None else -math.inf, x.atr_max if x.atr_max is not None else math.inf)
         rows = rows.withColumn("may", F.col("may") & F.coalesce(fits, F.lit(False)))
 
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("k")
+    def run(bars: pd.DataFrame, state: dict | None, final: bool) -> tuple[pd.DataFrame, dict]:
+        state = state or {"held": None, "rested": None, "wish": 0, "leave": [False, False]}
         made: list[tuple] = []
-        held: Position | None = None
-        rested = -math.inf  # bar of the last exit
-        wish, leave = 0, {1: False, -1: False}  # of the bar before
-        last = len(bars) - 1
-        for i, (o, h, lo, c, lx, sx, atr_, may_, w) in enumerate(bars[["open", "high", "low", "close", "long_exit", "short_exit", "atr", "may", "wish"]].itertuples(index=False)):
+        held = Position.taken_over(state["held"]) if state["held"] else None
+        rested = -math.inf if state["rested"] is None else state["rested"]  # bar of the last exit
+        wish, leave = state["wish"], dict(zip((1, -1), state["leave"], strict=True))  # of the bar before
+        last = bars["k"].iloc[-1]
+        for i, o, h, lo, c, lx, sx, atr_, may_, w in bars[["k", "open", "high", "low", "close", "long_exit", "short_exit", "atr", "may", "wish"]].itertuples(index=False):
             ret, fresh, out = 0.0, False, None
             if held is None and wish and may_ and i - rested > x.cooldown:
                 held, fresh, ret = Position(i, o, wish, x, atr_), True, -x.cost
@@ -136,16 +149,19 @@ def simulate(signals: DataFrame, x: Execution = Execution(), key: list[str] | No
                 held.trail(h, lo)
             out = (o, "signal") if not fresh and leaving[held.way] else held.closed_by(o, h, lo)
             ret += held.way * ((out[0] if out else c) / held.mark - 1) - (x.cost if out else 0)
-            if not out and i == last:
+            if not out and final and i == last:
                 out = (c, "end-of-data")
             made.append((float(held.way), ret, *((held.k, held.price, out[0], held.way, out[1]) if out else (None,) * 5)))
             held.mark = c
             if out:
                 held, rested = None, i
         frame = pd.DataFrame(made, columns=[m.split()[0] for m in MADE.split(", ")], index=bars.index).astype({"entry_k": "Int64", "direction": "Int64"})
-        return pd.concat([bars[[*key, "dt", "k", "close"]], frame], axis=1)
+        waits = last + 1 - rested <= x.cooldown  # an exit that no longer matters is forgotten
+        left = {"held": held.handed_over() if held else None, "rested": int(rested) if waits else None, "wish": int(wish), "leave": [bool(leave[1]), bool(leave[-1])]}
+        return pd.concat([bars[[*key, "dt", "k", "close"]], frame], axis=1), left
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*key, "dt", "k", "close").dtypes)
-    done = rows.groupBy(*key).applyInPandas(run, f"{kinds}, {MADE}")
-    done = done.withColumn("equity", cash * F.product(1 + F.col("ret")).over(s.so_far))
+    done = cut.cut(hand_over(rows, cut, run, f"{kinds}, {MADE}"))
+    growth = F.product(1 + F.col("ret"))
+    done = running(done, cut, growth, growth, F.product, lambda a, b: a * b, "equity").withColumn("equity", cash * F.col("equity")).drop(PIECE)
     return done.withColumn("return_pct", F.col("direction") * (F.col("exit_price") / F.col("entry_price") - 1) - 2 * x.cost).withColumn("bars_held", F.col("k") - F.col("entry_k"))

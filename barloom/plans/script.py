@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.series import Series
 from ..operators.recursive import smooth, with_recursive
+from ..operators.scan import Pieces, pieces
 
 MOST_CHARACTERS, MOST_STATEMENTS = 20_000, 200
 SOURCES = ("open", "high", "low", "close", "volume")
@@ -31,6 +32,13 @@ class Script:
         self.plots: list[tuple[str, str, int]] = []
         self.lines: list[tuple[float, int]] = []
         self.made = 0
+        self._cut: Pieces | None = None
+
+    @property
+    def cut(self) -> Pieces:
+        """How the series are cut, found once for all recursive values of a script."""
+        self._cut = self._cut or pieces(self.rows)
+        return self._cut
 
     def keep(self, x: Column | float) -> Column:
         self.made += 1
@@ -45,12 +53,12 @@ class Script:
     def smoothed(self, x: Column | float, alpha: float, warm_up: int) -> Column:
         source = self.named(x)
         self.made += 1
-        self.rows = smooth(self.rows, [(f"v_{self.made}", source, alpha, warm_up)])
+        self.rows = smooth(self.rows, [(f"v_{self.made}", source, alpha, warm_up)], cut=self.cut)
         return F.col(f"v_{self.made}")
 
     def recursive(self, kind: str, n: int) -> Column:
         if f"{kind}_{n}" not in self.rows.columns:
-            self.rows = with_recursive(self.rows, [(kind, n)])
+            self.rows = with_recursive(self.rows, [(kind, n)], cut=self.cut)
         return F.col(f"{kind}_{n}")
 
     def ema(self, x, n: int) -> Column:
