@@ -9,6 +9,7 @@ from ..functions.series import Series
 from ..operators import candles, events, screener, volume
 from ..plans.rules import parse_alert, parse_rule
 from ..sources.views import BARS, bars
+from ..streaming.bus import checked
 from . import query, rounded, rounded_sql
 from .indicators import LAG, RSI, W, frame, full
 
@@ -48,13 +49,11 @@ HIT = " UNION ALL ".join(
 
 @query("alert_check_all", f"WITH {METRICS}\nSELECT alert, symbol, round(value, 6) + 0.0 AS value, fired FROM ({HIT}) t")
 def alert_check_all(spark, sf_dir: str) -> DataFrame:
-    """Alerts joined to the newest metrics of their symbols; each is compared by its own operator."""
+    """Alerts joined to the newest metrics of their symbols; each is compared by its own operator, all in one pass."""
     table = screener.metrics(bars(spark, sf_dir))
-    found = None
-    for i, a in enumerate(map(parse_alert, ALERTS)):
-        one = table.where(F.col("symbol") == a.symbol).select(F.lit(i).cast("long").alias("alert"), "symbol", F.col(a.metric).alias("value"), F.coalesce(a.column(), F.lit(False)).alias("fired"))
-        found = one if found is None else found.unionByName(one)
-    return rounded(found)
+    values = table.unpivot("symbol", [F.col(c).cast("double").alias(c) for c in NAMES], "metric", "value")
+    alerts = spark.createDataFrame([(i, a.symbol, a.metric, a.op, a.value) for i, a in enumerate(map(parse_alert, ALERTS))], "alert long, symbol string, metric string, op string, level double")
+    return rounded(checked(values, alerts).select("alert", "symbol", "value", "fired"))
 
 
 @query("last_quotes", rounded_sql(f"""WITH {BARS}, q AS (SELECT symbol, dt, close AS price, {LAG} AS prev_close, volume, high, low, {LAST} AS rn FROM bars)
