@@ -29,6 +29,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """Like `saved`; what was shuffled to make the rows is given free at once. Spark drops shuffles whose frames the JVM has collected, which
+    otherwise waits until the driver's heap is full, so jobs of many rounds would pile up the shuffles of all rounds on the executors' disks."""
+    out = saved(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def buckets_for(docs: DataFrame, text: str, bytes_each: int) -> int:
     """How many hash buckets hold about `bytes_each` bytes of text each; grows with the input."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

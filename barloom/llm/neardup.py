@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .frames import id_and_text, saved
+from .frames import id_and_text, swept
 from .vec import run_starts
 
 TASK_BYTES = 2 << 20
@@ -260,7 +260,7 @@ def sorted_rows(df: DataFrame, trees: int, kinds: str, n_rows: int) -> DataFrame
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm."""
     of_a, of_b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    return saved(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a long, b long"))
+    return swept(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ma", "mb").mapInArrow(confirm(percent), "a long, b long"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -281,7 +281,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     parts = max(4, links.count() // LINK_ROWS)  # few links need few tasks, and each task's exchange files
     edges, before = links.select("a", "b").coalesce(parts), None
     for _ in range(rounds):
-        edges = saved(star(star(edges, True).coalesce(parts), False).coalesce(parts))
+        edges = swept(star(star(edges, True).coalesce(parts), False).coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -293,8 +293,8 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(id, root) after more links: these join components, so only their roots are worked on."""
     of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    ends = saved(ends.where("ra != rb"))
-    above = components(saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())).select(F.col("id").alias("root"), F.col("root").alias("least"))
+    ends = swept(ends.where("ra != rb"))
+    above = components(swept(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())).select(F.col("id").alias("root"), F.col("root").alias("least"))
     moved = roots.join(above, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
     return moved.union(above.select(F.col("root").alias("id"), F.col("least").alias("root"))).distinct()
 
@@ -312,28 +312,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, recall
     agreeing = math.floor(k * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / k)))
     kinds = dict(docs.dtypes)
     plain = id_and_text(docs, doc_id, text, carry)
-    seen = saved(plain.mapInArrow(sketches(shingle, k, len(carry)), ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_shingles long, name binary, sketch binary"])))
+    seen = swept(plain.mapInArrow(sketches(shingle, k, len(carry)), ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_shingles long, name binary, sketch binary"])))
     some = seen.where("doc_id IS NOT NULL AND name IS NOT NULL")
     reps = some.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
-    reps = saved(reps.select("sketch", F.monotonically_increasing_id().alias("node"), "name", "first"))
+    reps = swept(reps.select("sketch", F.monotonically_increasing_id().alias("node"), "name", "first"))
     found = sorted_rows(reps.select("sketch", "node"), trees, "node long", reps.count() * trees).mapInArrow(best(leaf, agreeing), "x long, y long, mx boolean, my boolean")
     forth = F.col("x") < F.col("y")
     one_way = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(forth, F.col("mx")).otherwise(F.col("my")).alias("ma"), F.when(forth, F.col("my")).otherwise(F.col("mx")).alias("mb"))
-    pairs = saved(one_way.groupBy("a", "b").agg(F.bool_or("ma").alias("ma"), F.bool_or("mb").alias("mb")))
+    pairs = swept(one_way.groupBy("a", "b").agg(F.bool_or("ma").alias("ma"), F.bool_or("mb").alias("mb")))
     ends = pairs.select(F.col("a").alias("node"), F.col("ma").alias("more")).union(pairs.select("b", "mb")).groupBy("node").agg(F.bool_or("more").alias("more"))
-    ends = saved(ends.join(reps, "node"))
+    ends = swept(ends.join(reps, "node"))
     texts = plain.join(ends.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(full_sets(shingle), "name binary, members binary").groupBy("name").agg(F.first("members").alias("members"))
-    sets = saved(sets.join(ends.select("node", "name"), "name").select("node", "members"))
+    sets = swept(sets.join(ends.select("node", "name"), "name").select("node", "members"))
     roots = components(confirmed(pairs.select("a", "b"), sets, percent))
     crowd = ends.where("more").select("sketch", "node").join(sets.select("node", (F.octet_length("members") / 8).cast("long").alias("n"), F.substring("members", 1, 8 * BOTTOM).alias("low")), "node")
-    crowd = saved(crowd.join(roots, F.col("node") == F.col("id"), "left").select("sketch", "node", F.coalesce("root", "node").alias("root"), "n", "low"))
+    crowd = swept(crowd.join(roots, F.col("node") == F.col("id"), "left").select("sketch", "node", F.coalesce("root", "node").alias("root"), "n", "low"))
     n_crowd = crowd.count()
     if n_crowd:
         met = sorted_rows(crowd, trees, "node long, root long, n long, low binary", n_crowd * trees).mapInArrow(bridges(leaf, agreeing, percent), "x long, y long")
-        more = saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        more = swept(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            roots = saved(joined(roots, confirmed(more, sets, percent)))
+            roots = swept(joined(roots, confirmed(more, sets, percent)))
     rooted = reps.select("node", "name", "first").join(roots, F.col("node") == F.col("id"), "left").select("name", "first", F.coalesce("root", "node").alias("component"))
     classes = rooted.join(rooted.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("name", "component_id", "component")
     linked = some.select("doc_id", *carry, "n_shingles", "name").join(classes, "name").select("doc_id", *carry, "n_shingles", "component_id", "component")
