@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), percent=80, carry=("digest",))
     first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.digest").alias("digest"))
     grouped = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(mixing.WORD), F.lit(False))
-    orderable = F.struct(F.lit(0), *(F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    orderable = F.struct(F.lit(0), *(F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind))
     rows = docs.where(grouped).groupBy(F.col("doc_id").alias("id"), digest.alias("digest")).agg(F.min_by(F.struct("*"), orderable).alias("row"))
     return rows.join(first, ["id", "digest"], "left_semi").select("row.*").union(docs.where(~grouped))
 
