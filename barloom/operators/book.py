@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import Pieces, hand_over, pieces
+
 #: Fixed charges of index options in India: an order, and shares of turnover.
 BROKERAGE, STT_SELL, STT_EXERCISE, EXCHANGE, SEBI, STAMP_BUY, GST = 20.0, 0.001, 0.00125, 0.0003503, 0.000001, 0.00003, 0.18
 
@@ -54,3 +57,38 @@ def fifo(fills: DataFrame) -> DataFrame:
     way = F.when(F.col("side") == "BUY", -1.0).otherwise(1.0)
     out = rows.groupBy("instrument", "net_qty").agg(F.sum(F.col("open") * F.col("price")).alias("held"), F.sum(way * (F.col("qty") - F.col("open")) * F.col("price")).alias("realised"))
     return out.select("instrument", "net_qty", F.when(F.col("net_qty") != 0, F.col("held") / F.abs("net_qty")).alias("avg_cost"), "realised")
+
+
+TRADED = "status string, cash double, held double"
+
+
+def traded(fills: DataFrame, cash: float, key: list[str] | None = None, cut: Pieces | None = None) -> DataFrame:
+    """key, seq, side, qty, price, status, cash, held: fills in order against an account of each key that begins with `cash` and nothing held.
+
+    A buy that costs more than the cash left is refused, and so is a sale of more than is held, a fill without a quantity above 0
+    or without a price; what is refused changes nothing. Whether a fill goes through depends on all before it, so a long account is
+    cut into pieces that hand over cash and units; as cash is not forgotten, that takes as many rounds as there are pieces.
+    """
+    key = key or ["instrument"]
+    cut = cut or pieces(fills, key, "seq")
+    rows = cut.cut(fills.select(*key, "seq", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price")))
+
+    def run(piece: pd.DataFrame, state: list | None, last: bool) -> tuple[pd.DataFrame, list]:
+        left, held = state or (cash, 0.0)
+        made = []
+        for side, qty, price in piece[["side", "qty", "price"]].itertuples(index=False):
+            value = qty * price
+            if side not in ("BUY", "SELL") or not qty > 0 or not price >= 0:
+                status = "refused: not a trade"
+            elif side == "BUY" and value > left:
+                status = "refused: cash"
+            elif side == "SELL" and qty > held:
+                status = "refused: not held"
+            else:
+                status, way = "ok", 1 if side == "BUY" else -1
+                left, held = left - way * value, held + way * qty
+            made.append((status, left, held))
+        return piece.assign(**dict(zip(("status", "cash", "held"), zip(*made, strict=True), strict=True))), [left, held]
+
+    kinds = dict(rows.dtypes)
+    return hand_over(rows, cut, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*key, "seq", "side", "qty", "price")), TRADED]))

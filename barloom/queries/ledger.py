@@ -62,6 +62,20 @@ def buy_sufficient(spark, sf_dir: str) -> DataFrame:
     return f.where("side = 'BUY'").select("instrument", "seq", (F.col("had") >= F.col("qty") * F.col("price")).alias("enough"))
 
 
+#: A step for each fill: what the account has left decides whether the next one goes through.
+TRADED = f"""{FILLS}, fo AS (SELECT instrument, seq, side, CAST(qty AS DOUBLE) AS qty, CAST(price AS DOUBLE) AS price FROM fills),
+ tr AS (SELECT instrument, CAST(0 AS BIGINT) AS seq, CAST('' AS VARCHAR) AS status, CAST(20000 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS held FROM (SELECT DISTINCT instrument FROM fills) i
+  UNION ALL SELECT instrument, seq, status, cash + CASE WHEN status <> 'ok' THEN 0 WHEN side = 'BUY' THEN -(qty * price) ELSE qty * price END, held + CASE WHEN status <> 'ok' THEN 0 WHEN side = 'BUY' THEN qty ELSE -qty END
+  FROM (SELECT fo.instrument, fo.seq, fo.side, fo.qty, fo.price, tr.cash, tr.held, CASE WHEN fo.qty <= 0 THEN 'refused: not a trade' WHEN fo.side = 'BUY' AND fo.qty * fo.price > tr.cash THEN 'refused: cash' WHEN fo.side = 'SELL' AND fo.qty > tr.held THEN 'refused: not held' ELSE 'ok' END AS status
+   FROM tr JOIN fo ON fo.instrument = tr.instrument AND fo.seq = tr.seq + 1) s)"""
+
+
+@query("trade_with_refusals", rounded_sql(f"WITH RECURSIVE {TRADED}\nSELECT instrument, seq, status, cash, held FROM tr WHERE seq > 0", "cash", "held", digits=4))
+def trade_with_refusals(spark, sf_dir: str) -> DataFrame:
+    """Every fill against an account of 20,000 of its instrument; what it cannot pay or does not hold is refused."""
+    return rounded(book.traded(fills(spark, sf_dir), 20_000.0).select("instrument", "seq", "status", "cash", "held"), 4)
+
+
 LASTPX = f"{FILLS}, v AS (SELECT instrument, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS net, max_by(price, seq) AS px FROM fills GROUP BY 1)"
 #: FIFO with lots kept one by one: a step for each fill, which closes the oldest lots first. Lots are (quantity, price), oldest first.
 FIFO = f"""{FILLS}, lo AS (SELECT instrument, CASE side WHEN 'BUY' THEN 1 ELSE -1 END AS way, qty, price, seq, sum(qty) OVER (PARTITION BY instrument, side ORDER BY seq) AS upto FROM fills),

@@ -174,11 +174,11 @@ def settle_expired(spark, sf_dir: str) -> DataFrame:
     return rounded(p.select("instrument", F.when(gone, 0.0).otherwise(F.col("net")).cast("double").alias("net"), (F.col("cash") + F.when(gone, F.col("net") * F.col("no") * 10.0).otherwise(0.0)).alias("cash"), status.alias("status")), 2)
 
 
-@query("trade_lots", f"WITH {FILLS}\nSELECT instrument, seq, CASE WHEN seq % 5 = 0 THEN NULL ELSE CAST(qty * 65 AS DOUBLE) END AS units, CASE WHEN seq % 5 = 0 THEN 'refused: no lot size' ELSE 'ok' END AS status FROM fills WHERE seq <= 20")
+@query("trade_lots", f"WITH {FILLS}\nSELECT instrument, seq, CASE WHEN seq % 5 = 0 THEN NULL ELSE CAST(qty * 65 AS DOUBLE) END AS units, CASE WHEN seq % 5 = 0 THEN 'refused: no lot size' ELSE 'ok' END AS status FROM fills")
 def trade_lots(spark, sf_dir: str) -> DataFrame:
     """Lots to units; without a lot size nothing is traded."""
     lot = F.when(F.col("seq") % 5 != 0, 65)
-    f = fills(spark, sf_dir).where("seq <= 20")
+    f = fills(spark, sf_dir)
     return f.select("instrument", "seq", (F.col("qty") * lot).cast("double").alias("units"), F.when(lot.isNull(), "refused: no lot size").otherwise("ok").alias("status"))
 
 

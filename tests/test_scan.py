@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import models, recursive, scan, simulate
+from barloom.operators import book, models, recursive, scan, simulate
 from barloom.operators.scan import pieces
 
 BARS = "symbol string, dt date, open double, high double, low double, close double, volume long, up boolean, down boolean"
@@ -95,3 +95,21 @@ def test_a_position_held_throughout(bars):
     done = simulate.simulate(signals, cut=pieces(signals, most=600))
     closed = done.where("exit_reason IS NOT NULL").collect()
     assert [(r["entry_k"], r["exit_reason"], r["k"]) for r in closed] == [(3, "end-of-data", 2999)]
+
+
+def test_account_in_pieces(spark):
+    """Refusals depend on all fills before; pieces give what one pass gives, and what a plain account says."""
+    rng = np.random.default_rng(8)
+    rows = [(str(rng.choice(["a", "b"])), i, str(rng.choice(["BUY", "SELL", "HOLD"], p=[0.5, 0.45, 0.05])), float(rng.integers(0, 9)), float(rng.integers(1, 50)), None) for i in range(900)]
+    fills = spark.createDataFrame(rows, "instrument string, seq long, side string, qty double, price double, extra int").repartition(4)
+    cut = pieces(fills, "instrument", "seq", most=150)
+    many = {(r["instrument"], r["seq"]): (r["status"], r["cash"], r["held"]) for r in book.traded(fills, 500.0, cut=cut).collect()}
+    cash, held, want = {"a": 500.0, "b": 500.0}, {"a": 0.0, "b": 0.0}, {}
+    for who, seq, side, qty, price, _ in rows:
+        ok = qty > 0 and (side == "BUY" and qty * price <= cash[who] or side == "SELL" and qty <= held[who])
+        if ok:
+            way = 1 if side == "BUY" else -1
+            cash[who], held[who] = cash[who] - way * qty * price, held[who] + way * qty
+        want[who, seq] = "ok" if ok else "refused: not a trade" if side == "HOLD" or qty <= 0 else "refused: cash" if side == "BUY" else "refused: not held", cash[who], held[who]
+    assert cut.many and many == want and len({s for s, *_ in want.values()}) == 4
+    assert book.traded(fills.where("false"), 1.0).count() == 0
