@@ -18,9 +18,10 @@ def listed(names) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
-#: Two titles in three get words that the scorer knows, so that its rules are exercised.
+#: Five texts in six get a made-up beginning of words that the scorer knows, as the tables' invented words are in no list: a fixture of the rules, no finding.
+#: What is scored is that and the whole body, in which the title stands.
 SPICE = ("Markets surge strongly as RBI cuts repo rate", "Company cuts guidance, shares not fall", "Crude oil prices jump sharply", "Bank profit growth despite inflation fears", "Election risk hits rupee", "")
-SPICED = f"h AS (SELECT doc_id, {listed(SPICE)}[CAST(doc_id % 6 AS INTEGER) + 1] || ' ' || title AS title, title AS raw FROM headlines)"
+SPICED = f"h AS (SELECT doc_id, {listed(SPICE)}[CAST(doc_id % 6 AS INTEGER) + 1] || ' ' || coalesce(body, '') AS title, title AS raw FROM headlines)"
 SENT = f"""{HEADLINES}, {SPICED}, tk AS (SELECT doc_id, title, regexp_extract_all(lower(title), '[a-z'']+') AS t, regexp_matches(lower(title), '\\brates?\\b|\\brepo\\b|\\brbi\\b|\\bfed\\b') AS rates FROM h),
  ex AS (SELECT doc_id, rates, t, i, t[i] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM tk) u),
  ow AS (SELECT *, CASE WHEN w IN ('cut', 'cuts') AND NOT rates THEN -1.0 WHEN w IN {quoted(tx.POSITIVE)} THEN 1.0 WHEN w IN {quoted(tx.NEGATIVE)} THEN -1.0 ELSE 0.0 END AS own, t[greatest(i - 3, 1):i - 1] AS b FROM ex),
@@ -31,7 +32,7 @@ SENT = f"""{HEADLINES}, {SPICED}, tk AS (SELECT doc_id, title, regexp_extract_al
 
 def spiced(spark, sf_dir: str) -> DataFrame:
     spice = F.get(F.array(*map(F.lit, SPICE)), (F.col("doc_id") % 6).cast("int"))
-    return headlines(spark, sf_dir).select("doc_id", F.concat(spice, F.lit(" "), "title").alias("title"), F.timestamp_seconds(1704067200 + F.col("doc_id") * 3607).alias("ts"))
+    return headlines(spark, sf_dir).select("doc_id", F.concat(spice, F.lit(" "), F.coalesce("body", F.lit(""))).alias("title"), F.timestamp_seconds(1704067200 + F.col("doc_id") * 3607).alias("ts"))
 
 
 @query("score_sentiment_detailed", rounded_sql(f"WITH {SENT}\nSELECT doc_id, score, hits FROM sent", "score"))

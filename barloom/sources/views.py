@@ -52,8 +52,8 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title of a document is its first sentence or line, the body its text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^.!?\n]*", 0).alias("title"), F.col("text").alias("body"), "source", "lang")
+    """The title of a document is the first 200 characters of its text, the body the whole of it."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("title"), F.col("text").alias("body"), "source", "lang")
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ CHAIN = """chain AS (SELECT ts, expiry, CAST(strike AS DOUBLE) AS strike, avg(sp
 PARTICIPANTS = """participants AS (SELECT CAST(o_orderdate AS DATE) AS dt, o_orderpriority AS client_type,
   CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) - sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS idx_fut_net,
   CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS idx_opt_net FROM orders GROUP BY 1, 2)"""
-HEADLINES = "headlines AS (SELECT doc_id, regexp_extract(text, '^[^.!?\n]*', 0) AS title, text AS body, source, lang FROM documents)"
+HEADLINES = "headlines AS (SELECT doc_id, substring(text, 1, 200) AS title, text AS body, source, lang FROM documents)"
 FILLS = """fills AS (SELECT p_brand AS instrument, CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS side, l_quantity AS qty,
   p_retailprice * (1 - l_discount) AS price,
   row_number() OVER (PARTITION BY p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq
