@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.series import YEAR, Series
 from . import backtest as bt
+from .gram import gram
 from .recursive import with_recursive
 from .scan import PIECE, Pieces, numbered, pieces, scan
 from .validation import norm_ppf, uniform
@@ -179,13 +180,13 @@ def portfolios(bars: DataFrame, n: int = 4000, free: float = 0.065, seed: int =
     """portfolio, ret, vol, sharpe of random long-only weights: shares of exponential numbers, one for each symbol."""
     r = aligned(bars)
     mean = r.groupBy("symbol").agg((F.avg("ret") * YEAR).alias("mu"))
-    a, b = (r.select("dt", F.col("symbol").alias(x), F.col("ret").alias(f"r{x}")) for x in "ab")
-    cov = a.join(b, "dt").groupBy("a", "b").agg((F.covar_samp("ra", "rb") * YEAR).alias("cov"))  # symbols squared
+    half = gram(r.select("symbol", "dt", F.col("ret").alias("r"))).select("a", "b", (F.col("cov") * YEAR).alias("cov"))
+    cov = half.union(half.where("a < b").select("b", "a", "cov"))
     w = mean.crossJoin(F.broadcast(bars.sparkSession.range(n).withColumnRenamed("id", "portfolio"))).withColumn("e", -F.ln(1 - uniform(F.lit(f"mix{seed}"), "portfolio", "symbol")))
     w = w.withColumn("w", F.col("e") / F.sum("e").over(Window.partitionBy("portfolio"))).select("portfolio", "symbol", "mu", "w")
     gain = w.groupBy("portfolio").agg(F.sum(F.col("w") * F.col("mu")).alias("ret"))
     of = lambda x: w.select("portfolio", F.col("symbol").alias(x), F.col("w").alias(f"w{x}"))
-    risk = of("a").join(F.broadcast(cov), "a").join(of("b"), ["portfolio", "b"]).groupBy("portfolio").agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("cov"))).alias("vol"))
+    risk = of("a").join(cov, "a").join(of("b"), ["portfolio", "b"]).groupBy("portfolio").agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("cov"))).alias("vol"))
     return gain.join(risk, "portfolio").withColumn("sharpe", (F.col("ret") - free) / F.greatest("vol", F.lit(1e-9)))
 
 

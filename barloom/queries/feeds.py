@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import archive
 from ..sources import parsers as pa
 from ..sources.views import BARS, CHAIN, TICKS, bars, chain, table, ticks
 from . import query, rounded, rounded_sql
@@ -435,3 +436,29 @@ def alert_fire_once(spark, sf_dir: str) -> DataFrame:
     met = F.when(F.col("above"), F.col("ltp") >= F.col("level")).otherwise(F.col("ltp") <= F.col("level"))
     hit = ticks(spark, sf_dir).join(F.broadcast(alerts), "symbol").where(met)
     return rounded(hit.groupBy("symbol", "level").agg(F.min_by(F.struct("event_id", "ltp"), "event_id").alias("t")).select("symbol", "t.event_id", "t.ltp"))
+
+
+#: Monthly dumps of the contracts of a chain: which sides of a strike are listed.
+DUMPS = f"{CHAIN}, du AS (SELECT ts AS day, strike, call_oi > 0 AS has_call, put_oi > 0 AS has_put FROM chain)"
+LIVES = f"""{DUMPS}, dd AS (SELECT day, row_number() OVER (ORDER BY day) AS n, lead(day) OVER (ORDER BY day) AS nxt FROM (SELECT DISTINCT day FROM du) d),
+ dl AS (SELECT du.*, n, nxt, CASE WHEN lag(n) OVER w = n - 1 AND lag(has_call) OVER w = has_call AND lag(has_put) OVER w = has_put THEN 0 ELSE 1 END AS fresh FROM du JOIN dd USING (day) WINDOW w AS (PARTITION BY strike ORDER BY n)),
+ di AS (SELECT *, sum(fresh) OVER (PARTITION BY strike ORDER BY n) AS island FROM dl),
+ lives AS (SELECT strike, any_value(has_call) AS has_call, any_value(has_put) AS has_put, min(day) AS valid_from, max_by(coalesce(nxt, DATE '9999-12-31'), n) AS upto FROM di GROUP BY strike, island)"""
+
+
+def dumps(spark, sf_dir: str) -> DataFrame:
+    return chain(spark, sf_dir).select(F.col("ts").alias("day"), "strike", (F.col("call_oi") > 0).alias("has_call"), (F.col("put_oi") > 0).alias("has_put"))
+
+
+@query("contract_lives", f"WITH {LIVES}\nSELECT strike, has_call, has_put, valid_from, nullif(upto, DATE '9999-12-31') AS valid_to FROM lives")
+def contract_lives(spark, sf_dir: str) -> DataFrame:
+    """How long each strike was listed with the same sides, from monthly dumps."""
+    return archive.lives(dumps(spark, sf_dir), ["strike"])
+
+
+@query("contract_as_of", f"WITH {LIVES}, asked AS (SELECT CAST(900 + 2 * p_size AS DOUBLE) AS strike, CAST(l_shipdate AS DATE) + 20 AS day FROM lineitem JOIN part ON l_partkey = p_partkey)\nSELECT a.strike, a.day, has_call, has_put, CAST(count(*) AS BIGINT) AS n FROM asked a LEFT JOIN lives l ON l.strike = a.strike AND valid_from <= a.day AND a.day < upto GROUP BY ALL")
+def contract_as_of(spark, sf_dir: str) -> DataFrame:
+    """What the archive knew of a trade's strike on the day of its settlement, 20 days on, counted."""
+    trades = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    asked = trades.select((900 + 2 * F.col("p_size")).cast("double").alias("strike"), F.date_add(F.to_date("l_shipdate"), 20).alias("day")).groupBy("strike", "day").agg(F.count(F.lit(1)).alias("n"))
+    return archive.looked_up(asked, archive.lives(dumps(spark, sf_dir), ["strike"]), ["strike"], "day")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.series import Series
 from ..operators import candles, events, screener, volume
+from ..operators.gram import gram
 from ..plans.rules import parse_alert, parse_rule
 from ..sources.views import BARS, bars
 from ..streaming.bus import checked
@@ -276,11 +277,17 @@ def analyze_volume(spark, sf_dir: str) -> DataFrame:
 @query("correlation_matrix", rounded_sql(f"""WITH {BARS}, r AS (SELECT symbol, dt, close / {LAG} - 1 AS r FROM bars)
 SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS corr, CAST(count(*) AS BIGINT) AS n FROM r a JOIN r b ON a.dt = b.dt AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30""", "corr"))
 def correlation_matrix(spark, sf_dir: str) -> DataFrame:
-    """Pairs of symbols on the days both have; a row holds a day's symbols, so days and not pairs are shuffled."""
-    r = bars(spark, sf_dir).withColumn("r", S.returns("close")).where("r IS NOT NULL").select("dt", "symbol", "r")
-    a, b = (r.select("dt", F.col("symbol").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
-    pairs = a.join(b, "dt").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count(F.lit(1)).alias("n"))
-    return rounded(pairs.where("n >= 30"))
+    """Pairs of symbols on the days both have, from blocked products of days and symbols."""
+    r = bars(spark, sf_dir).withColumn("r", S.returns("close"))
+    return rounded(gram(r).where("a < b AND n >= 30").select("a", "b", "corr", "n"))
+
+
+@query("covariance_matrix", rounded_sql(f"""WITH {BARS}, r AS (SELECT symbol, dt, close / {LAG} - 1 AS r FROM bars)
+SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.r, b.r) * 252 AS cov FROM r a JOIN r b ON a.dt = b.dt AND a.symbol <= b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2""", "cov"))
+def covariance_matrix(spark, sf_dir: str) -> DataFrame:
+    """Annualised, of every pair of symbols and of each with itself."""
+    r = bars(spark, sf_dir).withColumn("r", S.returns("close"))
+    return rounded(gram(r).select("a", "b", (F.col("cov") * 252).alias("cov")))
 
 
 @query("aligned_returns", rounded_sql(f"""WITH {BARS}, r AS (SELECT symbol, dt, close / {LAG} - 1 AS r FROM bars)
