@@ -113,12 +113,16 @@ def impact(text: Column, ts: Column) -> Column:
     return F.get(F.transform(F.array(facts), call), F.lit(0))
 
 
+def unescaped(x: Column) -> Column:
+    """Text with the common entities' characters."""
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(mark))
+    return x
+
+
 def plain_text(html: Column) -> Column:
     """Text of a piece of HTML: tags and runs of space become one space, the common entities their characters."""
-    out = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(mark))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]*>", " ")), r"[ \t\n\r]+", " "))
 
 
 #: Fixed words that say nothing of a sentence.

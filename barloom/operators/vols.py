@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,49 +238,3 @@ def describe(d: Column, g: Column, t: Column, v: Column) -> Column:
 
 def sabr_quality(rmse: Column) -> Column:
     return F.when(rmse <= 0.25, "tight").when(rmse <= 0.5, "usable").otherwise("poor")
-
-
-def sabr_fit(rows: DataFrame, beta: float = 0.5, least: int = 6, most: float = 0.35, steps: int = 60) -> DataFrame:
-    """ts, expiry, alpha, rho, nu, rmse (vol points), n of each snapshot's smile: rows f, k, t, iv, w.
-
-    Damped least squares in ln alpha, atanh rho and ln nu, from the IV nearest to the forward, rho -0.3 and nu 0.6. A snapshot is one
-    small group: some hundred strikes.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def model(p, f, k, t):
-        alpha, rho, nu = math.exp(p[0]), math.tanh(p[1]), math.exp(p[2])
-        one, log = 1 - beta, np.log(f / k)
-        mean = (f * k) ** (one / 2)
-        z = nu / alpha * mean * log
-        small = np.abs(z) < 1e-6
-        x = np.log((np.sqrt(1 - 2 * rho * z + z * z) + z - rho) / (1 - rho))
-        ratio = np.where(small, 1 - rho * z / 2, z / np.where(small, 1, x))
-        top = 1 + (one**2 / 24 * alpha**2 / mean**2 + 0.25 * rho * beta * nu * alpha / mean + (2 - 3 * rho**2) / 24 * nu**2) * t
-        return alpha / (mean * (1 + one**2 / 24 * log**2 + one**4 / 1920 * log**4)) * ratio * top
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        f, k, t, iv, w = (g[c].to_numpy(float) for c in ("f", "k", "t", "iv", "w"))
-        good = np.isfinite(iv) & (iv > 1e-4) & (np.abs(np.log(f / k)) <= most)
-        f, k, t, iv, w = (x[good] for x in (f, k, t, iv, w))
-        if len(k) < least:
-            return g[["ts", "expiry"]].iloc[:0].assign(alpha=0.0, rho=0.0, nu=0.0, rmse=0.0, n=0)
-        root = np.sqrt(w / w.sum()) if w.sum() > 0 else np.full(len(k), len(k) ** -0.5)
-        p = np.array([math.log(iv[np.abs(k - f).argmin()] * f[0] ** (1 - beta)), math.atanh(-0.3), math.log(0.6)])
-        off = lambda p: root * (model(p, f, k, t) - iv)
-        r, damp = off(p), 1e-3
-        for _ in range(steps):
-            jac = np.stack([(off(p + h) - r) / 1e-6 for h in 1e-6 * np.eye(3)], axis=1)
-            step = np.linalg.solve(jac.T @ jac + damp * np.eye(3) * 1e-2, -jac.T @ r)
-            step = np.clip(step, -0.5, 0.5)
-            new = off(p + step)
-            if np.isfinite(new).all() and new @ new < r @ r:
-                p, r, damp = p + step, new, damp / 4
-            else:
-                damp *= 6
-        error = 100 * (model(p, f, k, t) - iv)
-        return pd.DataFrame({"ts": [g["ts"].iloc[0]], "expiry": [g["expiry"].iloc[0]], "alpha": [math.exp(p[0])], "rho": [math.tanh(p[1])], "nu": [math.exp(p[2])], "rmse": [float(np.sqrt((error**2).mean()))], "n": [len(k)]})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*SNAP).applyInPandas(fit, f"ts {kinds['ts']}, expiry {kinds['expiry']}, alpha double, rho double, nu double, rmse double, n long")

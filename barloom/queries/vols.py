@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import options as op
 from ..functions.series import Series
-from ..operators import book
+from ..operators import book, simplex
 from ..operators import vols as vo
 from ..sources.views import BARS, CHAIN, FILLS, bars, chain, fills
 from . import query, rounded, rounded_sql
@@ -292,16 +292,21 @@ def calibrate_sabr(spark, sf_dir: str) -> DataFrame:
     """Smiles made by the model with alpha 6.5, rho -0.2 and nu 0.8: the fit finds them again."""
     q = quoted(spark, sf_dir).withColumn("f", F.col("spot") * F.exp(0.065 * F.col("t")))
     q = q.select("ts", "expiry", "f", F.col("strike").alias("k"), "t", op.sabr_vol("f", "strike", "t", 6.5, -0.2, 0.8).alias("iv"), (F.col("call_oi") + F.col("put_oi") + 1.0).alias("w"))
-    return vo.sabr_fit(q).select("ts", *((F.round(c, 2) + 0.0).alias(c) for c in ("alpha", "rho", "nu")))
+    return simplex.sabr_fits(q).select("ts", *((F.round(c, 2) + 0.0).alias(c) for c in ("alpha", "rho", "nu")))
 
 
-@query("calibrate_chain")
-def calibrate_chain(spark, sf_dir: str) -> DataFrame:
+def market_quotes(spark, sf_dir: str) -> DataFrame:
     """The out-of-the-money side of each strike, weighted by its open interest."""
     q = quoted(spark, sf_dir).withColumn("f", F.col("spot") * F.exp(0.065 * F.col("t")))
     call = F.col("strike") >= F.col("f")
-    q = q.select("ts", "expiry", "f", F.col("strike").alias("k"), "t", F.when(call, F.col("call_iv")).otherwise(F.col("put_iv")).alias("iv"), F.greatest(F.when(call, F.col("call_oi")).otherwise(F.col("put_oi")), F.lit(0)).cast("double").alias("w"))
-    return rounded(vo.sabr_fit(q.where("iv IS NOT NULL")), 3)
+    side = lambda n: F.when(call, F.col(f"call_{n}")).otherwise(F.col(f"put_{n}"))
+    return q.select("ts", "expiry", "f", F.col("strike").alias("k"), "t", side("iv").alias("iv"), F.greatest(side("oi"), F.lit(0)).cast("double").alias("w"))
+
+
+@query("calibrate_chain")
+def calibrate_chain(spark, sf_dir: str) -> DataFrame:
+    """Each snapshot's smile fitted to its market quotes."""
+    return rounded(simplex.sabr_fits(market_quotes(spark, sf_dir)).withColumn("warnings", F.array_join("warnings", "; ")), 3)
 
 
 FITTED = f"""{QUOTED}, fx AS (SELECT ts, expiry, ln(strike / spot) / sqrt(t) AS x, {MEAN} AS iv, call_oi + put_oi + 1.0 AS w FROM qc WHERE {MEAN} IS NOT NULL),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_text, unescaped
+
 #: Fixed column names of the contract list, all of which must be there.
 INSTRUMENT_COLUMNS = ("instrument_token", "tradingsymbol", "name", "expiry", "strike", "lot_size", "instrument_type")
 #: Fixed names of the participant file's columns, and ours.
@@ -96,6 +98,53 @@ def news_rows(payloads: DataFrame, key: list[str]) -> DataFrame:
     return r.where("title IS NOT NULL")
 
 
+ITEM_XML = "ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING, source: STRUCT<_VALUE: STRING, _url: STRING>>>"
+FEED_XML = f"channel STRUCT<item: {ITEM_XML}>, item {ITEM_XML}, broken STRING"
+#: Fixed names of months and zones (hours from UTC) in the dates of mails and feeds.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+ZONES = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+
+
+def mail_time(x: Column) -> Column:
+    """The moment of a mail's date (`Tue, 05 Mar 2024 10:00:00 +0530`; the weekday and seconds may be left out): UTC without a zone or with one
+    that is unknown, years of two digits are from 1969 to 2068. NULL where it is no date."""
+    part = lambda i: F.regexp_extract(x, r"^\s*(?:[A-Za-z]+,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[A-Za-z]+)?", i)
+    whole = lambda i: part(i).try_cast("int")
+    year = F.when(F.length(part(3)) == 4, whole(3)).otherwise(whole(3) + F.when(whole(3) < 69, 2000).otherwise(1900))
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(2))), F.lit(0)).cast("int")
+    at = F.try_make_timestamp(year, month, whole(1), whole(4), whole(5), F.coalesce(whole(6), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC"))
+    named = F.create_map(*(F.lit(v) for name, hours in ZONES.items() for v in (name, hours * 3600)))
+    digits = F.substring(part(7), 2, 2).try_cast("int") * 3600 + F.substring(part(7), 4, 2).try_cast("int") * 60
+    ahead = F.when(part(7).startswith("-"), -digits).when(part(7).startswith("+"), digits).otherwise(F.coalesce(F.try_element_at(named, F.upper(part(7))), F.lit(0)))
+    return F.timestamp_micros(F.unix_micros(at) - ahead.cast("long") * 1_000_000)
+
+
+def feeds(payloads: DataFrame, key: list[str]) -> DataFrame:
+    """key, items, broken (the text, if it is no XML): feeds (column xml) whose items are in a channel or beside it. Other elements are not read."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreNamespace": "true"}
+    r = payloads.select(*key, F.from_xml("xml", FEED_XML, options).alias("_feed"))
+    none = F.array().cast(ITEM_XML)
+    items = F.concat(F.coalesce("_feed.channel.item", none), F.coalesce("_feed.item", none))
+    return r.select(*key, F.when(F.col("_feed.broken").isNull(), items).otherwise(none).alias("items"), F.col("_feed.broken").alias("broken"))
+
+
+def feed_items(payloads: DataFrame, key: list[str]) -> DataFrame:
+    """key, place (from 0), title, link, source, published, description: a row for each item of feeds (column xml); none for a broken feed.
+
+    A title loses a publisher that it ends with, a description its tags, and all of itself if it begins as the title does (60
+    letters and digits of it). Without a date that can be read, published is NULL; other missing fields are empty.
+    """
+    r = feeds(payloads, key).select(*key, F.posexplode("items").alias("place", "_item"))
+    field = lambda n: F.coalesce(F.col(n), F.lit(""))
+    r = r.select(*key, "place", field("_item.title").alias("title"), field("_item.link").alias("link"), field("_item.source._VALUE").alias("source"), field("_item.description").alias("d"), mail_time(F.col("_item.pubDate")).alias("published"))
+    echoed = (F.col("source") != "") & F.endswith(F.col("title"), F.concat(F.lit(" - "), F.col("source")))
+    bare = F.when(echoed, F.expr("left(title, length(title) - length(source) - 3)")).otherwise(F.col("title"))
+    r = r.withColumns({"title": F.trim(unescaped(bare)), "description": plain_text(F.replace(F.col("d"), F.lit("\u00a0"), F.lit(" ")))})
+    key_of = lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9]", "")
+    repeats = F.startswith(key_of("description"), F.substring(key_of("title"), 1, 60))
+    return r.select(*key, "place", "title", "link", F.trim("source").alias("source"), "published", F.when(repeats, "").otherwise(F.col("description")).alias("description"))
+
+
 def big_endian(data: Column, at: Column, size: int) -> Column:
     """A signed big-endian integer of bytes that begin at a place, from 0."""
     n = F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("long")
