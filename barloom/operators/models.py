@@ -157,23 +157,25 @@ def price_fan(bars: DataFrame, horizon: int = 60, n_paths: int = 2000, shown: in
     return envelope, ends.where(F.col("rank").isin(*places)).select("symbol", "path", "growth")
 
 
-def heston(spark, spot: float, iv: float, horizon: int = 120, n_paths: int = 2000, kappa: float = 2.0, xi: float = 0.6, rho: float = -0.7, mu: float = 0.0, seed: int = 7) -> DataFrame:
-    """path, price, vol at the end of paths whose variance reverts to iv squared; a negative variance counts as 0.
+def heston(starts: DataFrame, key: str, horizon: int = 120, n_paths: int = 2000, kappa: float = 2.0, xi: float = 0.6, rho: float = -0.7, mu: float = 0.0, seed: int = 7) -> DataFrame:
+    """key, path, price, vol at the end of paths from each start (key, spot, iv) whose variance reverts to iv squared; a negative variance counts as 0.
 
-    A path is a fold over its days, in one row.
+    The normal numbers of all days are rows; a path is a fold over its own. Starts without a spot or an iv have no paths.
     """
-    dt, theta = 1 / YEAR, iv * iv
-    normal = lambda day, which: norm_ppf((uniform(F.lit(f"heston{seed}"), "path", day.cast("string"), F.lit(which)) * 2.0**48 + 0.5) / 2.0**48)
+    dt = 1 / YEAR
+    drawn = lambda which: (uniform(F.lit(f"heston{seed}"), key, "path", F.col("day").cast("string"), F.lit(which)) * 2.0**48 + 0.5) / 2.0**48
 
-    def step(x: Column, day: Column) -> Column:
-        z1 = normal(day, "a")
-        z2 = rho * z1 + math.sqrt(1 - rho * rho) * normal(day, "b")
+    def step(x: Column, z: Column) -> Column:
         v = F.greatest(x["v"], F.lit(0.0))
-        return F.struct((x["s"] * F.exp((mu - 0.5 * v) * dt + F.sqrt(v * dt) * z1)).alias("s"), (x["v"] + kappa * (theta - v) * dt + xi * F.sqrt(v * dt) * z2).alias("v"))
-
-    paths = spark.range(n_paths).withColumnRenamed("id", "path")
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.struct(F.lit(float(spot)).alias("s"), F.lit(theta).alias("v")), step)
-    return paths.select("path", end.alias("e")).select("path", F.col("e.s").alias("price"), F.sqrt(F.greatest("e.v", F.lit(0.0))).alias("vol"))
+        return F.struct((x["s"] * F.exp((mu - 0.5 * v) * dt + F.sqrt(v * dt) * z["a"])).alias("s"), (x["v"] + kappa * (F.col("theta") - v) * dt + xi * F.sqrt(v * dt) * (rho * z["a"] + math.sqrt(1 - rho * rho) * z["b"])).alias("v"))
+
+    steps = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long")))
+    known = starts.where("spot IS NOT NULL AND iv IS NOT NULL").select(key, F.col("spot").cast("double").alias("spot"), (F.col("iv") * F.col("iv")).cast("double").alias("theta"))
+    paths = known.withColumn("path", steps(0, n_paths - 1)).repartition(key, "path")  # few starts are many paths; their days stay together
+    days = paths.withColumn("day", steps(1, horizon)).withColumns({"ua": drawn("a"), "ub": drawn("b")}).withColumns({"a": norm_ppf(F.col("ua")), "b": norm_ppf(F.col("ub"))})
+    whole = days.groupBy(key, "path", "spot", "theta").agg(F.array_sort(F.collect_list(F.struct("day", "a", "b"))).alias("z"))
+    end = F.aggregate("z", F.struct(F.col("spot").alias("s"), F.col("theta").alias("v")), step)
+    return whole.select(key, "path", end.alias("e")).select(key, "path", F.col("e.s").alias("price"), F.sqrt(F.greatest("e.v", F.lit(0.0))).alias("vol"))
 
 
 def portfolios(bars: DataFrame, n: int = 4000, free: float = 0.065, seed: int = 7) -> DataFrame:

@@ -191,45 +191,60 @@ def implied_forward(spark, sf_dir: str) -> DataFrame:
     return rounded(fit.where("n >= 3"))
 
 
-LEGS = ((1, 950.0, "call", 10.0), (-1, 970.0, "call", 4.0), (1, 930.0, "put", 6.0))
-PAYOFF = f"""g AS (SELECT CAST(i AS BIGINT) AS i, 800.0 + i * 0.25 AS px FROM range(1201) t(i)), l AS (SELECT * FROM (VALUES {', '.join(f"({s}, {k}, '{w}', {p})" for s, k, w, p in LEGS)}) v(side, strike, kind, premium)),
- pay AS (SELECT i, px, CAST(sum(side * (CASE kind WHEN 'call' THEN greatest(px - strike, 0) ELSE greatest(strike - px, 0) END - premium)) AS DOUBLE) AS payoff FROM g CROSS JOIN l GROUP BY i, px)"""
-
-
-def payoff(spark) -> DataFrame:
-    """Value at expiry of three legs over a grid of 1201 prices."""
-    grid = spark.range(1201).select(F.col("id").alias("i"), (800.0 + F.col("id") * 0.25).alias("px"))
-    at = sum((s * ((F.greatest(F.col("px") - k, F.lit(0.0)) if w == "call" else F.greatest(k - F.col("px"), F.lit(0.0))) - p) for s, k, w, p in LEGS), F.lit(0.0))
-    return grid.withColumn("payoff", at)
-
-
-@query("analyze_payoff", f"WITH {PAYOFF}\nSELECT i, CAST(px AS DOUBLE) AS px, round(payoff, 6) + 0.0 AS payoff FROM pay")
+#: Legs of each snapshot: the first call at or above the spot is bought, the highest call sold, the last put at or below the spot bought.
+LEGS = ((1, "call", "near"), (-1, "call", "far"), (1, "put", "near"))
+STEPS = 1200
+LEGGED = f"""{CHAIN}, lg AS (SELECT ts, min(spot) AS spot, min({T}) AS t, min(strike) FILTER (WHERE strike >= spot AND call_ltp IS NOT NULL) AS k0, min_by(call_ltp, strike) FILTER (WHERE strike >= spot AND call_ltp IS NOT NULL) AS p0,
+  max(strike) FILTER (WHERE call_ltp IS NOT NULL) AS k1, max_by(call_ltp, strike) FILTER (WHERE call_ltp IS NOT NULL) AS p1, max(strike) FILTER (WHERE strike <= spot AND put_ltp IS NOT NULL) AS k2, max_by(put_ltp, strike) FILTER (WHERE strike <= spot AND put_ltp IS NOT NULL) AS p2 FROM chain GROUP BY ts)"""
+PAYOFF = f"""{LEGGED}, g AS (SELECT *, CAST(i AS BIGINT) AS i, spot * (0.8 + i * 0.4 / {STEPS}) AS px FROM lg, range({STEPS + 1}) r(i) WHERE k0 IS NOT NULL AND k2 IS NOT NULL),
+ pay AS (SELECT ts, spot, t, i, px, greatest(px - k0, 0) - p0 - (greatest(px - k1, 0) - p1) + greatest(k2 - px, 0) - p2 AS payoff FROM g)"""
+
+
+def payoff(spark, sf_dir: str) -> DataFrame:
+    """Value at expiry of the legs of each snapshot over a grid of prices around its spot; snapshots that lack a leg are left out."""
+    picks = []
+    for i, (_, kind, place) in enumerate(LEGS):
+        quoted = F.col(f"{kind}_ltp").isNotNull()
+        beside = quoted & ((F.col("strike") >= F.col("spot")) if kind == "call" else (F.col("strike") <= F.col("spot"))) if place == "near" else quoted
+        at = F.when(beside, F.col("strike"))
+        end, end_by = (F.min, F.min_by) if (kind, place) == ("call", "near") else (F.max, F.max_by)
+        picks += [end(at).alias(f"k{i}"), end_by(f"{kind}_ltp", at).alias(f"p{i}")]
+    legs = priced(spark, sf_dir).groupBy("ts").agg(F.min("spot").alias("spot"), F.min("t").alias("t"), *picks).where("k0 IS NOT NULL AND k2 IS NOT NULL")
+    grid = legs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STEPS).cast("long")))).withColumn("px", F.col("spot") * (0.8 + F.col("i") * 0.4 / STEPS))
+    worth = lambda i, kind: F.greatest(F.col("px") - F.col(f"k{i}") if kind == "call" else F.col(f"k{i}") - F.col("px"), F.lit(0.0)) - F.col(f"p{i}")
+    return grid.select("ts", "spot", "t", "i", "px", sum((side * worth(i, kind) for i, (side, kind, _) in enumerate(LEGS)), F.lit(0.0)).alias("payoff"))
+
+
+@query("analyze_payoff", rounded_sql(f"WITH {PAYOFF}\nSELECT ts, i, px, payoff FROM pay", "px", "payoff"))
 def analyze_payoff(spark, sf_dir: str) -> DataFrame:
-    return rounded(payoff(spark))
+    return rounded(payoff(spark, sf_dir).select("ts", "i", "px", "payoff"))
 
 
-@query("zero_crossings", rounded_sql(f"WITH {PAYOFF}, n AS (SELECT *, lag(px) OVER (ORDER BY i) AS px0, lag(payoff) OVER (ORDER BY i) AS p0 FROM pay)\nSELECT CAST(px0 - p0 * (px - px0) / (payoff - p0) AS DOUBLE) AS breakeven FROM n WHERE sign(p0) <> sign(payoff) AND payoff <> p0", "breakeven"))
+@query("zero_crossings", rounded_sql(f"WITH {PAYOFF}, n AS (SELECT *, lag(px) OVER w AS px0, lag(payoff) OVER w AS p0 FROM pay WINDOW w AS (PARTITION BY ts ORDER BY i))\nSELECT ts, px0 - p0 * (px - px0) / (payoff - p0) AS breakeven FROM n WHERE sign(p0) <> sign(payoff) AND payoff <> p0", "breakeven"))
 def zero_crossings(spark, sf_dir: str) -> DataFrame:
-    w = Window.orderBy("i")  # the grid is 1201 rows
-    d = payoff(spark).withColumns({"px0": F.lag("px").over(w), "p0": F.lag("payoff").over(w)}).where((F.signum("p0") != F.signum("payoff")) & (F.col("payoff") != F.col("p0")))
-    return rounded(d.select((F.col("px0") - F.col("p0") * (F.col("px") - F.col("px0")) / (F.col("payoff") - F.col("p0"))).alias("breakeven")))
+    w = Window.partitionBy("ts").orderBy("i")  # a snapshot's grid
+    d = payoff(spark, sf_dir).withColumns({"px0": F.lag("px").over(w), "p0": F.lag("payoff").over(w)}).where((F.signum("p0") != F.signum("payoff")) & (F.col("payoff") != F.col("p0")))
+    return rounded(d.select("ts", (F.col("px0") - F.col("p0") * (F.col("px") - F.col("px0")) / (F.col("payoff") - F.col("p0"))).alias("breakeven")))
 
 
-@query("probability_of_profit", rounded_sql(f"WITH {PAYOFF}, n AS (SELECT px, payoff, coalesce((px + lag(px) OVER (ORDER BY i)) / 2, 0) AS lo, (px + lead(px) OVER (ORDER BY i)) / 2 AS hi FROM pay), m AS (SELECT payoff, CASE WHEN lo > 0 THEN {cdf('(ln(lo / 950.0) + 0.005) / 0.1')} ELSE 0 END AS a, CASE WHEN hi IS NULL THEN 1 ELSE {cdf('(ln(hi / 950.0) + 0.005) / 0.1')} END AS b FROM n)\nSELECT least(greatest(sum(CASE WHEN payoff > 0 THEN b - a ELSE 0 END), 0), 1) AS pop FROM m", "pop"))
+@query("probability_of_profit", rounded_sql(f"WITH {PAYOFF}, n AS (SELECT ts, spot, 0.2 * sqrt(t) AS sd, payoff, (px + lag(px) OVER w) / 2 AS lo, (px + lead(px) OVER w) / 2 AS hi FROM pay WINDOW w AS (PARTITION BY ts ORDER BY i)), m AS (SELECT ts, payoff, CASE WHEN lo IS NOT NULL THEN {cdf('(ln(lo / spot) + 0.5 * sd * sd) / sd')} ELSE 0 END AS a, CASE WHEN hi IS NULL THEN 1 ELSE {cdf('(ln(hi / spot) + 0.5 * sd * sd) / sd')} END AS b FROM n)\nSELECT ts, least(greatest(sum(CASE WHEN payoff > 0 THEN b - a ELSE 0 END), 0), 1) AS pop FROM m GROUP BY ts", "pop"))
 def probability_of_profit(spark, sf_dir: str) -> DataFrame:
-    """Lognormal mass of the grid's cells where the legs gain; the end cells take the tails."""
-    w = Window.orderBy("i")
-    d = payoff(spark).withColumns({"lo": (F.col("px") + F.lag("px").over(w)) / 2, "hi": (F.col("px") + F.lead("px").over(w)) / 2})
-    mass = lambda x: op.norm_cdf((F.ln(F.col(x) / 950.0) + 0.005) / 0.1)
+    """Lognormal mass of the cells of a snapshot's grid where the legs gain; the end cells take the tails."""
+    w = Window.partitionBy("ts").orderBy("i")
+    d = payoff(spark, sf_dir).withColumns({"sd": 0.2 * F.sqrt("t"), "lo": (F.col("px") + F.lag("px").over(w)) / 2, "hi": (F.col("px") + F.lead("px").over(w)) / 2})
+    mass = lambda x: op.norm_cdf((F.ln(F.col(x) / F.col("spot")) + 0.5 * F.col("sd") * F.col("sd")) / F.col("sd"))
     cell = F.when(F.col("hi").isNull(), 1.0).otherwise(mass("hi")) - F.when(F.col("lo").isNull(), 0.0).otherwise(mass("lo"))
-    return rounded(d.agg(F.least(F.greatest(F.sum(F.when(F.col("payoff") > 0, cell).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)).alias("pop")))
+    return rounded(d.groupBy("ts").agg(F.least(F.greatest(F.sum(F.when(F.col("payoff") > 0, cell).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)).alias("pop")))
 
 
-@query("greeks_surface", rounded_sql(f"""WITH s AS (SELECT 100 * (1 + (i - 24) / 150.0) AS strike, (j + 1) * 2 / 365.0 AS t FROM range(48) a(i) CROSS JOIN range(44) b(j)), d AS (SELECT *, (ln(100.0 / strike) + (0.065 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM s)
-SELECT CAST(strike AS DOUBLE) AS strike, CAST(t AS DOUBLE) AS t, exp(-0.5 * d1 * d1) / {math.sqrt(2 * math.pi)!r} / (100 * 0.2 * sqrt(t)) AS gamma FROM d""", "strike", "t", "gamma"))
+@query("greeks_surface", rounded_sql(f"""WITH {CHAIN}, sp AS (SELECT ts, min(spot) AS spot FROM chain GROUP BY ts), s AS (SELECT ts, spot, spot * (1 + (i - 24) / 150.0) AS strike, (j + 1) * 2 / 365.0 AS t FROM sp, range(48) a(i), range(44) b(j)), d AS (SELECT *, (ln(spot / strike) + (0.065 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM s)
+SELECT ts, strike, CAST(t AS DOUBLE) AS t, exp(-0.5 * d1 * d1) / {math.sqrt(2 * math.pi)!r} / (spot * 0.2 * sqrt(t)) AS gamma FROM d""", "strike", "t", "gamma"))
 def greeks_surface(spark, sf_dir: str) -> DataFrame:
-    grid = spark.range(48).select((100 * (1 + (F.col("id") - 24) / 150.0)).alias("strike")).crossJoin(spark.range(44).select(((F.col("id") + 1) * 2 / 365.0).alias("t")))
-    return rounded(grid.select("strike", "t", op.greeks(100.0, "strike", "t", 0.2, F.lit(True))["gamma"].alias("gamma")))
+    """Gamma over strikes around each snapshot's spot and days to expiry."""
+    spots = chain(spark, sf_dir).groupBy("ts").agg(F.min("spot").alias("spot"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = spots.withColumn("i", steps(48)).withColumn("j", steps(44)).select("ts", "spot", (F.col("spot") * (1 + (F.col("i") - 24) / 150.0)).alias("strike"), ((F.col("j") + 1) * 2 / 365.0).alias("t"))
+    return rounded(grid.select("ts", "strike", "t", op.greeks("spot", "strike", "t", 0.2, F.lit(True))["gamma"].alias("gamma")))
 
 
 @query("participants_latest_with_change", f"""WITH {PARTICIPANTS}, d AS (SELECT dt, dense_rank() OVER (ORDER BY dt DESC) AS r FROM (SELECT DISTINCT dt FROM participants) x), p AS (SELECT participants.*, r FROM participants JOIN d USING (dt) WHERE r <= 2)

@@ -212,16 +212,16 @@ EXCHANGES = (
     ("NSE", "Asia/Kolkata", ((555, 940),)), ("LSE", "Europe/London", ((480, 990),)), ("NYSE", "America/New_York", ((570, 960),)), ("XETRA", "Europe/Berlin", ((540, 1050),)),
     ("TSE", "Asia/Tokyo", ((540, 690), (750, 900))), ("HKEX", "Asia/Hong_Kong", ((570, 720), (780, 960))), ("SGX", "Asia/Singapore", ((540, 1020),)), ("ASX", "Australia/Sydney", ((600, 960),)),
 )
-JANUARY = {"NSE": 330, "LSE": 0, "NYSE": -300, "XETRA": 60, "TSE": 540, "HKEX": 480, "SGX": 480, "ASX": 660}  # offsets in the month of the events
+JANUARY = {"NSE": 330, "LSE": 0, "NYSE": -300, "XETRA": 60, "TSE": 540, "HKEX": 480, "SGX": 480, "ASX": 660}  # offsets in the month of the events, for the SQL alone
 WORLD = "wx AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {JANUARY[c]}, {w[0][0]}, {w[0][1]}, {w[1][0] if w[1:] else -1}, {w[1][1] if w[1:] else -1})" for c, _, w in EXCHANGES) + ") v(code, off, a, b, c, d))"
 
 
-@query("world_sessions", f"WITH {WORLD}, wt AS (SELECT event_id, code, ts + to_minutes(off) AS lt, a, b, c, d FROM events CROSS JOIN wx WHERE ts < TIMESTAMP '2024-02-01'), wm AS (SELECT *, hour(lt) * 60 + minute(lt) AS m, isodow(lt) <= 5 AS wd FROM wt)\nSELECT event_id, code, CASE WHEN wd AND ((m >= a AND m < b) OR (m >= c AND m < d)) THEN 'open' WHEN wd AND c >= 0 AND m >= b AND m < c THEN 'lunch' ELSE 'closed' END AS state FROM wm")
+@query("world_sessions", f"WITH {WORLD}, wt AS (SELECT event_id, code, ts + to_minutes(off) AS lt, a, b, c, d FROM events CROSS JOIN wx), wm AS (SELECT *, hour(lt) * 60 + minute(lt) AS m, isodow(lt) <= 5 AS wd FROM wt)\nSELECT event_id, code, CASE WHEN wd AND ((m >= a AND m < b) OR (m >= c AND m < d)) THEN 'open' WHEN wd AND c >= 0 AND m >= b AND m < c THEN 'lunch' ELSE 'closed' END AS state FROM wm")
 def world_sessions(spark, sf_dir: str) -> DataFrame:
     """State of each exchange at each event, by its own clock."""
     rows = [(c, z, w[0][0], w[0][1], w[1][0] if w[1:] else -1, w[1][1] if w[1:] else -1) for c, z, w in EXCHANGES]
     dim = spark.createDataFrame(rows, "code string, zone string, a int, b int, c int, d int")
-    e = table(spark, sf_dir, "events").where("ts < TIMESTAMP_NTZ '2024-02-01 00:00:00'").crossJoin(F.broadcast(dim))  # eight rows
+    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(dim))  # eight rows
     local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.col("zone"))
     m, weekday = F.hour(local) * 60 + F.minute(local), F.weekday(local) < 5
     within = ((m >= F.col("a")) & (m < F.col("b"))) | ((m >= F.col("c")) & (m < F.col("d")))
@@ -349,12 +349,11 @@ def provenance(spark, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).groupBy("symbol").agg(p.alias("p")).select("symbol", "p.formula", "p.source", F.col("p.inputs")["n"].alias("n"))
 
 
-@query("universe_closes", rounded_sql(f"WITH {BARS}, u AS (SELECT DISTINCT symbol FROM bars ORDER BY symbol LIMIT 3)\nSELECT symbol, dt, close FROM bars JOIN u USING (symbol) WHERE dt >= DATE '1996-01-01'", "close"))
+@query("universe_closes", rounded_sql(f"WITH {BARS}, u AS (SELECT DISTINCT p_type AS symbol FROM part)\nSELECT symbol, dt, close FROM bars JOIN u USING (symbol)", "close"))
 def universe_closes(spark, sf_dir: str) -> DataFrame:
-    """Closes of the first symbols of a universe."""
-    b = bars(spark, sf_dir)
-    few = b.select("symbol").distinct().orderBy("symbol").limit(3)
-    return rounded(b.join(F.broadcast(few), "symbol").where("dt >= DATE '1996-01-01'").select("symbol", "dt", "close"))
+    """Closes of all symbols of a universe."""
+    universe = table(spark, sf_dir, "part").select(F.col("p_type").alias("symbol"))
+    return rounded(bars(spark, sf_dir).join(universe, "symbol", "left_semi").select("symbol", "dt", "close"))
 
 
 #: A log of subscriptions: each order is a client's asking for, or leaving, a symbol.

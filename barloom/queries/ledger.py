@@ -209,11 +209,12 @@ def harvest_coverage(spark, sf_dir: str) -> DataFrame:
     return chain(spark, sf_dir).groupBy("expiry").agg(F.count_distinct("strike").alias("contracts"), F.count(F.lit(1)).alias("candles"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if(F.col("call_oi") > 0).alias("with_oi"))
 
 
-@query("participant_backfill_missing", f"WITH {PARTICIPANTS}, w AS (SELECT CAST(d AS DATE) AS dt FROM range(TIMESTAMP '1994-12-01', TIMESTAMP '1995-03-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5)\nSELECT dt FROM w WHERE dt NOT IN (SELECT dt FROM participants)")
+@query("participant_backfill_missing", f"WITH {PARTICIPANTS}, w AS (SELECT CAST(d AS DATE) AS dt FROM (SELECT unnest(generate_series(date_trunc('month', min(dt)), date_trunc('month', max(dt)) + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM participants) t WHERE isodow(d) <= 5)\nSELECT dt FROM w WHERE dt NOT IN (SELECT dt FROM participants)")
 def participant_missing(spark, sf_dir: str) -> DataFrame:
-    """Weekdays of a span for which nothing is stored."""
-    wanted = spark.sql("SELECT explode(sequence(DATE '1994-12-01', DATE '1995-02-28')) AS dt").where(F.weekday("dt") < 5)
-    return wanted.join(participants(spark, sf_dir).select("dt"), "dt", "left_anti")
+    """Weekdays for which nothing is stored, of all months from the first stored day's to the last one's."""
+    p = participants(spark, sf_dir).select("dt")
+    wanted = p.agg(F.trunc(F.min("dt"), "month").alias("a"), F.last_day(F.max("dt")).alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("dt"))
+    return wanted.where(F.weekday("dt") < 5).join(p, "dt", "left_anti")
 
 
 @query("set_union_names", f"WITH {FILLS}, {BARS}\nSELECT instrument AS name FROM fills UNION SELECT symbol FROM bars")
@@ -290,9 +291,9 @@ def normalize_symbol(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.when(s.rlike("[.^=-]"), s).otherwise(F.concat(s, F.lit(".NS"))).alias("ticker")).distinct()
 
 
-@query("export_history", rounded_sql(f"WITH {BARS}\nSELECT symbol, dt, close, 'bars' AS source FROM bars WHERE symbol IN ('ECONOMY', 'LARGE')", "close"))
+@query("export_history", rounded_sql(f"WITH {BARS}\nSELECT symbol, dt, close, 'bars' AS source FROM bars", "close"))
 def export_history(spark, sf_dir: str) -> DataFrame:
-    return rounded(bars(spark, sf_dir).where(F.col("symbol").isin("ECONOMY", "LARGE")).select("symbol", "dt", "close", F.lit("bars").alias("source")))
+    return rounded(bars(spark, sf_dir).select("symbol", "dt", "close", F.lit("bars").alias("source")))
 
 
 @query("calendar_expiries", f"WITH {CHAIN}, c AS (SELECT expiry, count(*) AS contracts FROM chain WHERE expiry >= DATE '1996-01-01' GROUP BY 1 ORDER BY 1 LIMIT 8)\nSELECT expiry, CAST(contracts AS BIGINT) AS contracts FROM c")

@@ -86,15 +86,20 @@ def efficient_frontier(spark, sf_dir: str) -> DataFrame:
     return rounded(mo.portfolios(bars(spark, sf_dir), 300))
 
 
-U1, U2 = (f"((CAST(CAST('0x' || substr(md5('heston7:' || path || ':' || (day + 1) || ':{x}'), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0)" for x in "ab")
-HESTON = f"""hs AS (SELECT i AS path, CAST(0 AS BIGINT) AS day, CAST(100 AS DOUBLE) AS s, CAST(0.04 AS DOUBLE) AS v FROM range(200) t(i)
-  UNION ALL SELECT path, day + 1, s * exp(-0.5 * vp / 252.0 + sqrt(vp / 252.0) * z1), v + 2.0 * (0.04 - vp) / 252.0 + 0.6 * sqrt(vp / 252.0) * (-0.7 * z1 + {math.sqrt(1 - 0.49)!r} * z2)
-  FROM (SELECT path, day, s, v, greatest(v, 0) AS vp, {ppf_sql('u1')} AS z1, {ppf_sql('u2')} AS z2 FROM (SELECT *, {U1} AS u1, {U2} AS u2 FROM hs WHERE day < 30) a) b)"""
+U1, U2 = (f"((CAST(CAST('0x' || substr(md5('heston7:' || symbol || ':' || path || ':' || (day + 1) || ':{x}'), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0)" for x in "ab")
+HORIZON, PATHS = 120, 2000
+HESTON = f"""{BARS}, hb AS (SELECT symbol, max_by(close, dt) AS spot, pow(stddev_samp(r) * sqrt(252), 2) AS theta FROM (SELECT symbol, dt, close, ln(close / {LAG}) AS r FROM bars) x GROUP BY 1),
+ hs AS (SELECT symbol, theta, i AS path, CAST(0 AS BIGINT) AS day, CAST(spot AS DOUBLE) AS s, theta AS v FROM hb, range({PATHS}) t(i) WHERE theta IS NOT NULL
+  UNION ALL SELECT symbol, theta, path, day + 1, s * exp(-0.5 * vp / 252.0 + sqrt(vp / 252.0) * z1), v + 2.0 * (theta - vp) / 252.0 + 0.6 * sqrt(vp / 252.0) * (-0.7 * z1 + {math.sqrt(1 - 0.49)!r} * z2)
+  FROM (SELECT symbol, theta, path, day, s, v, greatest(v, 0) AS vp, {ppf_sql('u1')} AS z1, {ppf_sql('u2')} AS z2 FROM (SELECT *, {U1} AS u1, {U2} AS u2 FROM hs WHERE day < {HORIZON}) a) b)"""
 
 
-@query("heston_fan", rounded_sql(f"WITH RECURSIVE {HESTON}\nSELECT path, s AS price, sqrt(greatest(v, 0)) AS vol FROM hs WHERE day = 30", "price", "vol", digits=5))
+@query("heston_fan", rounded_sql(f"WITH RECURSIVE {HESTON}\nSELECT symbol, path, s AS price, sqrt(greatest(v, 0)) AS vol FROM hs WHERE day = {HORIZON}", "price", "vol", digits=5))
 def heston_fan(spark, sf_dir: str) -> DataFrame:
-    return rounded(mo.heston(spark, 100.0, 0.2, 30, 200), 5)
+    """Paths from each symbol's last close; its variance reverts to that of its days."""
+    r = bars(spark, sf_dir).select("symbol", "dt", "close", S.log_returns("close").alias("r"))
+    starts = r.groupBy("symbol").agg(F.max_by("close", "dt").alias("spot"), (F.stddev_samp("r") * math.sqrt(252)).alias("iv"))
+    return rounded(mo.heston(starts, "symbol", HORIZON, PATHS), 5)
 
 
 @query("swarm_optimize")
@@ -228,22 +233,22 @@ def brief_votes(spark, sf_dir: str) -> DataFrame:
     return v.select("symbol", "net", label.alias("label"))
 
 
-MADE_UP = ("AAA", "BBB", "CCC")
 DAYS = 250
 U_MADE = "(CAST(CAST('0x' || substr(md5('made:' || symbol || ':' || day), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0"
-SYNTH = f"""sy AS (SELECT s.symbol, d.i + 1 AS day FROM (VALUES ('AAA'), ('BBB'), ('CCC')) s(symbol) CROSS JOIN range({DAYS}) d(i)), su AS (SELECT *, {U_MADE} AS u FROM sy), sr AS (SELECT symbol, day, 0.0003 + CASE WHEN (day // 50) % 2 = 0 THEN 0.01 ELSE 0.02 END * {ppf_sql('u')} AS r FROM su)"""
+SYNTH = f"""{BARS}, sy AS (SELECT s.symbol, first, d.i + 1 AS day FROM (SELECT symbol, min_by(close, dt) AS first FROM bars GROUP BY 1) s CROSS JOIN range({DAYS}) d(i)), su AS (SELECT *, {U_MADE} AS u FROM sy), sr AS (SELECT symbol, first, day, 0.0003 + CASE WHEN (day // 50) % 2 = 0 THEN 0.01 ELSE 0.02 END * {ppf_sql('u')} AS r FROM su)"""
 
 
-@query("synthetic_history", rounded_sql(f"WITH {SYNTH}\nSELECT symbol, day, 100 * exp(sum(r) OVER (PARTITION BY symbol ORDER BY day)) AS close FROM sr", "close", digits=4))
+@query("synthetic_history", rounded_sql(f"WITH {SYNTH}\nSELECT symbol, day, first * exp(sum(r) OVER (PARTITION BY symbol ORDER BY day)) AS close FROM sr", "close", digits=4))
 def synthetic_history(spark, sf_dir: str) -> DataFrame:
-    """Made-up closes, the same for a name each time: a random walk that is calm and wild by turns."""
+    """Made-up closes from each symbol's first one, the same for a name each time: a random walk that is calm and wild by turns."""
     from ..operators.validation import norm_ppf, uniform
 
-    rows = spark.createDataFrame([(s,) for s in MADE_UP], "symbol string").withColumn("day", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(DAYS).cast("long"))))
+    first = bars(spark, sf_dir).groupBy("symbol").agg(F.min_by("close", "dt").alias("first"))
+    rows = first.withColumn("day", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(DAYS).cast("long"))))
     u = (uniform(F.lit("made"), "symbol", "day") * 2.0**48 + 0.5) / 2.0**48
     wild = F.when(F.floor(F.col("day") / 50) % 2 == 0, 0.01).otherwise(0.02)
     rows = rows.withColumn("r", 0.0003 + wild * norm_ppf(u))
-    return rounded(rows.select("symbol", "day", (100 * F.exp(F.sum("r").over(Window.partitionBy("symbol").orderBy("day")))).alias("close")), 4)
+    return rounded(rows.select("symbol", "day", (F.col("first") * F.exp(F.sum("r").over(Window.partitionBy("symbol").orderBy("day")))).alias("close")), 4)
 
 
 @query("registered_strategy", f"WITH {BARS}\nSELECT symbol, dt, CAST(CASE WHEN {full('avg', 'close', 50)} IS NULL THEN 0 WHEN {full('avg', 'close', 10)} > {full('avg', 'close', 50)} THEN 1 ELSE -1 END AS DOUBLE) AS signal FROM bars")

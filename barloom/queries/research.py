@@ -388,16 +388,16 @@ def news_reaction(spark, sf_dir: str) -> DataFrame:
     return rounded(shock.groupBy(named.alias("bucket")).agg(n.alias("n"), F.avg("excess").alias("mean"), F.when((n >= 3) & (sd > 0), F.avg("excess") / (sd / F.sqrt(n))).alias("t")))
 
 
-SIGNAL = f"""{BARS}, {PARTICIPANTS}, op AS (SELECT symbol, dt, ln(lead(open, 2) OVER {W}) / lead(open, 1) OVER {W})) AS fwd FROM bars), ps AS (SELECT symbol, dt, fwd, idx_fut_net AS x FROM op JOIN participants USING (dt) WHERE client_type = '1-URGENT' AND fwd IS NOT NULL),
- eg AS (SELECT symbol, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM ps GROUP BY 1), bk AS (SELECT symbol, fwd, CASE WHEN x <= q1 THEN 1 WHEN x <= q2 THEN 2 WHEN x <= q3 THEN 3 ELSE 4 END AS quartile FROM ps JOIN eg USING (symbol))"""
+SIGNAL = f"""{BARS}, {PARTICIPANTS}, op AS (SELECT symbol, dt, ln(lead(open, 2) OVER {W}) / lead(open, 1) OVER {W})) AS fwd FROM bars), ps AS (SELECT client_type, symbol, dt, fwd, idx_fut_net AS x FROM op JOIN participants USING (dt) WHERE fwd IS NOT NULL),
+ eg AS (SELECT client_type, symbol, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM ps GROUP BY 1, 2), bk AS (SELECT client_type, symbol, fwd, CASE WHEN x <= q1 THEN 1 WHEN x <= q2 THEN 2 WHEN x <= q3 THEN 3 ELSE 4 END AS quartile FROM ps JOIN eg USING (client_type, symbol))"""
 
 
-@query("participant_signal", rounded_sql(f"WITH {SIGNAL}\nSELECT symbol, CAST(quartile AS INTEGER) AS quartile, CAST(count(*) AS BIGINT) AS n, avg(fwd) AS mean, CASE WHEN count(*) >= 8 AND stddev_samp(fwd) > 0 THEN avg(fwd) / (stddev_samp(fwd) / sqrt(count(*))) END AS t FROM bk GROUP BY 1, 2", "mean", "t"))
+@query("participant_signal", rounded_sql(f"WITH {SIGNAL}\nSELECT client_type, symbol, CAST(quartile AS INTEGER) AS quartile, CAST(count(*) AS BIGINT) AS n, avg(fwd) AS mean, CASE WHEN count(*) >= 8 AND stddev_samp(fwd) > 0 THEN avg(fwd) / (stddev_samp(fwd) / sqrt(count(*))) END AS t FROM bk GROUP BY 1, 2, 3", "mean", "t"))
 def participant_signal(spark, sf_dir: str) -> DataFrame:
-    """The next day's open-to-open return by quartile of a class's position: edges are quantiles, so equal positions fall together."""
+    """The next day's open-to-open return by quartile of each class's position: edges are quantiles, so equal positions fall together."""
     fwd = bars(spark, sf_dir).select("symbol", "dt", F.ln(S.lead("open", 2) / S.lead("open", 1)).alias("fwd")).where("fwd IS NOT NULL")
-    rows = fwd.join(participants(spark, sf_dir).where("client_type = '1-URGENT'").select("dt", F.col("idx_fut_net").alias("x")), "dt")
-    edges = rows.groupBy("symbol").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
+    rows = fwd.join(participants(spark, sf_dir).select("client_type", "dt", F.col("idx_fut_net").alias("x")), "dt")
+    edges = rows.groupBy("client_type", "symbol").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
     quartile = F.when(F.col("x") <= F.col("q")[0], 1).when(F.col("x") <= F.col("q")[1], 2).when(F.col("x") <= F.col("q")[2], 3).otherwise(4)
     n, sd = F.count(F.lit(1)), F.stddev_samp("fwd")
-    return rounded(rows.join(edges, "symbol").groupBy("symbol", quartile.alias("quartile")).agg(n.alias("n"), F.avg("fwd").alias("mean"), F.when((n >= 8) & (sd > 0), F.avg("fwd") / (sd / F.sqrt(n))).alias("t")))
+    return rounded(rows.join(edges, ["client_type", "symbol"]).groupBy("client_type", "symbol", quartile.alias("quartile")).agg(n.alias("n"), F.avg("fwd").alias("mean"), F.when((n >= 8) & (sd > 0), F.avg("fwd") / (sd / F.sqrt(n))).alias("t")))

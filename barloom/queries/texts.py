@@ -111,10 +111,14 @@ def map_title(spark, sf_dir: str) -> DataFrame:
     return headlines(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(found)).alias("sym"))
 
 
-@query("alias_table", "SELECT alias, sym, CAST(len(alias) AS BIGINT) AS n FROM (VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in ALIASES) + ") t(alias, sym) WHERE len(alias) >= 3")
+@query("alias_table", f"""WITH {HEADLINES}, a AS (SELECT * FROM (VALUES {', '.join(f"('{x}', '{y}')" for x, y in ALIASES)}) t(alias, sym) WHERE len(alias) >= 3)
+SELECT alias, sym, CAST(len(alias) AS BIGINT) AS n, CAST(count(doc_id) AS BIGINT) AS mentions FROM a LEFT JOIN headlines ON regexp_matches(lower(title), '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)') GROUP BY 1, 2""")
 def alias_table(spark, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame(list(ALIASES), "alias string, sym string").withColumn("n", F.length("alias").cast("long"))
-    return a.where("n >= 3").orderBy(F.desc("n"), "alias")
+    """Aliases of three letters or more, and how many titles have them."""
+    a = spark.createDataFrame(list(ALIASES), "alias string, sym string").withColumn("n", F.length("alias").cast("long")).where("n >= 3")
+    there = F.array_compact(F.array(*(F.when(F.lower("title").rlike(f"(?<![a-z0-9]){x}(?![a-z0-9])"), x) for x, _ in ALIASES)))
+    found = headlines(spark, sf_dir).where("doc_id IS NOT NULL").select(F.explode(there).alias("alias")).groupBy("alias").agg(F.count(F.lit(1)).alias("mentions"))
+    return a.join(found, "alias", "left").select("alias", "sym", "n", F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions")).orderBy(F.desc("n"), "alias")
 
 
 @query("news_coverage", f"WITH {HEADLINES}\nSELECT lang, source, CAST(count(*) AS BIGINT) AS n FROM headlines GROUP BY 1, 2")
