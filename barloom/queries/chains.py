@@ -237,14 +237,14 @@ def probability_of_profit(spark, sf_dir: str) -> DataFrame:
     return rounded(d.groupBy("ts").agg(F.least(F.greatest(F.sum(F.when(F.col("payoff") > 0, cell).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)).alias("pop")))
 
 
-@query("greeks_surface", rounded_sql(f"""WITH {CHAIN}, sp AS (SELECT ts, min(spot) AS spot FROM chain GROUP BY ts), s AS (SELECT ts, spot, spot * (1 + (i - 24) / 150.0) AS strike, (j + 1) * 2 / 365.0 AS t FROM sp, range(48) a(i), range(44) b(j)), d AS (SELECT *, (ln(spot / strike) + (0.065 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM s)
-SELECT ts, strike, CAST(t AS DOUBLE) AS t, exp(-0.5 * d1 * d1) / {math.sqrt(2 * math.pi)!r} / (spot * 0.2 * sqrt(t)) AS gamma FROM d""", "strike", "t", "gamma"))
+@query("greeks_surface", rounded_sql(f"""WITH {CHAIN}, sp AS (SELECT ts, min(spot) AS spot FROM chain GROUP BY ts), s AS (SELECT ts, i - 24 AS step, (j + 1) * 2 AS days, spot, spot * (1 + (i - 24) / 150.0) AS strike, (j + 1) * 2 / 365.0 AS t FROM sp, range(48) a(i), range(44) b(j)), d AS (SELECT *, (ln(spot / strike) + (0.065 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM s)
+SELECT ts, CAST(step AS BIGINT) AS step, CAST(days AS BIGINT) AS days, exp(-0.5 * d1 * d1) / {math.sqrt(2 * math.pi)!r} / (spot * 0.2 * sqrt(t)) AS gamma FROM d""", "gamma", digits=8))
 def greeks_surface(spark, sf_dir: str) -> DataFrame:
-    """Gamma over strikes around each snapshot's spot and days to expiry."""
+    """Gamma at strikes in steps of 1/150 of each snapshot's spot, by days to expiry."""
     spots = chain(spark, sf_dir).groupBy("ts").agg(F.min("spot").alias("spot"))
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = spots.withColumn("i", steps(48)).withColumn("j", steps(44)).select("ts", "spot", (F.col("spot") * (1 + (F.col("i") - 24) / 150.0)).alias("strike"), ((F.col("j") + 1) * 2 / 365.0).alias("t"))
-    return rounded(grid.select("ts", "strike", "t", op.greeks("spot", "strike", "t", 0.2, F.lit(True))["gamma"].alias("gamma")))
+    steps = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long")))
+    grid = spots.withColumn("step", steps(-24, 23)).withColumn("j", steps(1, 44)).withColumn("days", 2 * F.col("j")).withColumns({"strike": F.col("spot") * (1 + F.col("step") / 150.0), "t": F.col("days") / 365.0})
+    return rounded(grid.select("ts", "step", "days", op.greeks("spot", "strike", "t", 0.2, F.lit(True))["gamma"].alias("gamma")), 8)
 
 
 @query("participants_latest_with_change", f"""WITH {PARTICIPANTS}, d AS (SELECT dt, dense_rank() OVER (ORDER BY dt DESC) AS r FROM (SELECT DISTINCT dt FROM participants) x), p AS (SELECT participants.*, r FROM participants JOIN d USING (dt) WHERE r <= 2)

@@ -346,14 +346,14 @@ def split_half_noise(spark, sf_dir: str) -> DataFrame:
     return rounded(a.join(b, "ts").select("ts", (F.col("l0") - F.col("l1")).alias("difference")), 4)
 
 
-SYNTHETIC = f"{QUOTED}, sp AS (SELECT ts, min(spot) AS spot, min(t) AS t FROM qc GROUP BY ts), sk AS (SELECT ts, spot, t, spot * (1 + (i - 10) * 0.05) AS strike, 0.15 + 0.3 * pow(ln(1 + (i - 10) * 0.05), 2) AS sigma FROM sp, range(21) r(i)), sd AS (SELECT *, (ln(spot / strike) + (0.065 + 0.5 * sigma * sigma) * t) / (sigma * sqrt(t)) AS d1, exp(-0.065 * t) AS b FROM sk), se AS (SELECT *, d1 - sigma * sqrt(t) AS d2 FROM sd)"
+SYNTHETIC = f"{QUOTED}, sp AS (SELECT ts, min(spot) AS spot, min(t) AS t FROM qc GROUP BY ts), sk AS (SELECT ts, i - 10 AS step, spot, t, spot * (1 + (i - 10) * 0.05) AS strike, 0.15 + 0.3 * pow(ln(1 + (i - 10) * 0.05), 2) AS sigma FROM sp, range(21) r(i)), sd AS (SELECT *, (ln(spot / strike) + (0.065 + 0.5 * sigma * sigma) * t) / (sigma * sqrt(t)) AS d1, exp(-0.065 * t) AS b FROM sk), se AS (SELECT *, d1 - sigma * sqrt(t) AS d2 FROM sd)"
 
 
-@query("synthetic_chain", rounded_sql(f"WITH {SYNTHETIC}\nSELECT ts, strike, CAST(sigma AS DOUBLE) AS iv, spot * {cdf('d1')} - strike * b * {cdf('d2')} AS call_ltp, strike * b * {cdf('-d2')} - spot * {cdf('-d1')} AS put_ltp, TRUE AS is_model FROM se", "strike", "iv", "call_ltp", "put_ltp", digits=5))
+@query("synthetic_chain", rounded_sql(f"WITH {SYNTHETIC}\nSELECT ts, CAST(step AS BIGINT) AS step, CAST(sigma AS DOUBLE) AS iv, spot * {cdf('d1')} - strike * b * {cdf('d2')} AS call_ltp, strike * b * {cdf('-d2')} - spot * {cdf('-d1')} AS put_ltp, TRUE AS is_model FROM se", "iv", "call_ltp", "put_ltp", digits=5))
 def synthetic_chain(spark, sf_dir: str) -> DataFrame:
-    """A made-up chain for each snapshot, which says so: prices of a smile around its spot."""
+    """A made-up chain for each snapshot, which says so: prices of a smile at strikes in steps of 5 % of its spot."""
     spots = quoted(spark, sf_dir).groupBy("ts").agg(F.min("spot").alias("spot"), F.min("t").alias("t"))
-    share = 1 + (F.col("i") - 10) * 0.05
-    k = spots.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumns({"strike": F.col("spot") * share, "iv": 0.15 + 0.3 * F.pow(F.ln(share), 2)})
+    share = 1 + F.col("step") * 0.05
+    k = spots.withColumn("step", F.explode(F.sequence(F.lit(-10).cast("long"), F.lit(10).cast("long")))).withColumns({"strike": F.col("spot") * share, "iv": 0.15 + 0.3 * F.pow(F.ln(share), 2)})
     price = lambda call: op.price("spot", "strike", "t", "iv", F.lit(call))
-    return rounded(k.select("ts", "strike", "iv", price(True).alias("call_ltp"), price(False).alias("put_ltp"), F.lit(True).alias("is_model")), 5)
+    return rounded(k.select("ts", "step", "iv", price(True).alias("call_ltp"), price(False).alias("put_ltp"), F.lit(True).alias("is_model")), 5)
