@@ -192,34 +192,48 @@ def portfolios(bars: DataFrame, n: int = 4000, free: float = 0.065, seed: int =
     return gain.join(risk, "portfolio").withColumn("sharpe", (F.col("ret") - free) / F.greatest("vol", F.lit(1e-9)))
 
 
-def swarm(bars: DataFrame, bounds: tuple[tuple[float, float], tuple[float, float]], particles: int = 16, rounds: int = 12, seed: int = 7) -> tuple[tuple[int, int], float, int]:
-    """Best (fast, slow) of a particle swarm, its mean Sharpe ratio over symbols, and how many pairs were run.
+PENALTY = -10.0  # of a pair that is none: fast is not below slow
 
-    All particles of a round are one job; pairs that were run before are not run again.
+
+def swarm(bars: DataFrame, bounds: tuple[tuple[float, float], tuple[float, float]], particles: int = 24, rounds: int = 30, resolution: int = 25, seed: int = 7) -> tuple[dict[tuple[int, int], float], list[tuple[int, int, float]]]:
+    """Mean Sharpe ratio over symbols of every pair (fast, slow) that was run or refused, and the swarm's best after each round.
+
+    The landscape, `resolution` even steps of either bound, is run first, as one job. Then all particles of a round are one job; pairs
+    that are known are not run again, so the pairs that are returned are all trials there were.
     """
     rng = np.random.default_rng(seed)
     low, high = np.array(bounds, float).T
+    known: dict[tuple[int, int], float] = {}
+
+    def look_up(pairs: list[tuple[int, int]]) -> None:
+        new = sorted({p for p in pairs if p not in known})
+        known.update((p, PENALTY) for p in new)
+        run = [p for p in new if p[0] < p[1]]
+        if run:
+            for r in bt.grid(bars, run).groupBy("fast", "slow").agg(F.avg("sharpe").alias("s")).collect():  # one row for each pair
+                if r["s"] is not None and math.isfinite(r["s"]):
+                    known[r["fast"], r["slow"]] = r["s"]
+
+    steps = [np.unique(np.rint(np.linspace(a, b, resolution)).astype(int)).tolist() for a, b in bounds]
+    look_up([(x, y) for x in steps[0] for y in steps[1]])
     at = low + rng.random((particles, 2)) * (high - low)
     speed = (rng.random((particles, 2)) - 0.5) * (high - low) * 0.2
-    known: dict[tuple[int, int], float] = {}
-    best, best_fit, top = at.copy(), np.full(particles, -np.inf), at[0]
+    best, best_fit, path = at.copy(), np.full(particles, -np.inf), []
     for _ in range(rounds):
         pairs = [tuple(p) for p in np.rint(at).astype(int).tolist()]
-        new = sorted({p for p in pairs if p not in known and p[0] < p[1]})
-        if new:
-            for r in bt.grid(bars, new).groupBy("fast", "slow").agg(F.avg("sharpe").alias("s")).collect():  # one row for each pair of the round
-                known[r["fast"], r["slow"]] = r["s"]
-        fit = np.array([known.get(p, -10.0) for p in pairs])
+        look_up(pairs)
+        fit = np.array([known[p] for p in pairs])
         better = fit > best_fit
         best[better], best_fit[better] = at[better], fit[better]
         top = best[best_fit.argmax()]
+        path.append((*np.rint(top).astype(int).tolist(), float(best_fit.max())))
         pull = rng.random((2, particles, 2))
         speed = np.clip(0.72 * speed + 1.49 * pull[0] * (best - at) + 1.49 * pull[1] * (top - at), -(high - low) / 4, (high - low) / 4)
         at = at + speed
         out = (at < low) | (at > high)
         at, speed = np.clip(np.where(at < low, 2 * low - at, np.where(at > high, 2 * high - at, at)), low, high), np.where(out, -speed, speed)
-    winner = max(known, key=lambda p: (known[p], p))
-    return winner, known[winner], len(known)
+    return known, path
+
 
 
 def learning_rows(features: DataFrame, names: list[str], horizon: int = 5, test: float = 0.25) -> DataFrame:

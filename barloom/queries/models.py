@@ -12,7 +12,7 @@ from ..operators import book
 from ..operators import models as mo
 from ..sources.views import BARS, FILLS, bars, fills, table
 from . import query, rounded, rounded_sql
-from .backtests import BT
+from .backtests import _GRID_SQL, BT
 from .indicators import LAG, RSI, W, full
 from .validation import ppf_sql
 
@@ -102,10 +102,17 @@ def heston_fan(spark, sf_dir: str) -> DataFrame:
     return rounded(mo.heston(starts, "symbol", HORIZON, PATHS), 5)
 
 
-@query("swarm_optimize")
+PLANE = ((3, 20), (15, 39))
+SEARCHED = _GRID_SQL.replace("(VALUES (5, 10), (5, 20), (5, 50), (10, 20), (10, 50), (20, 50)) t(fast, slow)", f"range({PLANE[0][0]}, {PLANE[0][1] + 1}) x(fast), range({PLANE[1][0]}, {PLANE[1][1] + 1}) y(slow) WHERE fast < slow").replace("\nSELECT fast", ", gs AS (SELECT fast")
+
+
+@query("swarm_optimize", rounded_sql(f"{SEARCHED}), av AS (SELECT fast, slow, avg(sharpe) AS sharpe FROM gs GROUP BY 1, 2), al AS (SELECT CAST(x.i AS BIGINT) AS fast, CAST(y.i AS BIGINT) AS slow FROM range({PLANE[0][0]}, {PLANE[0][1] + 1}) x(i), range({PLANE[1][0]}, {PLANE[1][1] + 1}) y(i))\nSELECT fast, slow, coalesce(sharpe, {mo.PENALTY}) AS sharpe, fast < slow AS is_run, row_number() OVER (ORDER BY coalesce(sharpe, {mo.PENALTY}) DESC, fast DESC, slow DESC) = 1 AS is_best, count(*) OVER () AS n_trials FROM al LEFT JOIN av USING (fast, slow)", "sharpe"))
 def swarm_optimize(spark, sf_dir: str) -> DataFrame:
-    (fast, slow), fit, runs = mo.swarm(bars(spark, sf_dir).where("symbol IN ('ECONOMY', 'LARGE')"), ((3, 20), (15, 60)), 5, 2)
-    return rounded(spark.createDataFrame([(fast, slow, fit, runs)], "fast int, slow int, sharpe double, n_evals int"))
+    """All pairs that the swarm or its landscape tried, over all symbols; the landscape's 25 steps are every pair of this plane."""
+    known, _ = mo.swarm(bars(spark, sf_dir), PLANE)
+    winner = max(known, key=lambda p: (known[p], p))
+    rows = [(*p, v, p[0] < p[1], p == winner, len(known)) for p, v in known.items()]
+    return rounded(spark.createDataFrame(rows, "fast long, slow long, sharpe double, is_run boolean, is_best boolean, n_trials long"))
 
 
 NAMES = ["ret1", "ret5"]

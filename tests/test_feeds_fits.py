@@ -110,3 +110,15 @@ def test_no_point_of_a_grid_fits_the_quotes_better(spark, small):
     losses = {str(r["ts"])[:10]: r["loss"] for r in simplex.sabr_fits(market_quotes(spark, small)).collect()}
     assert fits.keys() == losses.keys() and len(fits) > 10
     assert [d for d in losses if losses[d] > grid[d] * 1.001 + 1e-9] == []
+
+
+def test_swarm_counts_all_trials(spark, small):
+    from barloom.operators import models
+    from barloom.sources.views import bars
+
+    rows = bars(spark, small).where("symbol IN ('ECONOMY', 'LARGE')").cache()
+    known, path = models.swarm(rows, ((3, 9), (8, 14)), particles=6, rounds=4, resolution=2)
+    assert {(3, 8), (3, 14), (9, 8), (9, 14)} <= known.keys() and known[9, 8] == models.PENALTY
+    fits = [f for _, _, f in path]
+    assert len(path) == 4 and fits == sorted(fits) and all(known[x, y] == f for x, y, f in path)
+    assert models.swarm(rows, ((3, 9), (8, 14)), particles=6, rounds=4, resolution=2) == (known, path)
