@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,13 +339,14 @@ def test_op3_rules_and_ranks(spark, small):
         for (a, _), n in edges.items():
             out[a] += n
         seed = {h: seeds[h] / total if total else 0 for h in hosts}
-        now = dict(seed)
-        for _ in range(10):
+        now, change = dict(seed), 1.0
+        while change > 1e-12:
             got = Counter()
             for (a, b), n in edges.items():
                 got[b] += now[a] * n / out[a]
             back = 1 - 0.85 * sum(got.values())
-            now = {h: 0.85 * got[h] + back * seed[h] for h in hosts}
+            new = {h: 0.85 * got[h] + back * seed[h] for h in hosts}
+            now, change = new, sum(abs(new[h] - now[h]) for h in hosts)
         return now
 
     trust, distrust = rank(allowed, links), rank(blocked, Counter({(b, a): n for (a, b), n in links.items()}))
@@ -355,6 +357,42 @@ def test_op3_rules_and_ranks(spark, small):
             assert r["verdict"] == ("block" if r["distrust"] > r["trust"] else "allow")
 
 
+def test_op3_ranks_around_a_hub(spark):
+    """A third of all links lead to one host, which links to all others; some hosts are a chain, one has no links."""
+    hosts = [f"h{i}.com" if i % 7 == 0 else f"h{i}.net" if i % 5 else f"h{i}.org" for i in range(60)]
+    links = Counter()
+    for i, h in enumerate(hosts[1:-1], 1):
+        links[hosts[0], h] += 1 + i % 3
+        links[h, hosts[0]] += 25
+        links[h, hosts[i + 1]] += 2
+        links[h, hosts[(i * i) % 60]] += 40
+    links = Counter({(a, b): n for (a, b), n in links.items() if a != b})
+    path = lambda i: "/es/x" if i % 3 == 0 else "/other"
+    rows = [(i, f"https://{h}{path(i)}", " ".join(f'<a href="https://{b}/">x</a>' * n for (a, b), n in links.items() if a == h)) for i, h in enumerate(hosts)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), urls.RULES).collect()}
+    n = len(hosts)
+    moves = np.zeros((n, n))
+    for (a, b), k in links.items():
+        moves[hosts.index(b), hosts.index(a)] = k
+
+    def rank(seed, weights):
+        out = weights.sum(axis=0)
+        step = weights / np.where(out > 0, out, 1)
+        seed = seed / seed.sum()
+        step = step + np.outer(seed, out == 0)  # what a host without links holds goes back to the seeds
+        return np.linalg.solve(np.eye(n) - 0.85 * step, 0.15 * seed)
+
+    allowed = np.array([h.endswith(".com") for h in hosts], float)
+    blocked = np.array([h.endswith(".net") and path(i).startswith("/es/") for i, h in enumerate(hosts)], float)
+    trust, distrust = rank(allowed, moves), rank(blocked, moves.T)
+    assert min(allowed.sum(), blocked.sum()) > 3 and max(got[i]["trust"] for i in got) == got[0]["trust"]
+    for i in range(n):
+        assert math.isclose(got[i]["trust"], trust[i], abs_tol=1e-8) and math.isclose(got[i]["distrust"], distrust[i], abs_tol=1e-8)
+        if got[i]["rule"] is None:
+            assert got[i]["verdict"] == ("block" if distrust[i] > trust[i] else "allow")
+    assert {got[i]["verdict"] for i in range(n) if got[i]["rule"] is None} == {"allow", "block"}
+
+
 def test_op5_base_and_held_out(spark, small):
     texts = documents(spark, small)
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
