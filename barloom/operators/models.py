@@ -170,9 +170,11 @@ def heston(starts: DataFrame, key: str, horizon: int = 120, n_paths: int = 2000,
         return F.struct((x["s"] * F.exp((mu - 0.5 * v) * dt + F.sqrt(v * dt) * z["a"])).alias("s"), (x["v"] + kappa * (F.col("theta") - v) * dt + xi * F.sqrt(v * dt) * (rho * z["a"] + math.sqrt(1 - rho * rho) * z["b"])).alias("v"))
 
     steps = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long")))
+    wide = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = starts.where("spot IS NOT NULL AND iv IS NOT NULL").select(key, F.col("spot").cast("double").alias("spot"), (F.col("iv") * F.col("iv")).cast("double").alias("theta"))
-    paths = known.withColumn("path", steps(0, n_paths - 1)).repartition(key, "path")  # few starts are many paths; their days stay together
-    days = paths.withColumn("day", steps(1, horizon)).withColumns({"ua": drawn("a"), "ub": drawn("b")}).withColumns({"a": norm_ppf(F.col("ua")), "b": norm_ppf(F.col("ub"))})
+    paths = known.withColumn("path", steps(0, n_paths - 1)).repartition(wide, key, "path")  # few bytes are much work: a number that is given is not lowered; a path's days stay together
+    both = F.inline(F.array(F.struct(drawn("a").alias("ua"), drawn("b").alias("ub"))))  # a generator, so that what follows does not draw again at each use
+    days = paths.withColumn("day", steps(1, horizon)).select("*", both).withColumns({"a": norm_ppf(F.col("ua")), "b": norm_ppf(F.col("ub"))})
     whole = days.groupBy(key, "path", "spot", "theta").agg(F.array_sort(F.collect_list(F.struct("day", "a", "b"))).alias("z"))
     end = F.aggregate("z", F.struct(F.col("spot").alias("s"), F.col("theta").alias("v")), step)
     return whole.select(key, "path", end.alias("e")).select(key, "path", F.col("e.s").alias("price"), F.sqrt(F.greatest("e.v", F.lit(0.0))).alias("vol"))
