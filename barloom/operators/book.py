@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import Pieces, hand_over, pieces
+from .scan import PIECE_ROWS, Pieces, kept, longest, pieces, relay
 
 #: Fixed charges of index options in India: an order, and shares of turnover.
 BROKERAGE, STT_SELL, STT_EXERCISE, EXCHANGE, SEBI, STAMP_BUY, GST = 20.0, 0.001, 0.00125, 0.0003503, 0.000001, 0.00003, 0.18
@@ -66,29 +66,37 @@ def traded(fills: DataFrame, cash: float, key: list[str] | None = None, cut: Pie
     """key, seq, side, qty, price, status, cash, held: fills in order against an account of each key that begins with `cash` and nothing held.
 
     A buy that costs more than the cash left is refused, and so is a sale of more than is held, a fill without a quantity above 0
-    or without a price; what is refused changes nothing. Whether a fill goes through depends on all before it, so a long account is
-    cut into pieces that hand over cash and units; as cash is not forgotten, that takes as many rounds as there are pieces.
+    or without a price; what is refused changes nothing. Whether a fill goes through depends on all before it, and cash is not
+    forgotten; so a long account is cut into pieces that run one after another, each once, and pass on cash and units.
     """
     key = key or ["instrument"]
-    cut = cut or pieces(fills, key, "seq")
-    rows = cut.cut(fills.select(*key, "seq", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price")))
+    rows = fills.select(*key, "seq", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    if cut is None:
+        rows = kept(rows) if longest(rows, key) > PIECE_ROWS else rows  # places and pieces are of one pass
+        cut = pieces(rows, key, "seq")
 
-    def run(piece: pd.DataFrame, state: list | None, last: bool) -> tuple[pd.DataFrame, list]:
+    def run(piece: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list]:
         left, held = state or (cash, 0.0)
-        made = []
-        for side, qty, price in piece[["side", "qty", "price"]].itertuples(index=False):
-            value = qty * price
-            if side not in ("BUY", "SELL") or not qty > 0 or not price >= 0:
-                status = "refused: not a trade"
-            elif side == "BUY" and value > left:
-                status = "refused: cash"
-            elif side == "SELL" and qty > held:
-                status = "refused: not held"
+        value, trade = piece["qty"] * piece["price"], (piece["qty"] > 0) & (piece["price"] >= 0)
+        buys, sells = trade & (piece["side"] == "BUY"), trade & (piece["side"] == "SELL")
+        said, cashes, units = [], [], []
+        for buy, sell, qty, worth in zip(buys.tolist(), sells.tolist(), piece["qty"].tolist(), value.tolist(), strict=True):
+            if buy:
+                if worth > left:
+                    status = "refused: cash"
+                else:
+                    status, left, held = "ok", left - worth, held + qty
+            elif sell:
+                if qty > held:
+                    status = "refused: not held"
+                else:
+                    status, left, held = "ok", left + worth, held - qty
             else:
-                status, way = "ok", 1 if side == "BUY" else -1
-                left, held = left - way * value, held + way * qty
-            made.append((status, left, held))
-        return piece.assign(**dict(zip(("status", "cash", "held"), zip(*made, strict=True), strict=True))), [left, held]
+                status = "refused: not a trade"
+            said.append(status)
+            cashes.append(left)
+            units.append(held)
+        return piece.assign(status=said, cash=cashes, held=units), [left, held]
 
     kinds = dict(rows.dtypes)
-    return hand_over(rows, cut, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*key, "seq", "side", "qty", "price")), TRADED]))
+    return relay(cut.cut(rows), cut, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*key, "seq", "side", "qty", "price")), TRADED]))

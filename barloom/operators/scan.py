@@ -1,7 +1,7 @@
 """Recursive series of any length, in pieces: each piece is a task's work, and only states go from one piece to the next.
 
 A series is cut at quantiles of its order column, so a piece has a bounded number of rows however long the series is.
-Two ways to go on from piece to piece:
+Three ways to go on from piece to piece:
 
 `scan` is for recurrences whose pieces can be summed up (linear ones): every piece makes a summary, the summaries of a series are
 put together in order, a row for each piece, and every piece runs once more from the state that it begins with.
@@ -10,6 +10,9 @@ put together in order, a row for each piece, and every piece runs once more from
 until no assumption changes. A machine that forgets (a position is closed, both runs are flat) needs two or three rounds, the
 worst case as many as a series has pieces.
 
+`relay` is for state machines that do not forget, so that an assumed state is of no use. Pieces run one after another, those of all
+series together; each piece is read once and run once.
+
 Series of PIECE_ROWS rows or less are one piece, and nothing is saved or joined for them.
 """
 
@@ -17,12 +20,14 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PIECE_ROWS = 250_000
 #: Bounds are one expression; beyond this many pieces of a series, pieces grow.
@@ -30,17 +35,29 @@ MOST_PIECES = 1000
 PIECE = "_piece"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Rows kept in the folder that the cluster names for checkpoints; a local one is made only where none is set on a local master."""
+def shared(df: DataFrame) -> str:
+    """The folder that the cluster names for checkpoints; a local one is made only where none is set on a local master."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Rows kept in the folder for checkpoints."""
+    shared(df)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
+    """Rows kept as files in a shared folder, with a folder for each value of `by`, of which a filter on it reads only its own."""
+    df.write.partitionBy(*(by or [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Pieces:
     """How series are cut: the number of a row's piece, and whether there are more than one."""
@@ -49,6 +66,7 @@ class Pieces:
     order: str
     number: Column
     many: bool
+    count: int = 1
 
     @property
     def by(self) -> list[str]:
@@ -62,12 +80,16 @@ def _number(order: str, kind: str) -> Column:
     return {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, F.col)(F.col(order) if kind in ("date", "timestamp") else order)
 
 
+def longest(rows: DataFrame, key: list[str]) -> int:
+    """Rows of the longest series."""
+    return rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+
+
 def pieces(rows: DataFrame, key: str | list[str] = "symbol", order: str = "dt", most: int | None = None) -> Pieces:
     """Cuts at quantiles of all rows' places, so many that the longest series has about `most` rows a piece. Equal places share a piece."""
     key, most = [key] if isinstance(key, str) else key, most or PIECE_ROWS
     place = _number(order, dict(rows.dtypes)[order])
-    longest = rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    n = min(MOST_PIECES, -(-longest // most))
+    n = min(MOST_PIECES, -(-longest(rows, key) // most))
     if n < 2:
         return Pieces(key, order, F.lit(0), False)
     found = rows.select(place.alias("at")).agg(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n)).first()[0]
@@ -80,7 +102,7 @@ def pieces(rows: DataFrame, key: str | list[str] = "symbol", order: str = "dt",
         middle = (low + high) // 2
         return F.when(place < bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    return Pieces(key, order, tree(0, len(bounds)), True)
+    return Pieces(key, order, tree(0, len(bounds)), True, len(bounds) + 1)
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> str:
@@ -161,6 +183,33 @@ def hand_over(rows: DataFrame, cut: Pieces, run: Callable[[pd.DataFrame, object,
     return rows.groupBy(*by).cogroup(begun.groupBy(*by)).applyInPandas(go, schema)
 
 
+def relay(rows: DataFrame, cut: Pieces, run: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]], schema: str) -> DataFrame:
+    """run(piece, state) -> (rows of schema, the state behind the piece), of every piece in order. schema has the key.
+
+    rows has the column PIECE already. A round runs the pieces of one number, of all series, and takes the states from the rows of
+    the round before: each series' state stands in one of them, or in a row of its own if the series has no such piece.
+    """
+    key, order = cut.key, cut.order
+    if not cut.many:
+        return rows.groupBy(*key).applyInPandas(lambda piece: run(piece.sort_values(order).drop(columns=PIECE), None)[0], schema)
+    folder, schema = f"{shared(rows)}/relay-{uuid.uuid4().hex}", f"{schema}, _row boolean, _state string"
+    rows, names = stored(rows, f"{folder}/pieces", [PIECE]), StructType.fromDDL(schema).names
+
+    def go(piece: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        if not len(piece):
+            alone = begun.assign(_row=False).reindex(columns=names).astype(object)
+            return alone.where(alone.notna(), None)
+        made, state = run(piece.sort_values(order).drop(columns=PIECE), _loaded(begun["_state"]))
+        return made.assign(_row=True, _state=[None] * (len(made) - 1) + [json.dumps(state)])
+
+    states, paths = rows.where("false").select(*key, F.lit(None).cast("string").alias("_state")), []
+    for number in range(cut.count):
+        paths.append(f"{folder}/round={number}")
+        new = rows.where(F.col(PIECE) == number).groupBy(*key).cogroup(states.groupBy(*key)).applyInPandas(go, schema)
+        states = stored(new, paths[-1]).where("_state IS NOT NULL").select(*key, "_state")
+    return rows.sparkSession.read.schema(schema).parquet(*paths).where("_row").drop("_row", "_state")
+
+
 def before(rows: DataFrame, cut: Pieces, names: list[str]) -> DataFrame:
     """Adds _before_x of every named column: its value in the row before, over the borders of pieces too. rows has the column PIECE."""
     within = Window.partitionBy(*cut.by).orderBy(cut.order)

@@ -113,3 +113,26 @@ def test_account_in_pieces(spark):
         want[who, seq] = "ok" if ok else "refused: not a trade" if side == "HOLD" or qty <= 0 else "refused: cash" if side == "BUY" else "refused: not held", cash[who], held[who]
     assert cut.many and many == want and len({s for s, *_ in want.values()}) == 4
     assert book.traded(fills.where("false"), 1.0).count() == 0
+
+
+def test_account_runs_every_fill_once(spark, tmp_path, monkeypatch):
+    """No piece is run from an assumed state; accounts that pause for pieces, or begin late, and one without a name go on from their own state."""
+    fills = [(who, i, "SELL" if i % 3 == 2 else "BUY", float(i % 7), 1.0 + i % 5, None) for i in range(1200) for who in ("all", "pause", "late", None) if who == "all" or (i < 90 or i > 1000) == (who == "pause") and (who != "late" or i > 700)]
+    fills = spark.createDataFrame(fills, "instrument string, seq long, side string, qty double, price double, extra int").repartition(4).cache()
+    cut = pieces(fills, "instrument", "seq", most=100)
+    step = book.relay
+
+    def seen(rows, cut, run, schema):
+        def noted(piece, state):
+            with open(f"{tmp_path}/{piece['instrument'].iloc[0]}-{piece['seq'].iloc[0]}", "a") as f:
+                f.write(f"{len(piece)}\n")
+            return run(piece, state)
+
+        return step(rows, cut, noted, schema)
+
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    one = order(book.traded(fills, 300.0))
+    monkeypatch.setattr(book, "relay", seen)
+    assert cut.count > 5 and order(book.traded(fills, 300.0, cut=cut)) == one
+    runs = [f.read_text().split() for f in tmp_path.iterdir()]
+    assert {len(r) for r in runs} == {1} and sum(int(r[0]) for r in runs) == fills.count() == len(one)
