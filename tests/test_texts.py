@@ -54,3 +54,13 @@ def test_a_text_is_searched_once(spark, small):
     """Each pattern stands once in the plan of an impact call, whichever of its parts are used."""
     plan = spiced(spark, small).select(tx.impact(F.col("title"), F.col("ts")).alias("i")).select("i.*")._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(pattern) for _, pattern, _, _ in tx.CATEGORIES] == [1] * len(tx.CATEGORIES) and plan.count(tx.RATES) == 1
+
+
+def test_bias_searches_a_text_once_and_agrees_with_sql(spark, tmp_path):
+    """Weights and directions of all categories, of empty texts and of long ones with cuts, with and without rates."""
+    texts = [f"{w} {m}" for w in SAID[:56] for m in ("gains sharply", "not cut", "FED cuts")] + ["", None, "calm " * 5000 + "panic"]
+    folder = documents(spark, tmp_path, texts)
+    bias = QUERIES["aggregate_bias"](spark, folder)
+    plan = bias._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(pattern) for _, pattern, _, _ in tx.CATEGORIES] == [1] * len(tx.CATEGORIES)
+    assert list(map(tuple, bias.collect())) == by_sql(folder, "aggregate_bias")
