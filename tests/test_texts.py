@@ -64,3 +64,14 @@ def test_bias_searches_a_text_once_and_agrees_with_sql(spark, tmp_path):
     plan = bias._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(pattern) for _, pattern, _, _ in tx.CATEGORIES] == [1] * len(tx.CATEGORIES)
     assert list(map(tuple, bias.collect())) == by_sql(folder, "aggregate_bias")
+
+
+def test_bias_lowers_a_text_once_and_agrees_with_sql(spark, tmp_path):
+    """Words, cuts, rates and marks are looked for in one lower-cased text, in any case, also where it is empty, null or long."""
+    texts = [f(t) for t in ("Fed CUTS rates", "shares cut, not gains", "OPEC: crude surges", "Window, toward", "calm " * 5000 + "War fears") for f in (str.lower, str.upper, str.title)] + ["", None]
+    folder = documents(spark, tmp_path, texts)
+    bias = QUERIES["aggregate_bias"](spark, folder)
+    assert bias._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert list(map(tuple, bias.collect())) == by_sql(folder, "aggregate_bias")
+    for name in ("assess_impact", "score_sentiment_detailed"):
+        assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == sorted(by_sql(folder, name))
